@@ -43,6 +43,10 @@ def _spoken(*pieces):
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in pieces])
 
 
+def _apply(df, text, rule, *more):
+    return df.withColumn("spoken", text).select("id", rule(F.col("spoken")).alias("text"), *more)
+
+
 def number_values(spark, folder):
     spelled = _orders(spark, folder).withColumn("spoken", spell_number(F.col("id")))
     broken = F.concat(F.col("spoken"), F.lit("一二"))
@@ -51,12 +55,12 @@ def number_values(spark, folder):
 
 def year_rule(spark, folder):
     text = _spoken("在", spell_digits(F.col("y")), "年到达")
-    return _orders(spark, folder).select("id", N.year(text).alias("text"))
+    return _apply(_orders(spark, folder), text, N.year)
 
 
 def month_day_rule(spark, folder):
     text = _spoken(spell_number(F.col("m")), "月", spell_number(F.col("d")), "号，", spell_number(F.col("m")), "号道岔")
-    return _orders(spark, folder).select("id", N.month_day(text).alias("text"), spell_number(F.col("m")).alias("kept"))
+    return _apply(_orders(spark, folder).withColumn("kept", spell_number(F.col("m"))), text, N.month_day, "kept")
 
 
 SPOKEN_SMALL = ("['一','二','三','四','五','六','七','八','九','十','十一','十二']")
@@ -64,56 +68,57 @@ SPOKEN_SMALL = ("['一','二','三','四','五','六','七','八','九','十','
 
 def time_rule(spark, folder):
     text = _spoken("现在", spell_number(F.col("h")), "点", spell_number(F.col("mi")), "分开车")
-    return _events(spark, folder).select("id", N.clock_time(text).alias("text"))
+    return _apply(_events(spark, folder), text, N.clock_time)
 
 
 def percent_rule(spark, folder):
     text = _spoken("空闲百分之", spell_number(F.col("user")), "。")
-    return _events(spark, folder).select("id", N.percent(text).alias("text"))
+    return _apply(_events(spark, folder), text, N.percent)
 
 
 def speed_rule(spark, folder):
     text = _spoken("限速", spell_number(F.col("size")), "公里每小时，限速", spell_number(F.col("size") + 100), "公里每小时")
-    return _parts(spark, folder).select("id", N.speed(text).alias("text"))
+    return _apply(_parts(spark, folder), text, N.speed)
 
 
 def kilometre_rule(spark, folder):
     text = _spoken("在", spell_number(F.col("id")), "公里", spell_number(F.col("cust")), "米停车，k",
                    spell_number(F.col("cust")), " 公里 ", spell_number(F.col("id")), "米")
-    return _orders(spark, folder).select("id", N.kilometre(text).alias("text"))
+    return _apply(_orders(spark, folder), text, N.kilometre)
 
 
 def train_number_rule(spark, folder):
     text = _spoken("G", spell_number(F.col("id")), "次与D ", spell_number(F.col("cust")), "次交会")
-    return _orders(spark, folder).select("id", N.train_number(text).alias("text"))
+    return _apply(_orders(spark, folder), text, N.train_number)
 
 
 def digit_by_digit_rule(spark, folder):
     digits = F.translate(spell_digits(F.col("id")), "一", "幺")
-    return _orders(spark, folder).select("id", N.digit_by_digit(_spoken("接", digits, "次，K", digits, " 道")).alias("text"))
+    spoken = _spoken("接", digits, "次，K", digits, " 道")
+    return _orders(spark, folder).withColumn("t", spoken).select("id", N.digit_by_digit(F.col("t")).alias("text"))
 
 
 def numbered_asset_rule(spark, folder):
     asset = F.when(F.col("size") < 10, "道岔").when(F.col("size") < 20, "信号机").when(F.col("size") < 30, "道").otherwise("线")
     text = _spoken(spell_number(F.col("size")), asset, "，", spell_number(F.col("size")), "号", asset)
-    return _parts(spark, folder).select("id", N.numbered_asset(text).alias("text"))
+    return _apply(_parts(spark, folder), text, N.numbered_asset)
 
 
 def misheard_track_rule(spark, folder):
     line = read(spark, folder, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"))
     text = _spoken(spell_number(F.col("n")), "到发车，", spell_number(F.col("n")), "到那里")
-    return line.select("id", N.misheard_track(text).alias("text"))
+    return _apply(line, text, N.misheard_track)
 
 
 def stand_alone_rule(spark, folder):
     line = read(spark, folder, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"))
     text = _spoken(spell_number(F.col("n")), "号扳道员，", spell_number(F.col("n")), "号道岔")
-    return line.select("id", N.stand_alone_number(text).alias("text"))
+    return _apply(line, text, N.stand_alone_number)
 
 
 def train_prefix_rule(spark, folder):
     text = _spoken("接g", F.col("id").cast("string"), "次，z", F.col("cust").cast("string"), "次，g车")
-    return _orders(spark, folder).select("id", N.train_prefix(text).alias("text"))
+    return _apply(_orders(spark, folder), text, N.train_prefix)
 
 
 def spacing_rule(spark, folder):

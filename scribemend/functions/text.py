@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Private-use working characters.
+CUT, PART, SHIELD = "\ue050", "\ue051", "\ue052"
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
 
 
@@ -46,7 +48,7 @@ def running_starts(lengths: Column) -> Column:
 def located_tokens(text: Column) -> Column:
     """ARRAY<STRUCT<token, start>>; starts are counted from 0 in characters."""
     parts = F.struct(tokens(text).alias("found"),
-                     F.split(text, TOKEN_PATTERN, -1).alias("gaps"))
+                     gaps_between(text, TOKEN_PATTERN).alias("gaps"))
 
     def build(p: Column) -> Column:
         lengths = F.zip_with(F.slice(p["gaps"], F.lit(1), F.size(p["found"])), p["found"],
@@ -66,25 +68,48 @@ def contains_any(text: Column, words: list[str]) -> Column:
     return hit
 
 
+def gaps_between(text: Column, pattern: str) -> Column:
+    """Text pieces around the matches of a pattern: one more than there are matches.
+
+    Splitting at one character needs no pattern; the replacement compiles its own once.
+    """
+    cut = F.split(F.regexp_replace(text, pattern, CUT), CUT, -1)
+    return F.when(F.contains(text, F.lit(CUT)), F.split(text, pattern, -1)).otherwise(cut)
+
+
+def _shield(text: Column) -> Column:
+    """Spell the working characters, should a text hold any, with others."""
+    return F.when(text.rlike(f"[{CUT}{PART}{SHIELD}]"), F.regexp_replace(F.regexp_replace(F.regexp_replace(
+        text, SHIELD, f"{SHIELD}\ue053"), CUT, f"{SHIELD}\ue054"), PART, f"{SHIELD}\ue055")).otherwise(text)
+
+
+def _unshield(text: Column) -> Column:
+    return F.when(F.contains(text, F.lit(SHIELD)), F.regexp_replace(F.regexp_replace(F.regexp_replace(
+        text, f"{SHIELD}\ue055", PART), f"{SHIELD}\ue054", CUT), f"{SHIELD}\ue053", SHIELD)).otherwise(text)
+
+
 def rewrite_matches(text: Column, pattern: str, groups: int,
                     convert: Callable[[Column, list[Column]], Column],
                     needs: list[str] | None = None) -> Column:
     """Replace every match of a pattern by a Column computed from the match and its groups.
 
-    `needs` lists literal strings of which every match holds at least one.
+    One pass of the pattern frames every match with its groups; splitting at the frame
+    gives text and matches in turn.  `needs` lists literal strings of which every match
+    holds at least one.
     """
-    parts = F.struct(
-        F.split(text, pattern, -1).alias("gaps"),
-        *[F.regexp_extract_all(text, F.lit(pattern), F.lit(k)).alias(f"g{k}") for k in range(groups + 1)])
+    payload = CUT + PART.join(f"${k}" for k in range(groups + 1)) + CUT
 
-    def build(p: Column) -> Column:
-        new = F.transform(p["g0"], lambda m, i: convert(m, [p[f"g{k}"][i] for k in range(1, groups + 1)]))
-        return F.array_join(F.zip_with(p["gaps"], F.concat(new, F.array(F.lit(""))), lambda g, n: F.concat(g, n)), "")
+    def converted(piece: Column) -> Column:
+        return let(F.split(piece, PART, -1), lambda g: convert(g[0], [g[k] for k in range(1, groups + 1)]))
+
+    def build(framed: Column) -> Column:
+        pieces = F.transform(F.split(framed, CUT, -1),
+                             lambda piece, i: F.when(i % 2 == 1, converted(piece)).otherwise(piece))
+        return F.array_join(pieces, "")
 
-    matched = text.rlike(pattern)
-    if needs:
-        matched = contains_any(text, needs) & matched
-    return F.when(matched, let(parts, build)).otherwise(text)
+    framed = F.regexp_replace(_shield(text), pattern, payload)
+    out = let(framed, lambda f: F.when(F.contains(f, F.lit(CUT)), let(build(f), _unshield)).otherwise(text))
+    return F.when(contains_any(text, needs), out).otherwise(text) if needs else out
 
 
 def replace_first(text: Column, wrong: Column, right: Column) -> Column:

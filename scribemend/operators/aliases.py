@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scribemend.functions.text import let, occurrences, rewrite_matches, running_starts
+from scribemend.functions.text import gaps_between, let, occurrences, rewrite_matches, running_starts
 from scribemend.session import bounded_rows, broadcast_if_small
 
 # Private-use characters that frame and spell a covered span.
@@ -101,7 +101,7 @@ def _resolved(text: Column, lex: AliasEntries) -> Column:
     """STRUCT<text, spans>: the rewritten text and the kept spans in text order."""
     by_order = F.map_from_entries(F.transform(lex.entries, lambda e: F.struct(e["lex_order"], e)))
     pieces = let(_marked(text, lex), lambda marked: F.struct(
-        F.split(marked, MARK, -1).alias("gaps"),
+        gaps_between(marked, MARK).alias("gaps"),
         F.regexp_extract_all(marked, F.lit(MARK), F.lit(0)).alias("marks")))
 
     def entry(mark: Column, orders: Column) -> Column:

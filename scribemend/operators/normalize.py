@@ -56,6 +56,11 @@ def _or_same(value: Column, match: Column) -> Column:
     return F.coalesce(value, match)
 
 
+def _padded(value: Column, width: int) -> Column:
+    """At least `width` digits, never cut."""
+    return let(value.cast("string"), lambda v: F.when(F.length(v) < width, F.lpad(v, width, "0")).otherwise(v))
+
+
 def year(text: Column) -> Column:
     return rewrite_matches(text, YEAR, 1, lambda m, g: F.concat(read_digits(g[0]), F.lit("年")), ["年"])
 
@@ -68,9 +73,7 @@ def month_day(text: Column) -> Column:
 
 def clock_time(text: Column) -> Column:
     def convert(m: Column, g: list[Column]) -> Column:
-        minute = numeral_value(g[1]).cast("string")
-        return _or_same(F.concat(numeral_value(g[0]), F.lit(":"),
-                                 F.when(F.length(minute) < 2, F.lpad(minute, 2, "0")).otherwise(minute)), m)
+        return _or_same(F.concat(numeral_value(g[0]), F.lit(":"), _padded(numeral_value(g[1]), 2)), m)
 
     return rewrite_matches(text, TIME, 2, convert, ["点"])
 
@@ -86,9 +89,7 @@ def speed(text: Column) -> Column:
 
 def kilometre(text: Column) -> Column:
     def convert(m: Column, g: list[Column]) -> Column:
-        metres = numeral_value(g[2]).cast("string")
-        return _or_same(F.concat(F.lit("K"), numeral_value(g[1]), F.lit("+"),
-                                 F.when(F.length(metres) < 3, F.lpad(metres, 3, "0")).otherwise(metres)), m)
+        return _or_same(F.concat(F.lit("K"), numeral_value(g[1]), F.lit("+"), _padded(numeral_value(g[2]), 3)), m)
 
     return rewrite_matches(text, KILOMETRE, 3, convert, ["公里"])
 
