@@ -1,5 +1,5 @@
 """Queries over the given tables, each with equivalent SQL where SQL can say it."""
 
-from bindings import lexical, models, normal
+from bindings import checks, knowledge, lexical, models, normal, sounds
 
-MODULES = [lexical, models, normal]
+MODULES = [lexical, models, normal, sounds, knowledge, checks]

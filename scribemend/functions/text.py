@@ -134,10 +134,17 @@ def strip(text: Column) -> Column:
     return F.when(ends, F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")).otherwise(text)
 
 
+def edit_distance(a: Column, b: Column) -> Column:
+    """Exact edit distance: narrow bands first, the full matrix only for texts far apart."""
+    narrow, wide = F.levenshtein(a, b, 32), F.levenshtein(a, b, 1024)
+    return (F.when(a == b, 0)
+            .otherwise(F.coalesce(F.nullif(narrow, F.lit(-1)), F.nullif(wide, F.lit(-1)), F.levenshtein(a, b))))
+
+
 def character_error_rate(wrong: Column, right: Column) -> Column:
     """Edit distance over the longer length; 0 when both are empty."""
     longer = F.greatest(F.length(wrong), F.length(right))
-    return F.when(longer == 0, F.lit(0.0)).otherwise(F.levenshtein(wrong, right) / longer)
+    return F.when(longer == 0, F.lit(0.0)).otherwise(edit_distance(wrong, right) / longer)
 
 
 def numbers(text: Column) -> Column:
