@@ -45,10 +45,10 @@ def running_starts(lengths: Column) -> Column:
     return let(lengths, lambda items: F.when(F.size(items) > 0, build(items)).otherwise(empty))
 
 
-def located_tokens(text: Column) -> Column:
+def located_tokens(text: Column, pattern: str = TOKEN_PATTERN) -> Column:
     """ARRAY<STRUCT<token, start>>; starts are counted from 0 in characters."""
-    parts = F.struct(tokens(text).alias("found"),
-                     gaps_between(text, TOKEN_PATTERN).alias("gaps"))
+    parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"),
+                     gaps_between(text, pattern).alias("gaps"))
 
     def build(p: Column) -> Column:
         lengths = F.zip_with(F.slice(p["gaps"], F.lit(1), F.size(p["found"])), p["found"],

@@ -9,6 +9,9 @@ from scribemend.functions.text import located_tokens, tokens
 from scribemend.operators.aliases import resolve_aliases
 
 
+LOOSE = r"[A-Za-z0-9]+|[^\s]"
+
+
 def with_tokens(df: DataFrame, text_col: str = "text", out: str = "tokens", tokenizer=tokens) -> DataFrame:
     """Tokens of a text as an array in the same row; `tokenizer` is any Column -> ARRAY<STRING>."""
     return df.withColumn(out, F.filter(tokenizer(F.col(text_col)), lambda t: F.trim(t) != ""))
@@ -21,8 +24,9 @@ def token_rows(df: DataFrame, id_col: str = "id", text_col: str = "text") -> Dat
                     F.col("_t.start").cast("long").alias("start")))
 
 
-def segment_unspaced(df: DataFrame, words: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """Tokens of unspaced text: longest known word first, single characters elsewhere.
+def segment_unspaced(df: DataFrame, words: DataFrame, id_col: str = "id", text_col: str = "text",
+                     out: str = "located") -> DataFrame:
+    """Located tokens of unspaced text: longest known word first, single characters elsewhere.
 
     Runs of digits and Latin letters stay together.  `words` is a table (word).
     """
@@ -30,14 +34,14 @@ def segment_unspaced(df: DataFrame, words: DataFrame, id_col: str = "id", text_c
                            F.abs(F.xxhash64("word")).alias("lex_order")).filter(F.length("alias") > 1)
     cut = resolve_aliases(df, lexicon, id_col, text_col)
     spans = F.col("resolved.spans")
-    gaps = F.zip_with(
-        F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["pos"] + F.length(s["alias"]))),
-        F.concat(F.transform(spans, lambda s: s["pos"]), F.array(F.length(text_col))),
-        lambda a, b: F.substring(F.col(text_col), a + 1, b - a))
-    loose = F.transform(gaps, lambda g: F.regexp_extract_all(g, F.lit(r"[A-Za-z0-9]+|[^\s]"), F.lit(0)))
-    known = F.concat(F.transform(spans, lambda s: F.array(s["alias"])),
-                     F.array(F.expr("CAST(array() AS array<string>)")))
-    return cut.withColumn("tokens", F.flatten(F.zip_with(loose, known, lambda a, b: F.concat(a, b)))).drop("resolved")
+    ends = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["pos"] + F.length(s["alias"])))
+    starts = F.concat(F.transform(spans, lambda s: s["pos"]), F.array(F.length(text_col)))
+    loose = F.zip_with(ends, starts, lambda a, b: F.transform(
+        located_tokens(F.substring(F.col(text_col), a + 1, b - a), LOOSE),
+        lambda t: F.struct(t["token"].alias("token"), (t["start"] + a).alias("start"))))
+    known = F.concat(F.transform(spans, lambda s: F.array(F.struct(s["alias"].alias("token"), s["pos"].alias("start")))),
+                     F.array(F.expr("CAST(array() AS array<struct<token:string,start:int>>)")))
+    return cut.withColumn(out, F.flatten(F.zip_with(loose, known, lambda a, b: F.concat(a, b)))).drop("resolved")
 
 
 def neighbours(token_array: Column, at: Column, before: int = 2, after: int = 2) -> Column:
