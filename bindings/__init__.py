@@ -1,5 +1,7 @@
 """Queries over the given tables, each with equivalent SQL where SQL can say it."""
 
-from bindings import checks, knowledge, lexical, models, normal, sounds
+from bindings import checks, knowledge, lexical, models, normal, sounds, upkeep
+from bindings.upkeep_sql import SQL
 
-MODULES = [lexical, models, normal, sounds, knowledge, checks]
+upkeep.SQL = SQL
+MODULES = [lexical, models, normal, sounds, knowledge, checks, upkeep]
