@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Private-use working characters.
@@ -17,6 +17,24 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def chained(df: DataFrame, text_col: str, steps: list[Callable[[Column], Column]], out: str = "_states") -> DataFrame:
+    """Add ARRAY<STRING> of the text before and after every step.
+
+    A step reads the column before it exactly once, so a filter that the optimiser pushes
+    through all steps grows with their number and not with its power.
+    """
+    df = df.withColumn(out, F.array(text_col))
+    for k, step in enumerate(steps):
+        df = df.withColumn(f"{out}{k}", let(F.col(out if k == 0 else f"{out}{k - 1}"), _appended(step)))
+    if not steps:
+        return df
+    return df.withColumn(out, F.col(f"{out}{len(steps) - 1}")).drop(*[f"{out}{k}" for k in range(len(steps))])
+
+
+def _appended(step: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda states: F.concat(states, F.array(let(F.element_at(states, -1), lambda text: step(text))))
+
+
 def tokens(text: Column) -> Column:
     """Words and single punctuation marks; blank tokens never arise."""
     return F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0))
@@ -123,10 +141,9 @@ def replace_first(text: Column, wrong: Column, right: Column) -> Column:
 def occurrences(text: Column, word: Column) -> Column:
     """All start positions (from 0) of a word, overlapping ones included, in order."""
     pieces = F.split(text, F.concat(F.lit(r"(?=\Q"), word, F.lit(r"\E)")), -1)
-    return let(pieces, lambda ps: F.filter(
-        F.zip_with(running_starts(F.transform(ps, F.length)), ps,
-                   lambda start, piece: F.when(F.startswith(piece, word), start)),
-        lambda start: start.isNotNull()))
+    # every piece but the first starts at an occurrence; the first one starts with the text
+    return F.filter(let(pieces, lambda ps: running_starts(F.transform(ps, F.length))),
+                    lambda start: (start > 0) | F.startswith(text, word))
 
 
 def strip(text: Column) -> Column:

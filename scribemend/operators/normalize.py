@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scribemend.functions.numerals import numeral_value, read_digits
-from scribemend.functions.text import contains_any, let, rewrite_matches, strip
+from scribemend.functions.text import chained, contains_any, let, rewrite_matches, strip
 
 CHANGE = "struct<layer:string,type:string,before:string,after:string,reason:string,pos:int>"
 
@@ -205,24 +205,20 @@ NUMBER_RULES = [
 RULES = [*NUMBER_RULES, Rule("add_punctuation", punctuate, "punctuation")]
 
 
-def change(layer: str, kind: str, before: Column, after: Column) -> Column:
-    return F.struct(F.lit(layer).alias("layer"), F.lit(kind).alias("type"), before.alias("before"),
-                    after.alias("after"), F.lit(None).cast("string").alias("reason"),
-                    F.lit(None).cast("int").alias("pos"))
-
-
 def normalize(df: DataFrame, text_col: str = "text", rules: list[Rule] = RULES,
               out: str = "normalized", changes: str = "changes") -> DataFrame:
     """Apply rules in order; adds the new text and the change records."""
-    keep = df.columns
-    steps = [F.col(text_col)]
-    for k, rule in enumerate(rules):
-        df = df.withColumn(f"_n{k}", rule.apply(steps[-1]))
-        steps.append(F.col(f"_n{k}"))
-    records = [F.when(a != b, change(rule.layer, rule.name, a, b))
-               for rule, a, b in zip(rules, steps, steps[1:])]
-    log = F.filter(F.array(*records), lambda c: c.isNotNull()) if records else F.expr(f"CAST(array() AS array<{CHANGE}>)")
-    return df.select(*keep, steps[-1].alias(out), log.alias(changes))
+    names = F.array(*[F.struct(F.lit(r.layer).alias("layer"), F.lit(r.name).alias("type")) for r in rules])
+
+    def records(states: Column) -> Column:
+        changed = F.transform(names, lambda r, k: F.when(states[k] != states[k + 1], F.struct(
+            r["layer"].alias("layer"), r["type"].alias("type"), states[k].alias("before"), states[k + 1].alias("after"),
+            F.lit(None).cast("string").alias("reason"), F.lit(None).cast("int").alias("pos"))))
+        return F.filter(changed, lambda c: c.isNotNull())
+
+    log = let(F.col("_states"), records) if rules else F.expr(f"CAST(array() AS array<{CHANGE}>)")
+    return (chained(df, text_col, [r.apply for r in rules])
+            .withColumn(changes, log).withColumn(out, F.element_at("_states", -1)).drop("_states"))
 
 
 def rule_hits(normalized: DataFrame, changes: str = "changes") -> DataFrame:
