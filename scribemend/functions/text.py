@@ -130,6 +130,16 @@ def rewrite_matches(text: Column, pattern: str, groups: int,
     return F.when(contains_any(text, needs), out).otherwise(text) if needs else out
 
 
+def item_rows(df: DataFrame, keep: list[str | Column], items: Column, name: str, pos: str | None = None) -> DataFrame:
+    """One row per item of a computed array; arrays hold no nulls.
+
+    A plain explode makes the optimiser test the array for null and size below it, which
+    works a costly array out three times; the outer form does not.
+    """
+    made = F.posexplode_outer(items).alias(pos, name) if pos else F.explode_outer(items).alias(name)
+    return df.select(*keep, made).filter(F.col(name).isNotNull())
+
+
 def replace_first(text: Column, wrong: Column, right: Column) -> Column:
     """Replace the first occurrence only; text without it stays as it is."""
     at = F.position(wrong, text)

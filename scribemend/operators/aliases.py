@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scribemend.functions.text import gaps_between, let, occurrences, rewrite_matches, running_starts
+from scribemend.functions.text import gaps_between, item_rows, let, occurrences, rewrite_matches, running_starts
 from scribemend.session import bounded_rows, broadcast_if_small
 
 # Private-use characters that frame and spell a covered span.
@@ -151,7 +151,7 @@ def _present_entries(df: DataFrame, lexicon: DataFrame, id_col: str, text_col: s
     pairs = F.flatten(F.array(*[
         F.regexp_extract_all(F.substring(F.col(text_col), F.lit(k), F.length(text_col)), F.lit("(?s:..)"), F.lit(0))
         for k in (1, 2)]))
-    grams = df.select(id_col, text_col, F.explode(F.array_distinct(pairs)).alias("_gram"))
+    grams = item_rows(df, [id_col, text_col], F.array_distinct(pairs), "_gram")
     keyed = broadcast_if_small(usable(lexicon).filter(F.length("alias") > 1)
                                .withColumn("_gram", F.substring("alias", 1, 2)))
     entry = F.struct((-F.length("alias")).alias("rank"), "lex_order", "alias", "canonical",
@@ -195,15 +195,14 @@ def alias_occurrences(df: DataFrame, lexicon: DataFrame, id_col: str = "id", tex
                 kv["key"].alias("alias"), kv["value"]["canonical"].alias("canonical"),
                 kv["value"]["lex_order"].alias("lex_order"))))
     held = F.filter(entries, lambda e: F.contains(F.col(text_col), e["alias"]))
-    return (df.select(id_col, text_col, F.explode(held).alias("_e"))
-            .select(id_col, "_e.alias", "_e.canonical", "_e.lex_order",
-                    F.explode(occurrences(F.col(text_col), F.col("_e.alias"))).alias("pos")))
+    return item_rows(item_rows(df, [id_col, text_col], held, "_e"), [id_col, "_e.alias", "_e.canonical", "_e.lex_order"],
+                     occurrences(F.col(text_col), F.col("_e.alias")), "pos")
 
 
 def kept_spans(df: DataFrame, lexicon: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """Greedy non-overlapping spans: (id, pos, alias, canonical, lex_order)."""
-    return (resolve_aliases(df, lexicon, id_col, text_col)
-            .select(id_col, F.explode("resolved.spans").alias("_s")).select(id_col, "_s.*"))
+    resolved = resolve_aliases(df, lexicon, id_col, text_col)
+    return item_rows(resolved, [id_col], F.col("resolved.spans"), "_s").select(id_col, "_s.*")
 
 
 def span_changes(spans: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scribemend.functions.entities import entity_keys
-from scribemend.functions.text import character_error_rate
+from scribemend.functions.text import character_error_rate, item_rows
 from scribemend.operators.aliases import literal_entries
 
 
@@ -63,7 +63,7 @@ def trigger_rates(df: DataFrame, layers: dict[str, str]) -> DataFrame:
 
 def change_counts(df: DataFrame, changes: str = "changes") -> DataFrame:
     """(layer, type, before, after, n) over all change records."""
-    return (df.select(F.explode(changes).alias("c"))
+    return (item_rows(df, [], F.col(changes), "c")
             .groupBy("c.layer", "c.type", "c.before", "c.after").agg(F.count("*").alias("n")))
 
 

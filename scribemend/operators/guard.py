@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scribemend.functions.entities import entities, entity_keys
-from scribemend.functions.text import edit_distance, let, numbers, strip
+from scribemend.functions.text import edit_distance, item_rows, let, numbers, strip
 
 SHINGLE = 5
 
 
 def entity_rows(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, type, text, value, start, end), one row per entity."""
-    return df.select(id_col, F.explode(entities(F.col(text_col))).alias("e")).select(id_col, "e.*")
+    return item_rows(df, [id_col], entities(F.col(text_col)), "e").select(id_col, "e.*")
 
 
 def lost_entities(before: DataFrame, after: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -43,9 +43,8 @@ def shingles(text: Column) -> Column:
 def repeat_injections(df: DataFrame, before: str, after: str, id_col: str = "id") -> DataFrame:
     """Ids of texts that grew by more than two characters and repeat a known run more often than before."""
     grown = df.filter(F.length(after) > F.length(before) + 2)
-    rows = grown.select(id_col, F.explode(shingles(F.col(before))).alias("run"), F.lit(1).alias("b"), F.lit(0).alias("a")
-                        ).unionByName(grown.select(id_col, F.explode(shingles(F.col(after))).alias("run"),
-                                                   F.lit(0).alias("b"), F.lit(1).alias("a")))
+    rows = item_rows(grown, [id_col, F.lit(1).alias("b"), F.lit(0).alias("a")], shingles(F.col(before)), "run").unionByName(
+        item_rows(grown, [id_col, F.lit(0).alias("b"), F.lit(1).alias("a")], shingles(F.col(after)), "run"))
     return (rows.groupBy(id_col, "run").agg(F.sum("b").alias("b"), F.sum("a").alias("a"))
             .filter((F.col("b") >= 1) & (F.col("a") > F.col("b"))).select(id_col).distinct())
 

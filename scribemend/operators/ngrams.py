@@ -11,8 +11,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scribemend.functions.text import item_rows
 from scribemend.operators.tokens import gram_arrays
-from scribemend.session import skew_safe_join
+from scribemend.session import cut_lineage, skew_safe_join
 
 SEPARATOR = "\u0001"
 HOT_SHARE = 10_000  # a gram is hot from 1/10000 of all tokens on: at most 10000 per order
@@ -31,7 +32,7 @@ def train(df: DataFrame, n: int = 2, token_col: str = "tokens") -> NgramModel:
         raise ValueError("n must be 1, 2 or 3")
     tokens = F.col(token_col)
     every = F.flatten(F.array(*[gram_arrays(tokens, k) for k in range(1, n + 1)]))
-    grams = (df.select(F.explode(every).alias("gram")).groupBy("gram").agg(F.count("*").alias("cnt"))
+    grams = (item_rows(df, [], every, "gram").groupBy("gram").agg(F.count("*").alias("cnt"))
              .select(F.size("gram").alias("n"), "gram", "cnt"))
     contexts = (grams.filter("n >= 2")
                 .groupBy(F.slice("gram", F.lit(1), F.col("n") - 1).alias("context"))
@@ -98,11 +99,12 @@ def score_tokens(df: DataFrame, model: NgramModel, n: int = 2, id_col: str = "id
         F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1))),
         lambda i: F.slice(tokens, F.greatest(i - (n - 1), F.lit(1)), F.least(i, F.lit(n)))))
     placed = F.transform(windows, lambda w, i: F.struct(F.least(i, F.lit(2)).alias("place"), w.alias("gram")))
-    counted = (df.select(id_col, F.explode(placed).alias("w"))
+    counted = (item_rows(df, [id_col], placed, "w")
                .groupBy(id_col, F.col("w.place").alias("place"), F.col("w.gram").alias("gram"))
                .agg(F.count("*").alias("times")))
     types = counted.groupBy("place", "gram").agg(F.sum("times").alias("times"))
-    scored = _score_windows(types, model, n, vocab, total)
+    # read twice below: once as the broadcast hot part, once as a whole
+    scored = cut_lineage(_score_windows(types, model, n, vocab, total))
     hot = scored.filter(F.col("seen") * HOT_SHARE >= max(total, 1)).drop("seen")
     matched = skew_safe_join(counted, scored.drop("seen"), ["place", "gram"], hot, F.col(id_col))
     sums = matched.groupBy(id_col).agg(F.sum(F.col("log_p") * F.col("times")).alias("log_prob"),

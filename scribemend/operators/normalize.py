@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scribemend.functions.numerals import numeral_value, read_digits
-from scribemend.functions.text import chained, contains_any, let, rewrite_matches, strip
+from scribemend.functions.text import chained, contains_any, item_rows, let, rewrite_matches, strip
 
 CHANGE = "struct<layer:string,type:string,before:string,after:string,reason:string,pos:int>"
 
@@ -223,5 +223,5 @@ def normalize(df: DataFrame, text_col: str = "text", rules: list[Rule] = RULES,
 
 def rule_hits(normalized: DataFrame, changes: str = "changes") -> DataFrame:
     """Texts changed per rule."""
-    return (normalized.select(F.explode(changes).alias("c"))
+    return (item_rows(normalized, [], F.col(changes), "c")
             .groupBy(F.col("c.type").alias("rule")).agg(F.count("*").alias("hits")))

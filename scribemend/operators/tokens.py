@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scribemend.functions.text import located_tokens, tokens
+from scribemend.functions.text import item_rows, located_tokens, tokens
 from scribemend.operators.aliases import resolve_aliases
 
 
@@ -19,7 +19,7 @@ def with_tokens(df: DataFrame, text_col: str = "text", out: str = "tokens", toke
 
 def token_rows(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, pos, token, start): one row per token with its character offset."""
-    return (df.select(id_col, F.posexplode(located_tokens(F.col(text_col))).alias("pos", "_t"))
+    return (item_rows(df, [id_col], located_tokens(F.col(text_col)), "_t", "pos")
             .select(id_col, F.col("pos").cast("long").alias("pos"), "_t.token",
                     F.col("_t.start").cast("long").alias("start")))
 
