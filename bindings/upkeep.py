@@ -50,6 +50,14 @@ def json_lines(spark, folder):
         F.count("*").alias("n"), F.sum(F.length("asr")).cast("long").alias("chars"))
 
 
+def error_types(spark, folder):
+    """Distribution of the error types of pairs: speakers and long turns stand for the types."""
+    from scribemend.operators.evaluate import error_type_counts
+    t = read(spark, folder, "conversations")
+    return error_type_counts(t.select(F.when(F.length("text") > 300, F.array(F.col("role"), F.lit("long")))
+                                      .otherwise(F.array("role")).alias("error_types")))
+
+
 def corpus_lines(spark, folder):
     return S.corpus_lines(documents(spark, folder), "text").groupBy("text").agg(F.count("*").alias("n"))
 
@@ -248,6 +256,7 @@ def streamed_active_lexicon(spark, folder):
 
 
 QUERIES = {
+    "error_types": error_types,
     "written_lines": written_lines, "json_lines": json_lines, "corpus_lines": corpus_lines, "extended_corpus": extended_corpus,
     "assembled_conversations": assembled_conversations, "versioned_pages": versioned_pages, "failure_log": failure_log,
     "report_samples": report_samples, "lexicon_versions": lexicon_versions, "listed_words": listed_words,

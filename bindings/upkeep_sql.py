@@ -35,6 +35,8 @@ def _confusion_hits() -> str:
 
 
 SQL = {
+    "error_types": """SELECT role AS error_type, count(*) AS n FROM conversations GROUP BY role
+UNION ALL SELECT 'long', count(*) FROM conversations WHERE length(text) > 300""",
     "written_lines": """SELECT alias, arg_max(canonical, line_no) AS canonical, max(line_no) AS lex_order FROM (
   SELECT p_partkey AS line_no, p_name AS alias, lower(p_type) AS canonical FROM part WHERE p_size < 40 AND p_size % 10 <> 0) GROUP BY alias""",
     "json_lines": """SELECT upper(role) AS correct, role AS error_type, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars

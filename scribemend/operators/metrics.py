@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scribemend.session import broadcast_if_small
+from scribemend.session import broadcast_if_small, cut_lineage
 
 PERCENTS = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 SAMPLES = 10_000
@@ -52,6 +52,8 @@ def exact_percentiles(df: DataFrame, by: str, value: str, percents: dict[str, fl
     counted = data.groupBy(by, "v").agg(F.count("*").alias("n"))
     edges = data.groupBy(by).agg(F.percentile_approx(
         "v", F.array(*[F.lit(k / BINS) for k in range(1, BINS)]), F.lit(10_000)).alias("edges"))
+    # small tables that are read again: a few hundred numbers and at most six rows per series
+    edges = cut_lineage(edges)
     binned = (counted.join(broadcast_if_small(edges), by)
               .withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("v")))).drop("edges"))
     totals = binned.groupBy(by, "bin").agg(F.sum("n").alias("n"))
@@ -64,12 +66,12 @@ def exact_percentiles(df: DataFrame, by: str, value: str, percents: dict[str, fl
              .withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))))
              .filter((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("past")))
              .select(by, "bin", "w.name", "at", "rank", "first"))
-    ranks = broadcast_if_small(ranks)
+    ranks = cut_lineage(ranks)
     inside = W.partitionBy(by, "bin").orderBy("v")
-    needed = binned.join(F.broadcast(ranks.select(by, "bin").distinct()), [by, "bin"], "left_semi")
+    needed = binned.join(broadcast_if_small(ranks.select(by, "bin").distinct()), [by, "bin"], "left_semi")
     ordered = (needed.withColumn("upto", F.sum("n").over(inside)).withColumn("before", F.col("upto") - F.col("n"))
                .select(by, "bin", "v", "before", "upto"))
-    hits = (ordered.join(ranks, [by, "bin"])
+    hits = (ordered.join(broadcast_if_small(ranks), [by, "bin"])
             .filter((F.col("rank") - F.col("first") >= F.col("before")) & (F.col("rank") - F.col("first") < F.col("upto"))))
     low = F.min(F.struct("rank", "v")).alias("low")
     high = F.max(F.struct("rank", "v")).alias("high")

@@ -104,3 +104,36 @@ def test_each_distinct_text_is_corrected_once_with_the_same_result(spark):
     df = spark.range(300).select("id", F.when(F.col("id") < 200, "3号道差").otherwise(F.concat(F.lit("道差"), F.col("id").cast("string"))).alias("text"))
     once = {r.id: r.corrected for r in P.correct_distinct(df, res, (2,)).collect()}
     assert once == {r.id: r.corrected for r in P.correct(df, res, (2,)).collect()} and len(once) == 300
+
+
+def test_golden_text_through_all_layers(spark):
+    aliases = spark.createDataFrame([("新号机", "信号机", 1)], "alias string, canonical string, lex_order long")
+    confusion = spark.createDataFrame([("道差", "道岔", 1)], "wrong string, correct string, lex_order long")
+    terms = spark.createDataFrame([("信号", ["新号"], [r"新号|信号好了"], 1)], "canonical string, aliases array<string>, patterns array<string>, lex_order long")
+    phrases = spark.createDataFrame([(1, "松引，", "")], "rule_no long, pattern string, replacement string")
+    res = P.Resources(aliases=aliases, confusion=confusion, terms=terms, phrases=phrases)
+    df = spark.createDataFrame([(1, "十八号道差开通反位，信号好了"), (2, "松引，新号机好了。")], "id int, text string")
+    rows = {r.id: r for r in P.correct(df, res).collect()}
+    assert rows[1].corrected == "18号道岔开通反位，信号好了。" and rows[1].layers_applied == ["preprocess", "context"]
+    assert rows[1].layer_outputs["layer2"] == "18号道差开通反位，信号好了。"
+    assert rows[2].corrected == "信号机好了。" and rows[2].layers_applied == ["dictionary", "context"]
+    assert {r.id: r.corrected for r in P.correct(df, res, ()).collect()} == {1: "十八号道差开通反位，信号好了", 2: "松引，新号机好了。"}
+
+
+def test_model_is_published_only_if_better(spark, tmp_path):
+    good = spark.createDataFrame([(k, ["a", "b"] * 5) for k in range(5)], "id int, tokens array<string>")
+    bad = spark.createDataFrame([(k, ["c", "d", "a", "e"]) for k in range(5)], "id int, tokens array<string>")
+    first, second = str(tmp_path / "one"), str(tmp_path / "two")
+    new, old, path = J.publish_model(spark, good, good, first, None)
+    assert old is None and path == first
+    assert J.publish_model(spark, bad, good, second, first)[2] == first
+
+
+def test_report_and_failure_log(spark, tmp_path):
+    rows = spark.createDataFrame([(k, f"2024-01-0{1 + k % 9} 10:00:00", "漏纠", "layer2") for k in range(30)],
+                                 "id int, ts string, failure_type string, layer_responsible string").withColumn("ts", F.col("ts").cast("timestamp"))
+    T.append_failures(rows, str(tmp_path / "log"))
+    recent = T.recent_failures(spark, str(tmp_path / "log"), F.lit("2024-01-09").cast("date"), 2)
+    assert recent.count() == 6 and "PartitionFilters: [isnotnull(dt" in recent._jdf.queryExecution().toString()
+    T.write_report(recent, str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report/samples")).count() == 6
