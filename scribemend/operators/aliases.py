@@ -143,20 +143,19 @@ def resolve_aliases_column(text: Column, lex: AliasEntries) -> Column:
 
 
 def _present_entries(df: DataFrame, lexicon: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, _entries): per text the aliases that share a two-character gram with it.
+    """(id, _entries): per text the aliases whose first characters (up to three) it holds.
 
     Only for lexicons too large for a literal.  The gram is a necessary condition, so
-    nothing is lost; the array of a text is bounded by the text's own grams.
+    nothing is lost, and the fold tests for the whole alias; only ids and grams are
+    joined, never the texts.
     """
-    pairs = F.flatten(F.array(*[
-        F.regexp_extract_all(F.substring(F.col(text_col), F.lit(k), F.length(text_col)), F.lit("(?s:..)"), F.lit(0))
-        for k in (1, 2)]))
-    grams = item_rows(df, [id_col, text_col], F.array_distinct(pairs), "_gram")
+    pieces = F.concat(*[F.regexp_extract_all(F.col(text_col), F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)) for k in (2, 3)])
+    grams = item_rows(df, [id_col], F.array_distinct(pieces), "_gram")
     keyed = broadcast_if_small(usable(lexicon).filter(F.length("alias") > 1)
-                               .withColumn("_gram", F.substring("alias", 1, 2)))
+                               .withColumn("_gram", F.substring("alias", 1, 3)))
     entry = F.struct((-F.length("alias")).alias("rank"), "lex_order", "alias", "canonical",
                      _mark_column(F.col("alias"), F.col("lex_order")).alias("mark"))
-    return (grams.join(keyed, "_gram").filter(F.contains(F.col(text_col), F.col("alias")))
+    return (grams.join(keyed, "_gram")
             .groupBy(id_col).agg(F.array_sort(F.collect_set(entry)).alias("_found"))
             .select(id_col, F.transform("_found", lambda e: F.struct(
                 e["alias"].alias("alias"), e["canonical"].alias("canonical"),

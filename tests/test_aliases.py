@@ -84,3 +84,13 @@ def test_phrases_and_tolerant_patterns(spark):
     rows = {r.id: r for r in R.replace_by_patterns(df, R.tolerant_rules(terms)).collect()}
     assert rows[1].replaced == "18号道岔和道差" and rows[1].pattern_changes[0].before == "18号道差"
     assert rows[2].replaced == "3号道岔" and not rows[2].pattern_changes
+
+
+def test_lexicon_over_the_literal_bound(spark):
+    rows = [(f"k{n:05d}", f"c{n}", n) for n in range(6000)] + [("k0", "short", 7000), ("z", "one", 7001)]
+    lexicon = spark.createDataFrame(rows, "alias string, canonical string, lex_order long")
+    assert A.literal_entries(lexicon) is None
+    df = spark.createDataFrame([(1, "k00007 k05999k0 z kz"), (2, "none")], "id int, text string")
+    got = {r.id: r.resolved.text for r in A.resolve_aliases(df, lexicon).collect()}
+    assert got == {1: "c7 c5999short one kz", 2: "none"}
+    assert A.alias_occurrences(df, lexicon).filter("alias = 'k0'").count() == 3
