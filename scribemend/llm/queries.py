@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from scribemend.llm import bpe, dac, exact, mixing
+from scribemend.llm import bpe, dac, exact, mixing, pii, toxicity, warc
 from scribemend.llm.common import table
 
 
@@ -17,6 +16,10 @@ def op5_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     return dac.ids_written_and_read(table(spark, folder, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
     return mixing.mix(mixing.with_quality(docs, table(spark, folder, "labels")))
@@ -26,7 +29,16 @@ def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_copies(table(spark, folder, "documents")).drop("n_chars")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op5_token_ids": op5_token_ids, "op7_mixing": op7_mixing, "op8_exact_dedup": op8_exact_dedup}
+def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_data(table(spark, folder, "documents"))
+
+
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archived(table(spark, folder, "pages")).drop("url")
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op5_token_ids": op5_token_ids, "op6_toxicity": op6_toxicity, "op7_mixing": op7_mixing, "op8_exact_dedup": op8_exact_dedup,
+           "op9_pii": op9_pii, "op10_warc": op10_warc}
 
 SQL = {
     "op8_exact_dedup": r"""
@@ -61,4 +73,10 @@ placed AS (SELECT k.doc_id, k.size, b.source_size, b.target, b.epochs, round(b.t
                                              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
            FROM keyed k JOIN budgets b ON k.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, budget - before)))::BIGINT AS taken FROM placed""",
+    "op10_warc": """
+WITH paid AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first_id FROM paid)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+       CASE WHEN n >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id <> first_id THEN first_id END AS refers_to FROM firsts""",
 }
