@@ -27,6 +27,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scribemend.llm.common import as_text, keyed_as
+
 LEAF = 32
 #: Entries of a worker's two tables, of parts of texts and of matches of the pattern, and the longest part kept.
 PARTS, MATCHES, KEPT_CHARS = 500_000, 400_000, 48
@@ -213,8 +215,7 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": [coder.encode(t) for t in batch["text"]]})
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(
-        run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return keyed_as(docs, as_text(docs).mapInPandas(run, "doc_id string, ids array<int>"))
 
 
 def decoded(codes: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -227,8 +228,8 @@ def decoded(codes: DataFrame, path: str | None = None, pattern: str | None = Non
             yield pd.DataFrame({"doc_id": batch["doc_id"],
                                 "bytes": [coder.decode(np.asarray([] if ids is None else ids, "<i4")) for ids in batch["ids"]]})
 
-    return codes.select("doc_id", "ids").mapInPandas(
-        run, f"doc_id {codes.schema['doc_id'].dataType.simpleString()}, bytes binary")
+    rows = codes.select(F.col("doc_id").cast("string").alias("doc_id"), "ids")
+    return keyed_as(codes, rows.mapInPandas(run, "doc_id string, bytes binary"))
 
 
 def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -247,5 +248,5 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield out
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(
-        run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return keyed_as(docs, as_text(docs).mapInPandas(
+        run, "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string"))

@@ -62,6 +62,16 @@ def matching(left: DataFrame, keys: DataFrame, on: list[str], how: str = "left_s
     return left.join(F.broadcast(keys) if keys.count() <= KEY_ROWS else keys, on, how)
 
 
+def as_text(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) for a pandas function: the id as text, because pandas turns numbers beside nulls into floats."""
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def keyed_as(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows whose doc_id has the type that it has in `docs` again."""
+    return rows.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
+
+
 def open_output(path: str):
     """A file in the shared folder, opened for writing from any executor (file:, hdfs: and object stores)."""
     from pyarrow import fs

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scribemend.llm.common import attach, stored
+from scribemend.llm.common import as_text, attach, keyed_as, stored
 
 # The kinds in their order, the characters and patterns of the rules.
 KINDS = ("email", "ip", "card", "phone")
@@ -108,9 +108,7 @@ def scan(docs: DataFrame) -> DataFrame:
             found = [mentions(text) for text in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "seeds": [s for s, _ in found], "others": [o for _, o in found]})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(
-        run, f"doc_id {kind}, seeds {SEED}, others {OTHER}")
+    rows = keyed_as(docs, as_text(docs).mapInPandas(run, f"doc_id string, seeds {SEED}, others {OTHER}"))
     return stored(rows.withColumn("row", F.monotonically_increasing_id()), "mentions")  # fixed once it is written
 
 

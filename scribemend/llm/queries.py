@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scribemend.llm import bpe, dac, exact, mixing, pii, toxicity, warc
+from scribemend.llm import bpe, dac, exact, jaccard, mixing, pii, toxicity, warc
 from scribemend.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"))
 
 
+def op3_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.linked(table(spark, folder, "documents"))
+
+
 def op5_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     return dac.ids_written_and_read(table(spark, folder, "documents"))
 
@@ -37,7 +41,7 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archived(table(spark, folder, "pages")).drop("url")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op5_token_ids": op5_token_ids, "op6_toxicity": op6_toxicity, "op7_mixing": op7_mixing, "op8_exact_dedup": op8_exact_dedup,
+QUERIES = {"op1_bpe": op1_bpe, "op3_jaccard": op3_jaccard, "op5_token_ids": op5_token_ids, "op6_toxicity": op6_toxicity, "op7_mixing": op7_mixing, "op8_exact_dedup": op8_exact_dedup,
            "op9_pii": op9_pii, "op10_warc": op10_warc}
 
 SQL = {

@@ -56,7 +56,7 @@ def fit(positive: list[set[bytes]], unlabelled: list[set[bytes]], prior: float,
         if c >= 3:
             p, u = c / n, (counts[1][f] + 0.5) / (m + 1)
             z = (p - u) / np.sqrt(u * (1 - u) * (1 / n + 1 / m) + 1e-12)
-            if z > 5:
+            if z > 4:
                 lift[f] = z
     names = sorted(lift, key=lambda f: (-lift[f], f))[:MOST_FEATURES]
     place = {f: i for i, f in enumerate(names)}
