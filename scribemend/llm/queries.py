@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scribemend.llm import bpe, dac, exact, jaccard, mixing, pii, toxicity, warc
+from scribemend.llm import bpe, dac, exact, jaccard, mixing, neighbours, pii, toxicity, warc
 from scribemend.llm.common import table
 
 
@@ -12,6 +13,10 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"))
 
 
+def op2_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.linked(table(spark, folder, "documents"))
 
@@ -41,7 +46,7 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archived(table(spark, folder, "pages")).drop("url")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_jaccard": op3_jaccard, "op5_token_ids": op5_token_ids, "op6_toxicity": op6_toxicity, "op7_mixing": op7_mixing, "op8_exact_dedup": op8_exact_dedup,
+QUERIES = {"op1_bpe": op1_bpe, "op2_neighbours": op2_neighbours, "op3_jaccard": op3_jaccard, "op5_token_ids": op5_token_ids, "op6_toxicity": op6_toxicity, "op7_mixing": op7_mixing, "op8_exact_dedup": op8_exact_dedup,
            "op9_pii": op9_pii, "op10_warc": op10_warc}
 
 SQL = {
