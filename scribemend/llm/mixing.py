@@ -22,7 +22,7 @@ from scribemend.llm.common import WORD, attach, stored
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2.0
-BINS = 65536
+BINS = 4096
 
 
 def uniform(key: Column, seed: str) -> Column:
@@ -58,15 +58,21 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
                         F.least("full", F.coalesce(fits, F.lit(float("inf"))) * F.col("w")).alias("target"))
 
 
-def mix(docs: DataFrame, seed: str = "mix-1:", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE,
+def measured(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, size, weight) of each row of (doc_id, text, source); every weight is 1."""
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"),
+                       F.lit(1.0).alias("weight"))
+
+
+def mix(sizes: DataFrame, seed: str = "mix-1:", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE,
         most: float = MOST) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for each row of (doc_id, text, source, weight).
+    """(doc_id, size, source_size, target, taken) for each row of (doc_id, source, size, weight).
 
     `weight` is the quality weight of the document, above 0; null counts as 1.
     """
     weight = F.coalesce(F.col("weight").cast("double"), F.lit(1.0))
     key = -F.log(uniform(F.col("doc_id"), seed)) / weight
-    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("key"))
+    rows = sizes.select("doc_id", "source", "size", key.alias("key"))
     # bins of 1 - exp(-key): in the order of the keys, and evenly filled for weight 1
     rows = rows.withColumn("bin", F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * BINS).cast("int"))
     rows = stored(rows.withColumn("name", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))), "sizes")
@@ -96,21 +102,23 @@ def mix(docs: DataFrame, seed: str = "mix-1:", weights: tuple[float, ...] = WEIG
                       (F.col("epochs") * F.col("size") + extra).cast("long").alias("taken"))
 
 
-def with_quality(docs: DataFrame, labels: DataFrame, good: float = 2.0, bad: float = 0.5) -> DataFrame:
-    """Adds `weight`: `good` or `bad` as labels.quality says (the lowest, if several), 1 without a label."""
+def with_quality(sizes: DataFrame, labels: DataFrame, good: float = 2.0, bad: float = 0.5) -> DataFrame:
+    """Sizes with the weight that labels.quality gives: `good` or `bad` (the lowest, if several), 1 without a label."""
     given = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    joined = docs.join(given, "doc_id", "left")
-    return joined.withColumn("weight", F.when(F.col("quality") == 1, F.lit(good)).when(F.col("quality") == 0, F.lit(bad))
-                             .otherwise(F.lit(1.0))).drop("quality")
+    joined = stored(sizes, "measured").join(given, "doc_id", "left")
+    weight = F.when(F.col("quality") == 1, F.lit(good)).when(F.col("quality") == 0, F.lit(bad)).otherwise(F.lit(1.0))
+    return joined.withColumn("weight", weight).drop("quality")
 
 
 def mixed(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """`docs` (all columns) as the mix takes them: as many copies as epochs, a part counts if it is half or more.
 
-    Documents of no words are left out: the mix takes nothing of them.
+    Documents of no words are left out: the mix takes nothing of them.  Rows that share a doc_id (or have none) are
+    copied as often as the one that is taken most often.
     """
-    times = stored(decisions.filter("taken > 0").groupBy("doc_id").agg(
-        F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("times")), "times")
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    joined = packed.withColumn("doc_id", F.col("row.doc_id")).join(times, "doc_id").filter(n_words(F.col("row.text")) > 0)
-    return joined.filter("times > 0").select("row", F.explode(F.expr("sequence(1, times)"))).select("row.*")
+    name = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("null"))
+    times = stored(decisions.filter("taken > 0").groupBy(name.alias("name")).agg(
+        F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("times")).filter("times > 0"), "times")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), name.alias("name"))
+    joined = packed.filter(F.coalesce("row.text", F.lit("")).rlike(WORD)).join(times, "name")
+    return joined.select("row", F.explode(F.expr("sequence(1, times)"))).select("row.*")

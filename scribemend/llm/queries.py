@@ -30,8 +30,8 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
-    return mixing.mix(mixing.with_quality(docs, table(spark, folder, "labels")))
+    sizes = mixing.measured(table(spark, folder, "documents"))
+    return mixing.mix(mixing.with_quality(sizes, table(spark, folder, "labels")))
 
 
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
