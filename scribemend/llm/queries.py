@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scribemend.llm import bpe, dac, exact, jaccard, mixing, neighbours, pii, toxicity, warc
+from scribemend.llm import bpe, dac, exact, jaccard, mixing, neighbours, pages, pii, toxicity, warc
 from scribemend.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op3_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.linked(table(spark, folder, "documents"))
 
 
+def op4_html(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.main_text(table(spark, folder, "pages"))
+
+
 def op5_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     return dac.ids_written_and_read(table(spark, folder, "documents"))
 
@@ -46,8 +50,11 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archived(table(spark, folder, "pages")).drop("url")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_neighbours": op2_neighbours, "op3_jaccard": op3_jaccard, "op5_token_ids": op5_token_ids, "op6_toxicity": op6_toxicity, "op7_mixing": op7_mixing, "op8_exact_dedup": op8_exact_dedup,
-           "op9_pii": op9_pii, "op10_warc": op10_warc}
+QUERIES = {
+    "op1_bpe": op1_bpe, "op2_neighbours": op2_neighbours, "op3_jaccard": op3_jaccard, "op4_html": op4_html,
+    "op5_token_ids": op5_token_ids, "op6_toxicity": op6_toxicity, "op7_mixing": op7_mixing,
+    "op8_exact_dedup": op8_exact_dedup, "op9_pii": op9_pii, "op10_warc": op10_warc,
+}
 
 SQL = {
     "op8_exact_dedup": r"""
