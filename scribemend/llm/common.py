@@ -78,11 +78,11 @@ def open_output(path: str):
 
     system, inner = fs.FileSystem.from_uri(path)
     system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
-    return system.open_output_stream(inner)
+    return system.open_output_stream(inner, compression=None)  # else the file's name decides
 
 
 def open_input(path: str):
     from pyarrow import fs
 
     system, inner = fs.FileSystem.from_uri(path)
-    return system.open_input_stream(inner)
+    return system.open_input_stream(inner, compression=None)

@@ -142,6 +142,10 @@ def believed_patterns(found: DataFrame, support: int = SUPPORT, confident: float
     return stored(good.select("context", F.col("own_kind").alias("kind"), F.col("pattern_n").alias("n")), "believed")
 
 
+def _is(kind: int):
+    return lambda own: own == kind
+
+
 def _joined(spans):
     """kind:start:end of an array of (start, kind, end), by start and kind."""
     names = F.array(*[F.lit(k) for k in KINDS])
@@ -161,6 +165,6 @@ def personal_data(docs: DataFrame) -> DataFrame:
     more = more.groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))  # candidates of one text
     both = found.select("row", "doc_id", F.transform("seeds", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))).alias("base")).join(more, "row", "left")
     more = F.coalesce("more", F.expr("cast(array() as array<struct<start:long,kind:int,end:long>>)"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    counts = [F.size(F.filter(F.transform("base", lambda s: s["kind"]), _is(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return both.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
                        _joined(F.concat("base", more)).alias("spans"), F.size(more).cast("long").alias("n_found"))
