@@ -266,7 +266,7 @@ def linked(docs: DataFrame, n: int = 4, similarity: Fraction = Fraction(85, 100)
     return out.select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, n: int = 5, similarity: Fraction = Fraction(85, 100)) -> DataFrame:
+def one_of_each(docs: DataFrame, n: int = 5, similarity: Fraction = Fraction(80, 100)) -> DataFrame:
     """The rows of `docs` (all columns) of which the smallest doc_id of a class stays; rows without doc_id stay."""
     found = stored(linked(docs, n, similarity).filter("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
