@@ -3,14 +3,16 @@
 A lexicon is a table (alias, canonical, lex_order).  Greedy resolution (longest
 alias first, then lexicon order, then position, no overlaps) is one fold over the
 ordered lexicon: every alias is replaced in the text that earlier aliases left
-uncovered by a mark of private-use characters, which no alias can match.  The fold
-is linear in the text for every alias and needs no shuffle, so it also serves
-streams.  Lexicons over the literal bound take the join path, in which each text
-meets only the aliases it can hold.
+uncovered by a mark of private-use characters, which no alias can match.  A mark spells the
+place of its alias in the ordered lexicon, so lexicon orders may repeat or be
+negative.  The fold is linear in the text for every alias and needs no shuffle, so it
+also serves streams.  Lexicons over the literal bound take the join path, in which
+each text meets only the aliases it can hold; both give the same rows.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
@@ -19,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scribemend.functions.text import gaps_between, item_rows, let, occurrences, rewrite_matches, running_starts
-from scribemend.session import bounded_rows, broadcast_if_small
+from scribemend.session import bounded_rows
 
 # Private-use characters that frame and spell a covered span.
 # The frame tells whether the covered alias starts / ends with a word character.
@@ -41,55 +43,70 @@ SPAN = "struct<pos:int,alias:string,canonical:string,lex_order:bigint>"
 class AliasEntries:
     """Lexicon prepared for the fold: ordered entries and the one-character ones."""
 
-    entries: Column          # ARRAY<STRUCT<alias, canonical, lex_order, mark>>, longest first
+    entries: Column          # ARRAY<ENTRY>, longest first
     singles: Column          # MAP<alias, STRUCT<canonical, lex_order>>
     single_pattern: str | None
 
 
+ENTRY = "struct<alias:string,canonical:string,lex_order:bigint,find:string,mark:string>"
+#: Join keys are the first characters of an alias, up to so many.
+KEY_LENGTH = 8
+
+
 def usable(lexicon: DataFrame) -> DataFrame:
-    """Without empty and identity aliases; one row per alias, the last one wins."""
-    w = W.partitionBy("alias").orderBy(F.desc("lex_order"))
+    """Without empty and identity aliases; one row per alias, the last one wins (of equals the greatest canonical).
+
+    A single private-use character cannot be an alias; longer aliases may hold such characters.
+    """
+    w = W.partitionBy("alias").orderBy(F.desc("lex_order"), F.desc("canonical"))
     return (lexicon.filter((F.length("alias") > 0) & (F.col("alias") != F.col("canonical"))
-                           & ~F.col("alias").rlike(f"[{RESERVED}]"))
+                           & ~F.col("alias").rlike(f"^[{RESERVED}]$"))
             .withColumn("_n", F.row_number().over(w)).filter("_n = 1")
             .select("alias", "canonical", F.col("lex_order").cast("long").alias("lex_order")))
 
 
-def _mark_column(alias: Column, order: Column) -> Column:
+def _escaped(text: str) -> str:
+    return "".join(ESCAPE + ESCAPED[RESERVED.index(c)] if c in RESERVED else c for c in text)
+
+
+def _is_word(char: str) -> bool:
+    return char == "_" or char.isalnum()
+
+
+def _escape(text: Column) -> Column:
+    return rewrite_matches(text, f"[{RESERVED}]", 0, lambda m, _: F.concat(F.lit(ESCAPE), F.translate(m, RESERVED, ESCAPED)))
+
+
+def _mark_column(alias: Column, place: Column) -> Column:
     return F.concat(
         F.when(alias.rlike(f"^[{WORD}]"), OPEN_WORD).otherwise(OPEN_OTHER),
-        F.translate(F.hex(order), HEX, CODE),
+        F.translate(F.hex(place), HEX, CODE),
         F.when(alias.rlike(f"[{WORD}]\\z"), CLOSE_WORD).otherwise(CLOSE_OTHER))
 
 
-def literal_entries(lexicon: DataFrame) -> AliasEntries | None:
-    """Lexicon as literals, or None when it is over the bound."""
-    rows = bounded_rows(usable(lexicon))
+def literal_entries(lexicon: DataFrame, bounded: bool = True) -> AliasEntries | None:
+    """Lexicon as one literal, or None when it is over the bound (bounded=False: whatever its size, for streams)."""
+    rows = bounded_rows(usable(lexicon)) if bounded else usable(lexicon).collect()
     if rows is None:
         return None
-    ordered = sorted(rows, key=lambda r: (-len(r["alias"]), r["lex_order"]))
+    ordered = sorted(rows, key=lambda r: (-len(r["alias"]), r["lex_order"], r["alias"]))
     longer = [r for r in ordered if len(r["alias"]) > 1]
     singles = [r for r in ordered if len(r["alias"]) == 1]
-    none = F.expr("CAST(array() AS array<struct<alias:string,canonical:string,lex_order:bigint,mark:string>>)")
-    entries = F.array(*[
-        F.struct(F.lit(r["alias"]).alias("alias"), F.lit(r["canonical"]).alias("canonical"),
-                 F.lit(r["lex_order"]).cast("long").alias("lex_order"),
-                 _mark_column(F.lit(r["alias"]), F.lit(r["lex_order"]).cast("long")).alias("mark"))
-        for r in longer]) if longer else none
-    single_map = F.create_map(*[c for r in singles for c in (
-        F.lit(r["alias"]), F.struct(F.lit(r["canonical"]).alias("canonical"),
-                                    F.lit(r["lex_order"]).cast("long").alias("lex_order")))]) if singles else \
-        F.expr("CAST(map() AS map<string,struct<canonical:string,lex_order:bigint>>)")
+    held = [{"alias": r["alias"], "canonical": r["canonical"], "lex_order": r["lex_order"], "find": _escaped(r["alias"]),
+             "mark": (OPEN_WORD if _is_word(r["alias"][0]) else OPEN_OTHER) + "".join(CODE[HEX.index(c)] for c in f"{k:X}")
+             + (CLOSE_WORD if _is_word(r["alias"][-1]) else CLOSE_OTHER)} for k, r in enumerate(longer)]
+    # one string instead of thousands of literals; Spark works it out once
+    entries = F.from_json(F.lit(json.dumps(held)), f"array<{ENTRY}>")
+    single_map = F.from_json(F.lit(json.dumps({r["alias"]: {"canonical": r["canonical"], "lex_order": r["lex_order"]} for r in singles})),
+                             "map<string,struct<canonical:string,lex_order:bigint>>")
     pattern = "[" + "".join(re.escape(r["alias"]) for r in singles) + "]" if singles else None
     return AliasEntries(entries, single_map, pattern)
 
 
 def _marked(text: Column, lex: AliasEntries) -> Column:
     """Text in which every kept span is a mark."""
-    safe = rewrite_matches(text, f"[{RESERVED}]", 0,
-                           lambda m, _: F.concat(F.lit(ESCAPE), F.translate(m, RESERVED, ESCAPED)))
-    out = F.aggregate(lex.entries, safe, lambda acc, e: F.when(
-        F.contains(acc, e["alias"]), F.replace(acc, e["alias"], e["mark"])).otherwise(acc))
+    out = F.aggregate(lex.entries, _escape(text), lambda acc, e: F.when(
+        F.contains(acc, e["find"]), F.replace(acc, e["find"], e["mark"])).otherwise(acc))
     if lex.single_pattern:
         out = F.regexp_replace(
             out, f"({lex.single_pattern})(?<![{WORD}{CLOSE_WORD}](?s:.))(?![{WORD}{OPEN_WORD}])",
@@ -99,18 +116,17 @@ def _marked(text: Column, lex: AliasEntries) -> Column:
 
 def _resolved(text: Column, lex: AliasEntries) -> Column:
     """STRUCT<text, spans>: the rewritten text and the kept spans in text order."""
-    by_order = F.map_from_entries(F.transform(lex.entries, lambda e: F.struct(e["lex_order"], e)))
     pieces = let(_marked(text, lex), lambda marked: F.struct(
         gaps_between(marked, MARK).alias("gaps"),
         F.regexp_extract_all(marked, F.lit(MARK), F.lit(0)).alias("marks")))
 
-    def entry(mark: Column, orders: Column) -> Column:
+    def entry(mark: Column) -> Column:
         inner = F.substring(mark, F.lit(2), F.length(mark) - 2)
         single = F.startswith(mark, F.lit(SINGLE_OPEN))
         number = F.conv(F.translate(inner, CODE, HEX), 16, 10).cast("long")
         return F.when(single, let(lex.singles[inner], lambda s: F.struct(
             inner.alias("alias"), s["canonical"].alias("canonical"), s["lex_order"].alias("lex_order")))
-        ).otherwise(let(orders[number], lambda e: F.struct(
+        ).otherwise(let(F.get(lex.entries, number.cast("int")), lambda e: F.struct(
             e["alias"].alias("alias"), e["canonical"].alias("canonical"), e["lex_order"].alias("lex_order"))))
 
     def plain(gap: Column) -> Column:
@@ -128,9 +144,8 @@ def _resolved(text: Column, lex: AliasEntries) -> Column:
                                e["lex_order"].alias("lex_order"))))
         return F.struct(text_out.alias("text"), F.filter(spans, lambda s: s.isNotNull()).alias("spans"))
 
-    return let(pieces, lambda p: let(by_order, lambda orders: let(
-        F.transform(p["gaps"], plain), lambda gaps: let(
-            F.transform(p["marks"], lambda m: entry(m, orders)), lambda found: rebuild(gaps, found)))))
+    return let(pieces, lambda p: let(F.transform(p["gaps"], plain), lambda gaps: let(
+        F.transform(p["marks"], entry), lambda found: rebuild(gaps, found))))
 
 
 def resolve_aliases_column(text: Column, lex: AliasEntries) -> Column:
@@ -143,23 +158,24 @@ def resolve_aliases_column(text: Column, lex: AliasEntries) -> Column:
 
 
 def _present_entries(df: DataFrame, lexicon: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, _entries): per text the aliases whose first characters (up to three) it holds.
+    """(id, _entries): per text the aliases of which it holds the first characters, up to KEY_LENGTH.
 
-    Only for lexicons too large for a literal.  The gram is a necessary condition, so
-    nothing is lost, and the fold tests for the whole alias; only ids and grams are
-    joined, never the texts.
+    Only for lexicons too large for a literal.  Most aliases are no longer than the key, so a text gathers
+    little more than it holds; the fold tests for the whole alias.  Only ids and keys are joined, never the texts.
     """
-    pieces = F.concat(*[F.regexp_extract_all(F.col(text_col), F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)) for k in (2, 3)])
+    size = F.least(F.length("alias"), F.lit(KEY_LENGTH))
+    longer = usable(lexicon).filter(F.length("alias") > 1)
+    sizes = sorted(r[0] for r in longer.select(size).distinct().collect())  # at most KEY_LENGTH - 1 numbers
+    pieces = F.concat(F.expr("CAST(array() AS array<string>)"), *[
+        F.regexp_extract_all(F.col(text_col), F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)) for k in sizes])
     grams = item_rows(df, [id_col], F.array_distinct(pieces), "_gram")
-    keyed = broadcast_if_small(usable(lexicon).filter(F.length("alias") > 1)
-                               .withColumn("_gram", F.substring("alias", 1, 3)))
-    entry = F.struct((-F.length("alias")).alias("rank"), "lex_order", "alias", "canonical",
-                     _mark_column(F.col("alias"), F.col("lex_order")).alias("mark"))
+    keyed = longer.withColumn("_gram", F.substring(F.col("alias"), F.lit(1), size))
+    entry = F.struct((-F.length("alias")).alias("rank"), "lex_order", "alias", "canonical", _escape(F.col("alias")).alias("find"))
     return (grams.join(keyed, "_gram")
             .groupBy(id_col).agg(F.array_sort(F.collect_set(entry)).alias("_found"))
-            .select(id_col, F.transform("_found", lambda e: F.struct(
-                e["alias"].alias("alias"), e["canonical"].alias("canonical"),
-                e["lex_order"].alias("lex_order"), e["mark"].alias("mark"))).alias("_entries")))
+            .select(id_col, F.transform("_found", lambda e, k: F.struct(
+                e["alias"].alias("alias"), e["canonical"].alias("canonical"), e["lex_order"].alias("lex_order"),
+                e["find"].alias("find"), _mark_column(e["alias"], k.cast("long")).alias("mark"))).alias("_entries")))
 
 
 def resolve_aliases(df: DataFrame, lexicon: DataFrame, id_col: str = "id", text_col: str = "text",
@@ -169,11 +185,9 @@ def resolve_aliases(df: DataFrame, lexicon: DataFrame, id_col: str = "id", text_
     if lex is not None:
         return df.withColumn("resolved", resolve_aliases_column(F.col(text_col), lex))
     singles = usable(lexicon).filter(F.length("alias") == 1)
-    single_lex = literal_entries(singles)
-    if single_lex is None:
-        raise ValueError("more one-character aliases than the literal bound")
+    single_lex = literal_entries(singles, bounded=False)  # no more than there are characters
     found = _present_entries(df.select(id_col, text_col), lexicon, id_col, text_col)
-    none = F.expr("CAST(array() AS array<struct<alias:string,canonical:string,lex_order:bigint,mark:string>>)")
+    none = F.expr(f"CAST(array() AS array<{ENTRY}>)")
     joined = df.join(found, id_col, "left").withColumn("_entries", F.coalesce("_entries", none))
     lex = AliasEntries(F.col("_entries"), single_lex.singles, single_lex.single_pattern)
     return joined.withColumn("resolved", resolve_aliases_column(F.col(text_col), lex)).drop("_entries")
@@ -181,18 +195,17 @@ def resolve_aliases(df: DataFrame, lexicon: DataFrame, id_col: str = "id", text_
 
 def alias_occurrences(df: DataFrame, lexicon: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """Every occurrence of every alias, overlapping ones included: (id, alias, canonical, lex_order, pos)."""
+    def plain(e: Column) -> Column:
+        return F.struct(e["alias"].alias("alias"), e["canonical"].alias("canonical"), e["lex_order"].alias("lex_order"))
+
     lex = literal_entries(lexicon)
+    entries = F.transform(lex.entries, plain) if lex else F.transform("_entries", plain)
     if lex is None:
         held = _present_entries(df.select(id_col, text_col), lexicon, id_col, text_col)
-        df = df.join(held, id_col)
-        entries = F.col("_entries")
-    else:
-        entries = F.concat(
-            F.transform(lex.entries, lambda e: F.struct(e["alias"].alias("alias"), e["canonical"].alias("canonical"),
-                                                        e["lex_order"].alias("lex_order"))),
-            F.transform(F.map_entries(lex.singles), lambda kv: F.struct(
-                kv["key"].alias("alias"), kv["value"]["canonical"].alias("canonical"),
-                kv["value"]["lex_order"].alias("lex_order"))))
+        df = df.join(held, id_col, "left").withColumn("_entries", F.coalesce("_entries", F.expr(f"CAST(array() AS array<{ENTRY}>)")))
+        lex = literal_entries(usable(lexicon).filter(F.length("alias") == 1), bounded=False)
+    entries = F.concat(entries, F.transform(F.map_entries(lex.singles), lambda kv: F.struct(
+        kv["key"].alias("alias"), kv["value"]["canonical"].alias("canonical"), kv["value"]["lex_order"].alias("lex_order"))))
     held = F.filter(entries, lambda e: F.contains(F.col(text_col), e["alias"]))
     return item_rows(item_rows(df, [id_col, text_col], held, "_e"), [id_col, "_e.alias", "_e.canonical", "_e.lex_order"],
                      occurrences(F.col(text_col), F.col("_e.alias")), "pos")

@@ -24,7 +24,7 @@ def list_words(lexicon: DataFrame, category: str | None = None, enabled_only: bo
 def insert_words(lexicon: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(lexicon with the new words, rejected ones); a word clashes within its category, null included."""
     same = (F.col("n.word") == F.col("o.word")) & F.col("n.category").eqNullSafe(F.col("o.category"))
-    fresh = new.dropDuplicates(["word", "category"]).alias("n")
+    fresh = new.groupBy("word", "category").agg(F.min("enabled").alias("enabled")).alias("n")  # off, if one row says so
     old = lexicon.select("word", "category").alias("o")
     accepted = with_id(fresh.join(old, same, "left_anti"))
     rejected = fresh.join(old, same, "left_semi").select("word", "category")

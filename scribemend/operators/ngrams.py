@@ -88,12 +88,13 @@ def _log_probability(place: Column, c1: Column, c2: Column, c3: Column, prev: Co
 
 def score_tokens(df: DataFrame, model: NgramModel, n: int = 2, id_col: str = "id",
                  token_col: str = "tokens") -> DataFrame:
-    """Log-probability of every token array: (id, log_prob, n_tokens); empty text scores 0.
+    """Log-probability of every token array: (id, log_prob, n_tokens); empty or null text scores 0.
 
     Equal windows of a text are counted first; the counts of the distinct windows are
     looked up once, and only (id, window, times) rows meet them.
     """
     vocab, total = _meta_values(model)
+    df = df.select(id_col, F.coalesce(token_col, F.expr("CAST(array() AS array<string>)")).alias(token_col))
     tokens = F.col(token_col)
     windows = F.when(F.size(tokens) > 0, F.transform(
         F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1))),
@@ -102,6 +103,7 @@ def score_tokens(df: DataFrame, model: NgramModel, n: int = 2, id_col: str = "id
     counted = (item_rows(df, [id_col], placed, "w")
                .groupBy(id_col, F.col("w.place").alias("place"), F.col("w.gram").alias("gram"))
                .agg(F.count("*").alias("times")))
+    counted = cut_lineage(counted)  # the largest table here, read twice below
     types = counted.groupBy("place", "gram").agg(F.sum("times").alias("times"))
     # read twice below: once as the broadcast hot part, once as a whole
     scored = cut_lineage(_score_windows(types, model, n, vocab, total))

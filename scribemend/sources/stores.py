@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from scribemend.operators.failures import failure_counts
 
@@ -38,34 +42,48 @@ def write_results(results: DataFrame, path: str) -> None:
 class LexiconStore:
     """Versions of a lexicon below one folder, and a pointer to the active one.
 
-    Saving a version replaces that version only.  Activating writes a pointer row; the
-    pointer before it is the backup, so nothing is copied.
+    Every save is a folder of its own and a row of the catalogue (version, folder, n, at, fields), so a version
+    is replaced as a whole, by no rows, too, and readers of the save before are not disturbed.  Activating appends
+    a pointer; the pointer before it is the backup, so nothing is copied.  Versions are text: 01 and 1.10 stay as they are.
     """
 
+    CATALOGUE = "version string, folder string, n long, at timestamp, fields string"
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
     def save(self, version: str, rows: DataFrame) -> None:
-        (rows.withColumn("version", F.lit(version)).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(f"{self.path}/rows"))
+        folder = f"{self.path}/rows/{uuid.uuid4().hex}"
+        rows.write.parquet(folder)
+        held = self.spark.read.schema(rows.schema).parquet(folder).count()
+        row = (version, folder, held, rows.schema.json())
+        (self.spark.createDataFrame([row], "version string, folder string, n long, fields string")
+         .withColumn("at", F.current_timestamp()).select("version", "folder", "n", "at", "fields")
+         .coalesce(1).write.mode("append").parquet(f"{self.path}/saves"))
+
+    def _latest(self) -> DataFrame:
+        saves = self.spark.read.schema(self.CATALOGUE).parquet(f"{self.path}/saves")
+        return saves.groupBy("version").agg(F.max_by(F.struct("folder", "n", "fields"), "at").alias("s")).select("version", "s.*")
 
     def versions(self) -> DataFrame:
-        return self.read_all().groupBy("version").agg(F.count("*").alias("n")).orderBy("version")
+        """(version, n), versions without rows included."""
+        return self._latest().select("version", "n").orderBy("version")
 
-    def read_all(self) -> DataFrame:
-        rows = self.spark.read.parquet(f"{self.path}/rows")
-        return rows.withColumn("version", F.col("version").cast("string"))
+    def read(self, version: str) -> DataFrame:
+        row = self._latest().filter(F.col("version") == version).first()
+        if row is None:
+            raise ValueError(f"no version {version}")
+        return self.spark.read.schema(StructType.fromJson(json.loads(row["fields"]))).parquet(row["folder"])
 
     def activate(self, version: str) -> None:
-        if self.read_all().filter(F.col("version") == version).isEmpty():
+        if self._latest().filter(F.col("version") == version).isEmpty():
             raise ValueError(f"no version {version}")
         (self.spark.createDataFrame([(version,)], "version string").withColumn("at", F.current_timestamp())
          .coalesce(1).write.mode("append").parquet(f"{self.path}/active"))
 
     def pointers(self) -> DataFrame:
         """Every activation, the latest last; the one before the latest is the backup."""
-        return self.spark.read.parquet(f"{self.path}/active").orderBy("at")
+        return self.spark.read.schema("version string, at timestamp").parquet(f"{self.path}/active").orderBy("at")
 
     def active(self) -> DataFrame:
-        latest = self.spark.read.parquet(f"{self.path}/active").agg(F.max_by("version", "at").alias("version"))
-        return self.read_all().join(F.broadcast(latest), "version").drop("version")
+        return self.read(self.pointers().agg(F.max_by("version", "at")).first()[0])
