@@ -43,7 +43,7 @@ UNION ALL SELECT 'long', count(*) FROM conversations WHERE length(text) > 300"""
 FROM conversations GROUP BY role""",
     "corpus_lines": f"""SELECT text, count(*) AS n FROM (SELECT trim(line, E' \\n\\t') AS text FROM ({_LINES.format('documents')})) WHERE text <> '' GROUP BY text""",
     "extended_corpus": f"""SELECT DISTINCT text FROM (SELECT trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM ({UTTERANCES_SQL}))
-WHERE length(text) BETWEEN 2 AND 4096 AND regexp_matches(text, '\\p{{L}}')
+WHERE length(text) >= 2 AND regexp_matches(text, '\\p{{L}}')
   AND text NOT IN (SELECT trim(line, E' \\n\\t') FROM ({_LINES.format('conversations')}))""",
     "assembled_conversations": "SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations WHERE text <> '' GROUP BY conv_id",
     "versioned_pages": """SELECT page_id, CASE WHEN last = '' THEN '.html' ELSE last END AS category

@@ -25,8 +25,11 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return corpus_lines(spark.read.text(path))
 
 
-def extend_corpus(candidates: DataFrame, corpus: DataFrame, min_length: int = 2, max_length: int = 4096) -> DataFrame:
-    """Candidate lines (text) that are clean, of fair length, new to the corpus and each once."""
+def extend_corpus(candidates: DataFrame, corpus: DataFrame, min_length: int = 2, max_length: int | None = None) -> DataFrame:
+    """Candidate lines (text) that are clean, of fair length, new to the corpus and each once; long ones stay unless bounded."""
+    size = F.length("text") >= min_length
+    if max_length is not None:
+        size = size & (F.length("text") <= max_length)
     clean = (candidates.select(strip(F.regexp_replace("text", r"(?U)\s+", " ")).alias("text"))
-             .filter(F.length("text").between(min_length, max_length) & F.col("text").rlike(r"\p{L}")))
+             .filter(size & F.col("text").rlike(r"\p{L}")))
     return clean.distinct().join(corpus.select("text").distinct(), "text", "left_anti")
