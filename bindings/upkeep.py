@@ -8,6 +8,7 @@ from bindings.common import documents, read, turns, utterances, values
 from bindings.lexical import CONFUSION, alias_table
 from scribemend.operators import lexicon as L
 from scribemend.plans import correct as P
+from scribemend.plans import jobs as J
 from scribemend.session import new_table_path
 from scribemend.sources import corpus as S
 from scribemend.sources import lexicons as X
@@ -107,6 +108,29 @@ def lexicon_versions(spark, folder):
     return store.versions().unionByName(active)
 
 
+def synced_versions(spark, folder):
+    """Versions that look like numbers, an emptied one and one of two alias documents and a map, each activated and read."""
+    store = T.LexiconStore(spark, new_table_path(spark, "lexicon"))
+    parts = _parts(spark, folder)
+    store.save("01", parts.filter("enabled"))
+    store.save("1.10", parts.filter("category IS NULL"))
+    store.save("gone", parts)
+    store.save("gone", parts.filter("false"))
+    p = read(spark, folder, "part")
+    line = F.concat("p_name", F.lit(" -> "), F.lower("p_type"), F.lit(" "), (F.col("p_size") % 5).cast("string"))
+    lines = p.select(F.when(F.col("p_partkey") % 2 == 0, "v.md").otherwise("v.txt").alias("doc"), F.col("p_partkey").alias("pos"), line.alias("content"))
+    mapped = p.filter("p_partkey <= 5").select(F.lit("v.json").alias("doc"), F.lit(1).cast("long").alias("pos"), F.to_json(
+        F.create_map(F.concat(F.lit("map of "), F.col("p_partkey").cast("string")), F.col("p_name"))).alias("content")).filter("content LIKE '%map of 1\"%'")
+    broken = p.filter("p_partkey = 1").select(F.lit("v.old.json").alias("doc"), F.lit(1).cast("long").alias("pos"), F.lit("{broken").alias("content"))
+    J.sync_aliases(store, lines.unionByName(mapped).unionByName(broken), "v")
+    out = store.active().select(F.lit("v").alias("version"), "alias", "canonical")
+    for version in ("01", "1.10", "gone"):
+        store.activate(version)
+        held = store.active().agg(F.count("*").cast("string").alias("canonical"))
+        out = out.unionByName(held.select(F.lit(version).alias("version"), F.lit("rows").alias("alias"), "canonical"))
+    return out
+
+
 def listed_words(spark, folder):
     return L.list_words(_parts(spark, folder), "SMALL").select("id", "word")
 
@@ -211,11 +235,9 @@ def skipped_texts(spark, folder):
 
 
 def _stream(spark, folder, table, columns):
-    """A given table as a file stream, written once to the shared folder."""
-    path = new_table_path(spark, table)
-    read(spark, folder, table).select(*columns).write.parquet(path)
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(path)
+    """A given table as a file stream, read where it lies; a glob may stand for one file or a folder of them."""
+    schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{folder}/{table}.parque[t]").select(*columns)
 
 
 def _drained(spark, stream, name):
@@ -259,7 +281,7 @@ QUERIES = {
     "error_types": error_types,
     "written_lines": written_lines, "json_lines": json_lines, "corpus_lines": corpus_lines, "extended_corpus": extended_corpus,
     "assembled_conversations": assembled_conversations, "versioned_pages": versioned_pages, "failure_log": failure_log,
-    "report_samples": report_samples, "lexicon_versions": lexicon_versions, "listed_words": listed_words,
+    "report_samples": report_samples, "lexicon_versions": lexicon_versions, "synced_versions": synced_versions, "listed_words": listed_words,
     "words_by_category": words_by_category, "inserted_words": inserted_words, "updated_words": updated_words,
     "missing_updates": missing_updates, "deleted_words": deleted_words, "snapshot_counts": snapshot_counts,
     "lexicon_union": lexicon_union, "custom_vocabulary": custom_vocabulary, "accepted_texts": accepted_texts,

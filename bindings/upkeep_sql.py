@@ -53,6 +53,12 @@ WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-14' AND DATE '2024-01-20' GROUP BY
     "report_samples": "SELECT event_id AS id, 'layer' || (user_id % 4) AS layer_responsible FROM events WHERE event_type = 'error' ORDER BY ts, event_id LIMIT 20",
     "lexicon_versions": f"""SELECT 'all' AS version, count(*) AS n FROM {PARTS_SQL} UNION ALL
 SELECT 'promo', count(*) FROM {PARTS_SQL} WHERE category IS NULL UNION ALL SELECT 'active', count(*) FROM {PARTS_SQL} WHERE category IS NULL""",
+    "synced_versions": f"""WITH lines AS (SELECT p_name AS alias, lower(p_type) || ' ' || (p_size % 5) AS canonical,
+  CASE WHEN p_partkey % 2 = 0 THEN 'v.md' ELSE 'v.txt' END AS doc, p_partkey AS pos FROM part)
+SELECT 'v' AS version, alias, arg_max(canonical, doc || lpad(pos::VARCHAR, 12, '0')) AS canonical FROM lines GROUP BY alias
+UNION ALL SELECT 'v', 'map of 1', p_name FROM part WHERE p_partkey = 1
+UNION ALL SELECT '01', 'rows', count(*)::VARCHAR FROM {PARTS_SQL} WHERE enabled
+UNION ALL SELECT '1.10', 'rows', count(*)::VARCHAR FROM {PARTS_SQL} WHERE category IS NULL UNION ALL SELECT 'gone', 'rows', '0'""",
     "listed_words": f"SELECT id, word FROM {PARTS_SQL} WHERE category = 'SMALL' AND enabled",
     "words_by_category": f"""SELECT coalesce(category, 'default') AS category, count(*) AS n, string_agg(word, '|' ORDER BY word) AS words
 FROM {PARTS_SQL} WHERE enabled GROUP BY 1""",

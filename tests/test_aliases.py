@@ -94,3 +94,36 @@ def test_lexicon_over_the_literal_bound(spark):
     got = {r.id: r.resolved.text for r in A.resolve_aliases(df, lexicon).collect()}
     assert got == {1: "c7 c5999short one kz", 2: "none"}
     assert A.alias_occurrences(df, lexicon).filter("alias = 'k0'").count() == 3
+
+
+def test_ties_negative_orders_private_characters_and_thousands_of_aliases(spark):
+    """5000 aliases with few different orders, more than the literal bound: both paths equal the greedy rule."""
+    rng = random.Random(9)
+    names = sorted({"".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 11))) for _ in range(6000)})[:5000]
+    lexicon = [(w, w.upper(), len(w) % 3 - 1) for w in names] + [("x", "framed", -5), ("q", "Q", -1)]
+    texts = ["".join(rng.choice("abcdefgh q") for _ in range(120)) for _ in range(30)] + ["a x b ", "q q", ""]
+    table = spark.createDataFrame(lexicon, "alias string, canonical string, lex_order long")
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    first = sorted(lexicon, key=lambda a: (-len(a[0]), a[2], a[0]))
+
+    def greedy(text):
+        taken, kept = [False] * len(text), []
+        for alias, canonical, _ in first:
+            at = text.find(alias)
+            while at >= 0:
+                alone = len(alias) > 1 or not re.search(r"\w", text[at - 1:at] + text[at + 1:at + 2])
+                if alone and not any(taken[at:at + len(alias)]):
+                    taken[at:at + len(alias)] = [True] * len(alias)
+                    kept.append((at, alias))
+                    at = text.find(alias, at + len(alias))
+                else:
+                    at = text.find(alias, at + 1)
+        return sorted(kept)
+
+    assert A.literal_entries(table) is None
+    by_join = {r.id: r.resolved for r in A.resolve_aliases(df, table).collect()}
+    lex = A.literal_entries(table, bounded=False)
+    in_row = {r.id: r.r for r in df.withColumn("r", A.resolve_aliases_column(F.col("text"), lex)).collect()}
+    for k, text in enumerate(texts):
+        assert [(s.pos, s.alias) for s in by_join[k].spans] == [(s.pos, s.alias) for s in in_row[k].spans] == greedy(text)
+        assert by_join[k].text == in_row[k].text

@@ -82,3 +82,43 @@ def test_latest_samples_across_salts(spark):
     df = spark.range(0, 500).select("id", F.lit("s").alias("s"), (F.col("id") * 7 % 500).alias("at"))
     got = {r.id for r in M.latest_samples(df, ["s"], [F.desc("at"), F.desc("id")], "id", 40).collect()}
     assert got == {k for k in range(500) if k * 7 % 500 >= 460}
+
+
+def test_one_failing_prompt_loses_only_itself(spark):
+    from scribemend.plans.prompts import refine_prompts
+
+    def model(prompts):
+        if any("7" in p for p in prompts):
+            raise RuntimeError("no sevens")
+        return [p.upper() for p in prompts]
+
+    prompts = spark.createDataFrame([(k, f"p{k % 30}") for k in range(60)], "id int, prompt string")
+    got = {r.id: (r.refined, r.error) for r in refine_prompts(prompts, model).collect()}
+    assert got == {k: (None, "RuntimeError: no sevens") if "7" in f"p{k % 30}" else (f"P{k % 30}", None) for k in range(60)}
+
+
+def test_rule_tables_of_any_size(spark):
+    """5000 scene terms, collocation rules and syllable confusions: more than the old bounds."""
+    from scribemend.operators import candidates as K
+    from scribemend.operators import collocations as C
+    from scribemend.operators import retrieval as R
+
+    df = spark.createDataFrame([(1, "t17 x t4999 y"), (2, "none")], "id int, text string")
+    scenes = spark.createDataFrame([(f"s{k % 2}", k % 2, k, f"t{k}") for k in range(5000)], "scene string, scene_no int, term_no int, term string")
+    got = {(r.id, r.scene): r.matched for r in R.match_scenes(df, scenes).collect()}
+    held = [f"t{k}" for k in range(5000) if f"t{k}" in "t17 x t4999 y"]
+    assert {k: sorted(v) for k, v in got.items()} == {(1, f"s{p}"): sorted(t for t in held if int(t[1:]) % 2 == p) for p in (0, 1)}
+    rules = C.rule_map(spark.createDataFrame([(f"t{k}", "before", f"b{k}") for k in range(5000)], "term string, side string, word string"))
+    tokens = spark.createDataFrame([(1, ["b4000", "t4000", "t4001"])], "id int, tokens array<string>")
+    assert {r.term: r.score for r in C.score_terms(tokens, rules).collect()} == {"t4000": 0.5, "t4001": 0.0}
+    confusion = spark.createDataFrame([("whole", f"a{k}", f"b{k}") for k in range(5000)], "level string, src string, dst string")
+    row = spark.createDataFrame([("a4321",)], "s string").select(K.confused_syllables(confusion, ("whole",))(F.col("s")).alias("v")).first()
+    assert row.v == ["b4321"]
+
+
+def test_every_reading_of_a_term_counts(spark):
+    from scribemend.operators.candidates import fuzzy_pairs
+    words = spark.createDataFrame([("w", ["a", "b", "c"])], "word string, syls array<string>")
+    for rows in ([("t", ["a", "b", "x"]), ("t", ["q", "r", "s"])], [("t", ["q", "r", "s"]), ("t", ["a", "b", "x"])]):
+        found = fuzzy_pairs(words, spark.createDataFrame(rows, "term string, syls array<string>")).collect()
+        assert [(r.word, r.term, round(r.similarity, 2)) for r in found] == [("w", "t", 0.67)]
