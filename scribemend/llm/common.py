@@ -54,12 +54,12 @@ def attach(left: DataFrame, right: DataFrame, keys: list[str], weight: str, spre
     return skew_safe_join(left, right, keys, hot, spread)
 
 
-def matching(left: DataFrame, keys: DataFrame, on: list[str], how: str = "left_semi") -> DataFrame:
+def matching(left: DataFrame, keys: DataFrame, on: list[str], how: str = "left_semi", rows: int = KEY_ROWS) -> DataFrame:
     """Rows of `left` with (or by left_anti: without) a row in `keys`, a stored table of fixed-width keys.
 
-    The keys are counted: up to KEY_ROWS they are broadcast, beyond that both sides are shuffled.
+    The keys are counted: up to `rows` they are broadcast, beyond that both sides are shuffled.
     """
-    return left.join(F.broadcast(keys) if keys.count() <= KEY_ROWS else keys, on, how)
+    return left.join(F.broadcast(keys) if keys.count() <= rows else keys, on, how)
 
 
 def as_text(docs: DataFrame) -> DataFrame:

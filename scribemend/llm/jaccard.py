@@ -36,6 +36,8 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 WIDTH = 1 << 20
 CHUNK = 1 << 12
 MOST_MATCHES = 4
+#: Shingles of eight bytes that may be broadcast: about 50 MB.
+LIST_ROWS = 3_000_000
 WORDS = 300_000
 ONE = np.uint64(1)
 
@@ -121,13 +123,15 @@ def prefix_length(size: int, k: int, similarity: Fraction) -> int:
 def choose_matches(counts: np.ndarray, size: int, similarity: Fraction) -> int:
     """The k of least estimated cost for a document, from the counts of its shingles in order.
 
-    Postings to read are the counts in the prefix.  At most their sum over k partners can share k of them; verifying
-    one costs about as much as its size in postings of eight bytes each.
+    Postings to read are the counts in the prefix.  A partner that shares k shingles lies in k of its lists, so there
+    are about as many as the k-th largest list holds; verifying one costs about as much as its size in postings.
     """
     best, least = 1, math.inf
     for k in range(1, MOST_MATCHES + 1):
-        read = float(counts[:prefix_length(size, k, similarity)].sum())
-        cost = read + k + read / k * (4 + size / 16)
+        prefix = counts[:prefix_length(size, k, similarity)]
+        if k > len(prefix):
+            break
+        cost = float(prefix.sum()) + k + float(np.partition(prefix, len(prefix) - k)[len(prefix) - k]) * (4 + size / 16)
         if cost < least:
             best, least = k, cost
     return best
@@ -184,6 +188,23 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, similarity: Fraction) ->
     return stored(rows.select("a", "b", "x", "y").mapInPandas(run, "a long, b long").distinct(), "links")
 
 
+def plausible(pairs: DataFrame, found: DataFrame, similarity: Fraction) -> DataFrame:
+    """The pairs (a, b) whose prefixes share as much as the prefixes of similar sets do; loses none of these.
+
+    A prefix of size - overlap + k shingles must share k; here k is what the lengths of the two prefixes give.  It
+    spares the whole sets of most pairs.
+    """
+    p, q = similarity.numerator, similarity.denominator
+
+    def side(name: str) -> DataFrame:
+        return found.select(F.col("doc_id").alias(name), F.col("size").alias(f"{name}_size"), F.col("prefix").alias(f"{name}_prefix"))
+
+    rows = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    overlap = F.ceil((p * (F.col("a_size") + F.col("b_size"))) / (p + q))
+    needed = overlap + F.least(F.size("a_prefix") - F.col("a_size"), F.size("b_prefix") - F.col("b_size"))
+    return stored(rows.filter(F.size(F.array_intersect("a_prefix", "b_prefix")) >= needed).select("a", "b").distinct(), "plausible")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of the nodes of links (a, b): the smallest node that can be reached; stored.
 
@@ -219,12 +240,17 @@ def linked(docs: DataFrame, n: int = 4, similarity: Fraction = Fraction(85, 100)
     rows = scanned.filter("part < 0").select("doc_id", "size", "mark")
     sets = stored(rows.filter("mark IS NOT NULL AND doc_id IS NOT NULL").groupBy("mark").agg(
         F.min("doc_id").alias("node"), F.count("*").alias("n")), "nodes")
-    found = prefixes(docs, sketch(scanned), n, similarity).join(sets.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    # postings of shingles that another node has, too
+    # equal sets are one node: the other rows of a set make no postings
+    copies = attach(rows.filter("mark IS NOT NULL AND doc_id IS NOT NULL"), stored(sets.filter("n > 1"), "copied"), ["mark"], "n", F.col("doc_id"))
+    copies = stored(copies.filter("doc_id <> node").select("doc_id").distinct(), "copies")
+    found = prefixes(docs, sketch(scanned), n, similarity)
+    # shingles that stand in two prefixes; only their postings are dealt out with all that a pair needs
+    lists = stored(found.select(F.explode("prefix").alias("shingle")).groupBy("shingle").count().filter("count > 1").select("shingle"), "lists")
     postings = found.select(F.col("doc_id").alias("node"), "size", "k", F.posexplode("prefix").alias("at", "shingle"))
+    postings = stored(matching(matching(postings, lists, ["shingle"], rows=LIST_ROWS), copies.withColumnRenamed("doc_id", "node"), ["node"], "left_anti"), "postings")
     lists = postings.groupBy("shingle").agg(F.count("*").alias("n"), F.min(F.struct("node", "size", "k", "at")).alias("hub"))
-    lists = stored(lists.filter("n > 1"), "lists")
-    shared = stored(attach(postings, lists, ["shingle"], "n", F.col("node")).filter("n IS NOT NULL"), "postings")
+    lists = stored(lists.filter("n > 1"), "hubs")
+    shared = stored(attach(postings, lists, ["shingle"], "n", F.col("node")).filter("n IS NOT NULL"), "shared")
 
     def fits(size_a: Column, k_a: Column, at_a: Column, size_b: Column, k_b: Column, at_b: Column) -> Column:
         """Both places lie in the prefixes of this pair."""
@@ -236,7 +262,7 @@ def linked(docs: DataFrame, n: int = 4, similarity: Fraction = Fraction(85, 100)
     hub = [F.col(f"hub.{c}") for c in ("size", "k", "at")]
     star = shared.filter(F.col("node") != F.col("hub.node")).filter(fits(*hub, F.col("size"), F.col("k"), F.col("at")))
     star = stored(star.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct(), "star-pairs")
-    links = verified(docs, star, n, similarity)
+    links = verified(docs, plausible(star, found, similarity), n, similarity)
     labels = stored(components(links), "star-components")
 
     # pairs across components: rows outside the largest component of their list, with all rows of the list
@@ -254,7 +280,8 @@ def linked(docs: DataFrame, n: int = 4, similarity: Fraction = Fraction(85, 100)
     a, b = F.least("a_node", "b_node"), F.greatest("a_node", "b_node")
     overlap = F.ceil((p * (F.col("a_size") + F.col("b_size"))) / (p + q))
     cross = cross.groupBy(a.alias("a"), b.alias("b")).agg(F.count("*").alias("n"), F.max(F.least("a_k", "b_k", overlap)).alias("k"))
-    more = verified(docs, stored(cross.filter("n >= k").select("a", "b"), "cross-pairs"), n, similarity)
+    cross = stored(cross.filter("n >= k").select("a", "b"), "cross-pairs")
+    more = verified(docs, plausible(cross, found, similarity), n, similarity)
     if not more.isEmpty():
         labels = stored(components(links.unionByName(more)), "components")
     # every row takes the class of its set

@@ -97,7 +97,9 @@ def test_components(llm):
 
 
 def test_the_cheapest_k_is_chosen():
-    assert jaccard.choose_matches(np.ones(40, np.float32), 200, Fraction(4, 5)) > 1
     counts = np.ones(44, np.float32)
-    counts[41:] = 1e9  # a longer prefix would read a huge list
+    assert jaccard.choose_matches(counts, 200, Fraction(4, 5)) == 1
+    counts[40] = 1e5  # one long list in every prefix: few partners are in another list, too
+    assert jaccard.choose_matches(counts, 200, Fraction(4, 5)) == 2
+    counts[41:] = 1e9  # but a longer prefix would read a huge list
     assert jaccard.choose_matches(counts, 200, Fraction(4, 5)) == 1
