@@ -111,7 +111,6 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED,
           models: int = MODELS, seed: int = 7) -> Model:
-    spark = docs.sparkSession
     own = labels.filter(fold(F.col("doc_id")) != 0).filter("toxic IS NOT NULL AND doc_id IS NOT NULL")
     own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, ones = own.agg(F.count("*"), F.sum((F.col("toxic") == 1).cast("long"))).first()
@@ -141,7 +140,6 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     if not rows:
         return Model({}, known=False)
     trained_models = max(r["n"] for r in rows if not r["feature"])
-    assert spark is not None
     return Model({bytes(r["feature"]): r["weight"] / trained_models for r in sorted(rows, key=lambda r: bytes(r["feature"]))})
 
 
