@@ -31,80 +31,97 @@ from pyspark.sql import functions as F
 from scribemend.llm.common import stored
 
 K = 20
-PROJECTIONS, THRESHOLD, SHARE, LEAST = 160, 0.87, 0.04, 20
+PROJECTIONS, THRESHOLD, SHARE, LEAST = 128, 0.87, 0.04, 20
 FIRST, GROWTH = 1.9, 1.08
-BLOCK, CHUNK = 16_384, 512
+BLOCK, CHUNK = 16_384, 2048
+#: Numbers in a block at most, so that long vectors come in smaller blocks.
+NUMBERS = 1 << 20
 
 
 class Arrays:
     """The sorted projections of a block of distinct vectors (rows of unit length)."""
 
     def __init__(self, vectors: np.ndarray, seed: int):
-        directions = np.random.default_rng(seed).standard_normal((vectors.shape[1], PROJECTIONS))
-        self.directions = directions
-        marks = (vectors @ directions).T
-        self.order = np.argsort(marks, axis=1, kind="stable").astype(np.int32)
+        self.directions = np.random.default_rng(seed).standard_normal((vectors.shape[1], PROJECTIONS))
+        marks = (vectors @ self.directions).T
+        self.order = np.argsort(marks, axis=1, kind="stable")
         self.sorted = np.take_along_axis(marks, self.order, axis=1)
         self.size = len(vectors)
 
-    def candidates(self, query: np.ndarray, k: int) -> np.ndarray:
-        """Entries of the block that are to be verified for a query of unit length."""
-        own, n, half = query @ self.directions, self.size, FIRST
-        enough, needed = LEAST * k + int(SHARE * n), int(np.ceil(THRESHOLD * PROJECTIONS))
-        if n <= 4 * enough:
-            return np.arange(n)
-        while True:
-            counts, covered = np.zeros(n, np.int16), 0
-            for i in range(PROJECTIONS):
-                low, high = np.searchsorted(self.sorted[i], (own[i] - half, own[i] + half))
-                if 2 * (high - low) <= n:
-                    counts[self.order[i, low:high]] += 1
-                else:  # what lies outside is less to count
-                    covered += 1
-                    counts[self.order[i, :low]] -= 1
-                    counts[self.order[i, high:]] -= 1
-            passed = np.flatnonzero(counts >= needed - covered)
-            if len(passed) >= enough:
-                return passed
-            half *= GROWTH
+    def windows(self, own: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
+        """First and last place of the window of every query (rows of `own`) in every array."""
+        low, high = np.empty(own.shape, np.int64), np.empty(own.shape, np.int64)
+        for i, array in enumerate(self.sorted):
+            low[:, i], high[:, i] = np.searchsorted(array, own[:, i] - half), np.searchsorted(array, own[:, i] + half)
+        return low, high
+
+    def collisions(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """How many of its windows each vector lies in; the smaller side of the windows is counted."""
+        if 2 * (high - low).sum() <= self.size * PROJECTIONS:
+            inside = [row[a:b] for row, a, b in zip(self.order, low, high, strict=True)]
+            return np.bincount(np.concatenate(inside), minlength=self.size)
+        outside = [part for row, a, b in zip(self.order, low, high, strict=True) for part in (row[:a], row[b:])]
+        return PROJECTIONS - np.bincount(np.concatenate(outside), minlength=self.size)
+
+    def candidates(self, queries: np.ndarray, k: int) -> Iterator[np.ndarray]:
+        """For each query (a row of unit length) the entries of the block that are to be verified."""
+        enough, needed = LEAST * k + int(SHARE * self.size), int(np.ceil(THRESHOLD * PROJECTIONS))
+        if self.size <= 4 * enough:
+            for _ in queries:
+                yield np.arange(self.size)
+            return
+        own = queries @ self.directions
+        low, high = self.windows(own, FIRST)
+        for j in range(len(queries)):
+            half, a, b = FIRST, low[j], high[j]
+            passed = np.flatnonzero(self.collisions(a, b) >= needed)
+            while len(passed) < enough:  # virtual rehashing: wider windows over the same arrays
+                half *= GROWTH
+                a, b = (x[0] for x in self.windows(own[j:j + 1], half))
+                passed = np.flatnonzero(self.collisions(a, b) >= needed)
+            yield passed
 
 
 def dense(values: list) -> np.ndarray:
-    return np.array([np.asarray(v, np.float64) for v in values]) if values else np.zeros((0, 0))
-
-
-def block_answers(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, largest: float,
-                  arrays: tuple) -> list[tuple]:
-    """(query_id, vec_id, score) of the k best of a block for each query."""
-    distinct, members, index = arrays
-    answers, rows = {}, []
-    for name, query in zip(query_ids, queries, strict=True):
-        mark = query.tobytes()
-        if mark not in answers:
-            lifted = np.append(query / np.linalg.norm(query), 0.0)
-            found = index.candidates(lifted, k + 1)
-            scores = (distinct[found] * query).sum(axis=1)
-            best = np.argsort(-scores, kind="stable")[:k + 1]
-            least = scores[best[-1]]
-            best = np.flatnonzero(scores >= least)  # all that tie with the last
-            both = sorted((-scores[j], int(v)) for j in best for v in members[found[j]])
-            answers[mark] = both
-        taken = [(int(name), v, -s) for s, v in answers[mark] if v != name][:k]
-        rows += taken
+    """Rows as an array; -0.0 becomes 0.0, so that equal vectors have equal bytes."""
+    return np.array([np.asarray(v, np.float64) for v in values]) + 0.0 if values else np.zeros((0, 0))
+
+
+def block_answers(block: tuple, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple]:
+    """(query_id, vec_id, score) of the k best of a prepared block for each query; equal queries are searched once."""
+    distinct, members, index = block
+    asked: dict[bytes, list[int]] = {}
+    for j, query in enumerate(queries):
+        asked.setdefault(query.tobytes(), []).append(j)
+    first = [own[0] for own in asked.values()]
+    lifted = np.column_stack([queries[first] / np.linalg.norm(queries[first], axis=1)[:, None], np.zeros(len(first))])
+    rows: list[tuple] = []
+    for own, found in zip(asked.values(), index.candidates(lifted, k + 1), strict=True):
+        query = queries[own[0]]
+        about = distinct[found] @ query
+        last = np.partition(about, -(k + 1))[-(k + 1)] if len(about) > k + 1 else -np.inf
+        found = found[about >= last - 1e-9 * max(1.0, abs(last))]  # the exact measure decides among these
+        scores = (distinct[found] * query).sum(axis=1)
+        best = sorted((-score, v) for score, j in zip(scores.tolist(), found) for v in members[j])
+        for j in own:
+            name = int(query_ids[j])
+            rows += [(name, v, -score) for score, v in best if v != name][:k]
     return rows
 
 
 def prepared(ids: np.ndarray, vectors: np.ndarray, k: int, largest: float, seed: int) -> tuple:
     """Distinct vectors of a block, the smallest ids of each, and the sorted arrays."""
-    order = np.argsort(ids, kind="stable")
-    ids, vectors = ids[order], vectors[order]
-    distinct, which = np.unique(vectors, axis=0, return_inverse=True)
-    which = which.reshape(-1)
-    members: list[list[int]] = [[] for _ in range(len(distinct))]
-    for v, w in zip(ids, which, strict=True):
-        own = members[w]
-        if len(own) <= k and (not own or own[-1] != v):
-            own.append(int(v))
+    places: dict[bytes, int] = {}
+    members: list[list[int]] = []
+    first = []
+    for i in np.argsort(ids, kind="stable"):
+        own = places.setdefault(vectors[i].tobytes(), len(members))
+        if own == len(members):
+            members.append([])
+            first.append(i)
+        if len(members[own]) <= k and (not members[own] or members[own][-1] != ids[i]):
+            members[own].append(int(ids[i]))
+    distinct = vectors[first]
     scaled = distinct / largest
     lifted = np.column_stack([scaled, np.sqrt(np.maximum(0.0, 1.0 - (scaled * scaled).sum(axis=1)))])
     return distinct, members, Arrays(lifted, seed)
@@ -130,7 +147,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, seed: int = 5) ->
     n, asked, largest = rows.agg(F.count("*"), F.sum(F.col("asks").cast("long")), F.max(norm)).first()
     if not asked:
         return vectors.sparkSession.createDataFrame([], empty)
-    blocks, chunks = -(-n // BLOCK), -(-asked // CHUNK)
+    fit = max(1, NUMBERS // max(1, most["d"]))
+    blocks, chunks = -(-n // min(BLOCK, fit)), -(-asked // min(CHUNK, fit))
 
     def packed(group: pd.DataFrame) -> pd.DataFrame:
         held = io.BytesIO()
@@ -148,15 +166,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, seed: int = 5) ->
     meeting = meeting.join(stored(blocked, "blocks"), "part")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, arrays = -1, None
+        held, ready = -1, None
         for batch in batches:
             for block, asked_data, data in zip(batch["part"], batch["asked"], batch["data"], strict=True):
                 if block != held:
                     with np.load(io.BytesIO(data)) as file:
-                        ids, v = file["ids"], file["v"]
-                    held, arrays = block, prepared(ids, v, k, largest * (1 + 1e-12), seed)
+                        held, ready = block, prepared(file["ids"], file["v"], k, largest * (1 + 1e-12), seed)
                 with np.load(io.BytesIO(asked_data)) as file:
-                    found = block_answers(ids, v, file["ids"], file["v"], k, largest, arrays)
+                    found = block_answers(ready, file["ids"], file["v"], k)
                 yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
     spread = max(1, min(blocks * chunks, vectors.sparkSession.sparkContext.defaultParallelism * 4))

@@ -65,5 +65,17 @@ def test_windows_grow_until_they_cover_all():
     vectors = np.random.default_rng(1).standard_normal((3000, 8))
     vectors /= np.linalg.norm(vectors, axis=1)[:, None]
     index = neighbours.Arrays(vectors, 1)
-    far = np.full(8, 100.0)  # no window of the first size holds anything
-    assert len(index.candidates(far, 20)) >= 20
+    far = np.full((2, 8), 100.0)  # no window of the first size holds anything
+    assert all(len(found) >= 20 for found in index.candidates(far, 20))
+
+
+def test_collisions_are_counted_on_either_side():
+    vectors = np.random.default_rng(2).standard_normal((500, 4))
+    index = neighbours.Arrays(vectors, 1)
+    own = vectors[:3] @ index.directions
+    marks = vectors @ index.directions
+    for half in (0.1, 1.0, 5.0):
+        low, high = index.windows(own, half)
+        for j in range(3):
+            want = (np.abs(marks - own[j]) <= half).sum(axis=1)
+            assert (np.abs(index.collisions(low[j], high[j]) - want) <= 1).all()
