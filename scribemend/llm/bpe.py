@@ -69,6 +69,10 @@ def split_pattern(pattern: str, last: int = sys.maxunicode) -> re.Pattern:
     return re.compile(spelled)
 
 
+ALL_PAIRS = [chr(code) + " " for code in range(0x3001) if chr(code).isspace()]
+ASCII_PAIRS = [pair for pair in ALL_PAIRS if pair.isascii()]
+
+
 class TreeEncoder:
     """Encodes and decodes whole texts by the ranks of a vocabulary file."""
 
@@ -152,9 +156,13 @@ class TreeEncoder:
     def split(self, text: str) -> list[str]:
         return self.split_latin(text) if text.isascii() or max(text) <= "\xff" else self.split_any(text)
 
-    def part(self, text: str) -> bytes:
+    def codes(self, text: str) -> bytes:
         """Codes of a part of a text as little-endian numbers."""
-        found = b"".join([self.matches.get(m) or self.match(m) for m in self.split(text)])
+        return b"".join([self.matches.get(m) or self.match(m) for m in self.split(text)])
+
+    def part(self, text: str) -> bytes:
+        """Codes of a space and what follows it."""
+        found = self.codes(" " + text)
         remember(self.parts, text, found, PARTS)
         return found
 
@@ -164,8 +172,9 @@ class TreeEncoder:
         return found
 
     def encode(self, text: str) -> np.ndarray:
+        first, rest = cut_at_spaces(text)
         known = self.parts.get
-        return np.frombuffer(b"".join([known(p) or self.part(p) for p in cut_at_spaces(text)]), "<i4")
+        return np.frombuffer(self.codes(first) + b"".join([known(p) or self.part(p) for p in rest]), "<i4")
 
     def decode(self, codes: np.ndarray) -> bytes:
         """Bytes of the codes, halves concatenated up the tree."""
@@ -186,16 +195,21 @@ def remember(known: dict[str, bytes], text: str, codes: bytes, most: int) -> Non
         known[text] = codes
 
 
-def cut_at_spaces(text: str) -> list[str]:
-    """Parts that the split pattern never reaches across: cut before each space that follows a character that is none."""
-    if not text:
-        return []
-    parts = text.split(" ")
-    if len(parts) == 1:
-        return parts
-    if any(not p or p[-1].isspace() for p in parts):
-        return re.split(r"(?<=\S)(?= )", text)
-    return [parts[0], *[" " + p for p in parts[1:]]]
+def spaces_meet(text: str) -> bool:
+    """Is there a space after another white-space character?"""
+    return any(pair in text for pair in (ASCII_PAIRS if text.isascii() else ALL_PAIRS))
+
+
+def cut_at_spaces(text: str) -> tuple[str, list[str]]:
+    """Parts that the split pattern never reaches across: cut before each space that follows a character that is none.
+
+    The first part, and the others without the space that they begin with.
+    """
+    if spaces_meet(text):
+        first, *rest = re.split(r"(?<=\S)(?= )", text)
+        return first, [part[1:] for part in rest]
+    first, *rest = text.split(" ")
+    return first, rest
 
 
 @functools.cache

@@ -20,6 +20,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,7 +36,7 @@ from scribemend.session import new_table_path
 MAGIC = b"DACIDS01"
 END_ID = 2
 FILE_IDS = 4_000_000
-PARTS = 700_000
+PARTS = 1_200_000
 NULL_ID = 1 << 63
 ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
@@ -145,20 +146,31 @@ class Vocabulary:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {}
 
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        found = []
+        for a in range(0, len(parts), 10_000):
+            found += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts[a:a + 10_000], add_special_tokens=False)]
+        return found
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts.  The pre-tokenizer never reaches across the cuts, so parts are encoded on their own."""
         known = self.known
         if len(known) > PARTS:
             known.clear()
         cut = [cut_at_spaces(text) for text in texts]
-        new = list({part for parts in cut for part in parts if part not in known})
-        fresh = {}
-        for a in range(0, len(new), 10_000):
-            some = new[a:a + 10_000]
-            for part, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                (known if len(part) <= KEPT_CHARS else fresh)[part] = np.array(found.ids, "<u4").tobytes()
-        get = known.get
-        return [np.frombuffer(b"".join([get(part) or fresh[part] for part in parts]), "<u4") for parts in cut]
+        parts = list(chain.from_iterable(rest for _, rest in cut))
+        ids = list(map(known.get, parts))
+        missing = [i for i, found in enumerate(ids) if found is None]
+        new = list({parts[i] for i in missing})
+        fresh = dict(zip(new, self._ids([" " + part for part in new]), strict=True))
+        for i in missing:
+            ids[i] = fresh[parts[i]]
+        known.update((part, found) for part, found in fresh.items() if len(part) <= KEPT_CHARS)
+        out, at = [], 0
+        for first, (_, rest) in zip(self._ids([first for first, _ in cut]), cut, strict=True):
+            out.append(np.frombuffer(first + b"".join(ids[at:at + len(rest)]), "<u4"))
+            at += len(rest)
+        return out
 
 
 @functools.cache
