@@ -36,16 +36,17 @@ REVISIT_BYTES = 100
 FILE_BYTES = 64 << 20
 LEVEL = 3
 CHUNK = 1 << 20
-#: The dictionary is trained on so many pages at most, chosen by a digest of page_id among pages up to SAMPLE_CHARS.
+#: The dictionary is trained on so many pages at most, those of the smallest digests among pages up to SAMPLE_CHARS.
 SAMPLES, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 65_536, 65_536
 
 
 def dictionary(pages: DataFrame) -> bytes:
     """A dictionary from a bounded sample; empty if the sample is too poor to train on."""
-    rows = (pages.filter(F.length("html").between(1, SAMPLE_CHARS)).select("page_id", "html")
-            .orderBy(F.xxhash64("page_id", F.lit(11)), "page_id").limit(SAMPLES).collect())
+    able = pages.filter(F.length("html").between(1, SAMPLE_CHARS)).withColumn("h", F.xxhash64("html", F.lit(11)))
+    drawn = able.select("h").orderBy("h").limit(SAMPLES)  # digests first, so that no text is sorted or gathered
+    rows = able.join(F.broadcast(drawn), "h", "left_semi").dropDuplicates(["h"]).select("html").limit(SAMPLES).collect()
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, [r["html"].encode() for r in rows]).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, sorted(r["html"].encode() for r in rows)).as_bytes()
     except (zstandard.ZstdError, ValueError):
         return b""
 
