@@ -17,7 +17,6 @@ labelled twice is toxic if one of its labels says so; null labels say nothing.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,22 +46,35 @@ def words_of(text: str | None) -> set[bytes]:
     return set((text or "").encode(errors="replace").translate(PLAIN).split())
 
 
-def fit(positive: list[set[bytes]], unlabelled: list[set[bytes]], prior: float, steps: int = 300) -> dict[bytes, float]:
-    """Weights by feature (the bias at b"") of one classifier."""
-    counts = [Counter(f for row in rows for f in row) for rows in (positive, unlabelled)]
+def feature_rows(texts: list[str | None]) -> tuple[list[np.ndarray], list[bytes]]:
+    """Distinct features of each text as numbers, and the features: each word and feature is held once."""
+    words: dict[bytes, np.ndarray] = {}
+    numbers: dict[bytes, int] = {}
+    rows = []
+    for text in texts:
+        parts = []
+        for word in words_of(text):
+            own = words.get(word)
+            if own is None:
+                own = words[word] = np.array([numbers.setdefault(f, len(numbers)) for f in features(word)], np.int32)
+            parts.append(own)
+        rows.append(np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int32))
+    return rows, list(numbers)
+
+
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], names: list[bytes], prior: float, steps: int = 300) -> dict[bytes, float]:
+    """Weights by feature (the bias at b"") of one classifier, from rows of feature numbers."""
     n, m = len(positive), len(unlabelled)
-    lift = {}
-    for f, c in counts[0].items():
-        if c >= 3:
-            p, u = c / n, (counts[1][f] + 0.5) / (m + 1)
-            z = (p - u) / np.sqrt(u * (1 - u) * (1 / n + 1 / m) + 1e-12)
-            if z > 4:
-                lift[f] = z
-    names = sorted(lift, key=lambda f: (-lift[f], f))[:MOST_FEATURES]
-    place = {f: i for i, f in enumerate(names)}
-    docs = [[place[f] for f in row if f in place] for row in [*positive, *unlabelled]]
+    ones, others = (np.bincount(np.concatenate([np.zeros(0, np.int32), *rows]), minlength=len(names)) for rows in (positive, unlabelled))
+    p, u = ones / n, (others + 0.5) / (m + 1)
+    lift = (p - u) / np.sqrt(u * (1 - u) * (1 / n + 1 / m) + 1e-12)
+    telling = sorted(np.flatnonzero((ones >= 3) & (lift > 5)).tolist(), key=lambda i: (-lift[i], names[i]))[:MOST_FEATURES]
+    place = np.full(len(names), -1)
+    place[telling] = np.arange(len(telling))
+    names = [names[i] for i in telling]
+    docs = [found[found >= 0] for found in (place[row] for row in [*positive, *unlabelled])]
     owner = np.repeat(np.arange(n + m), [len(d) for d in docs])
-    which = np.array([i for d in docs for i in d], int)
+    which = np.concatenate([np.zeros(0, int), *docs]).astype(int)
     weight, bias = np.zeros(len(names)), float(np.log(prior / (1 - prior)))
     mean, square = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for step in range(1, steps + 1):
@@ -128,11 +140,11 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     dealt = texts.select(F.explode(share).alias("model"), "positive", "text")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        sets = [{f for word in words_of(t) for f in features(word)} for t in group["text"]]
+        rows, names = feature_rows(group["text"].tolist())
         mark = group["positive"].tolist()
-        one = [s for s, yes in zip(sets, mark, strict=True) if yes]
-        rest = [s for s, yes in zip(sets, mark, strict=True) if not yes]
-        found = fit(one, rest, prior) if one and rest else {}
+        one = [row for row, yes in zip(rows, mark, strict=True) if yes]
+        rest = [row for row, yes in zip(rows, mark, strict=True) if not yes]
+        found = fit(one, rest, names, prior) if one and rest else {}
         return pd.DataFrame({"feature": list(found), "weight": list(found.values())})
 
     trained = dealt.groupBy("model").applyInPandas(run, "feature binary, weight double")

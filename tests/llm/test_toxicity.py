@@ -71,7 +71,8 @@ def test_labels_of_the_held_out_fold_change_nothing(documents, llm):
 
 def test_risk_is_kept_from_going_below_zero():
     """Unlabelled texts without any positive: the corrected part would go negative; weights stay finite, scores in order."""
-    weights = toxicity.fit([{b"bad"}] * 20, [{b"good"}] * 200, 0.3)
+    rows, names = toxicity.feature_rows(["bad"] * 20 + ["good"] * 200)
+    weights = toxicity.fit(rows[:20], rows[20:], names, 0.3)
     model = toxicity.Model(weights)
     bad, good = model.scores(["bad", "good"], {})
     assert bad > 0.5 > good
