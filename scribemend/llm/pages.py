@@ -259,6 +259,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     cut = attach(branches, noise(pages), ["host", "path"], "n", F.col("row")).filter("n IS NOT NULL")
     cut = cut.groupBy("row").agg(F.collect_set("at").alias("cut"))  # places in one page
     kept = F.filter("blocks", lambda b, i: ~F.array_contains(F.coalesce("cut", F.array().cast("array<int>")), i))
-    text = F.coalesce("text", F.array_join(F.transform(kept, lambda b: b["text"]), " "), F.lit(""))
-    found = read.join(cut, "row", "left")
-    return found.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    text = F.array_join(F.transform(kept, lambda b: b["text"]), " ")
+    weighed = read.filter("blocks IS NOT NULL").join(cut, "row", "left").select("page_id", "url", text.alias("text"))
+    settled = read.filter("blocks IS NULL").select("page_id", "url", F.coalesce("text", F.lit("")).alias("text"))
+    return settled.unionByName(weighed).withColumn("n_chars", F.length("text").cast("long"))
