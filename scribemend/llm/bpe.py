@@ -31,7 +31,7 @@ from scribemend.llm.common import as_text, keyed_as
 
 LEAF = 32
 #: Entries of a worker's two tables, of parts of texts and of matches of the pattern, and the longest part kept.
-PARTS, MATCHES, KEPT_CHARS = 350_000, 300_000, 48
+PARTS, MATCHES, KEPT_CHARS = 150_000, 200_000, 48
 # Letters and numbers that Unicode 16 added (first and last code point).
 NEW_LETTERS = [(0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65),
                (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E),

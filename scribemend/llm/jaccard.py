@@ -38,7 +38,7 @@ CHUNK = 1 << 12
 MOST_MATCHES = 4
 #: Shingles of eight bytes that may be broadcast: about 50 MB.
 LIST_ROWS = 3_000_000
-WORDS = 300_000
+WORDS = 150_000
 ONE = np.uint64(1)
 
 
@@ -170,7 +170,9 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, similarity: Fraction) ->
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingler(n)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "found": [shingles(t).tobytes() for t in batch["text"]]})
+            for at in range(0, len(batch), 1000):  # sets are as large as their texts: a few at a time
+                some = batch.iloc[at:at + 1000]
+                yield pd.DataFrame({"doc_id": some["doc_id"], "found": [shingles(t).tobytes() for t in some["text"]]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

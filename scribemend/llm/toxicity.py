@@ -30,7 +30,7 @@ from scribemend.llm.common import matching, stored
 POSITIVES, UNLABELLED, MODELS, FOLDS = 3000, 12000, 3, 5
 MOST_FEATURES = 20_000
 DECAY = 1e-5
-WORDS = 300_000
+WORDS = 150_000
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
 
