@@ -1,10 +1,10 @@
 """Approximate nearest neighbours by collision counting over single projections.
 
-A block of vectors has PROJECTIONS arrays, each sorted by one random projection.  For a query, a window around its own
+A block of vectors has PROJECTIONS arrays or PER_NUMBER for each component, if that is more, each sorted by one random projection.  For a query, a window around its own
 projection is opened in every array; a vector collides with the query once for each window it lies in.  Vectors with
-THRESHOLD collisions or more are verified with the exact measure.  While fewer than LEAST x k and a SHARE of the block pass, all
+THRESHOLD of all collisions or more are verified with the exact measure.  While fewer than LEAST x k and a SHARE of the block pass, all
 windows grow by one factor (virtual rehashing: the arrays stay as they are).  Once a window covers everything, the
-whole block is verified, so there is no cap on candidates.
+whole block is verified, so there is no cap on candidates.  Blocks of at most LEAST x k entries are verified whole.
 
 Inner products become distances by one more coordinate: vectors are scaled by the largest norm of the table and
 lifted to the unit sphere, queries are scaled to norm 1; then the nearest is the one of the largest inner product.
@@ -31,18 +31,18 @@ from pyspark.sql import functions as F
 from scribemend.llm.common import stored
 
 K = 20
-PROJECTIONS, THRESHOLD, SHARE, LEAST = 128, 0.87, 0.04, 20
+PROJECTIONS, PER_NUMBER, THRESHOLD, SHARE, LEAST = 128, 2, 0.87, 0.04, 20
 FIRST, GROWTH = 1.9, 1.08
 BLOCK, CHUNK = 16_384, 2048
-#: Numbers in a block at most, so that long vectors come in smaller blocks.
-NUMBERS = 1 << 20
+#: Numbers in a block at most, so that long vectors come in smaller blocks, but not below FLOOR rows.
+NUMBERS, FLOOR = 1 << 20, 4096
 
 
 class Arrays:
     """The sorted projections of a block of distinct vectors (rows of unit length)."""
 
     def __init__(self, vectors: np.ndarray, seed: int):
-        self.directions = np.random.default_rng(seed).standard_normal((vectors.shape[1], PROJECTIONS))
+        self.directions = np.random.default_rng(seed).standard_normal((vectors.shape[1], max(PROJECTIONS, PER_NUMBER * (vectors.shape[1] - 1))))
         marks = (vectors @ self.directions).T
         self.order = np.argsort(marks, axis=1, kind="stable")
         self.sorted = np.take_along_axis(marks, self.order, axis=1)
@@ -57,26 +57,27 @@ class Arrays:
 
     def collisions(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """How many of its windows each vector lies in; the smaller side of the windows is counted."""
-        if 2 * (high - low).sum() <= self.size * PROJECTIONS:
+        if 2 * (high - low).sum() <= self.size * len(self.order):
             inside = [row[a:b] for row, a, b in zip(self.order, low, high, strict=True)]
             return np.bincount(np.concatenate(inside), minlength=self.size)
         outside = [part for row, a, b in zip(self.order, low, high, strict=True) for part in (row[:a], row[b:])]
-        return PROJECTIONS - np.bincount(np.concatenate(outside), minlength=self.size)
+        return len(self.order) - np.bincount(np.concatenate(outside), minlength=self.size)
 
     def candidates(self, queries: np.ndarray, k: int) -> Iterator[np.ndarray]:
         """For each query (a row of unit length) the entries of the block that are to be verified."""
-        enough, needed = LEAST * k + int(SHARE * self.size), int(np.ceil(THRESHOLD * PROJECTIONS))
-        if self.size <= 4 * enough:
+        enough, needed = min(self.size, LEAST * k + int(SHARE * self.size)), int(np.ceil(THRESHOLD * len(self.order)))
+        if self.size <= LEAST * k:
             for _ in queries:
                 yield np.arange(self.size)
             return
+        growth = GROWTH ** np.sqrt(PROJECTIONS / len(self.order))  # more arrays tell closer distances apart
         own = queries @ self.directions
         low, high = self.windows(own, FIRST)
         for j in range(len(queries)):
             half, a, b = FIRST, low[j], high[j]
             passed = np.flatnonzero(self.collisions(a, b) >= needed)
             while len(passed) < enough:  # virtual rehashing: wider windows over the same arrays
-                half *= GROWTH
+                half *= growth
                 a, b = (x[0] for x in self.windows(own[j:j + 1], half))
                 passed = np.flatnonzero(self.collisions(a, b) >= needed)
             yield passed

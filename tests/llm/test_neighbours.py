@@ -79,3 +79,17 @@ def test_collisions_are_counted_on_either_side():
         for j in range(3):
             want = (np.abs(marks - own[j]) <= half).sum(axis=1)
             assert (np.abs(index.collisions(low[j], high[j]) - want) <= 1).all()
+
+
+@pytest.mark.parametrize(("rows", "long"), [(500, 64), (2000, 64), (2000, 768)])
+def test_small_blocks_and_long_vectors_use_the_index(rows, long):
+    vectors = np.random.default_rng(8).standard_normal((rows, long))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    lifted = np.column_stack([vectors, np.zeros(rows)])
+    found = list(neighbours.Arrays(lifted, 5).candidates(lifted[:20], 21))
+    assert any(len(own) < rows for own in found)
+    hits = 0
+    for j, own in enumerate(found):
+        best = np.argsort(-(vectors @ vectors[j]))[:21]
+        hits += np.isin(best, own).sum()
+    assert hits / (21 * 20) >= 0.9
