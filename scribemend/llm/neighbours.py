@@ -6,10 +6,12 @@ THRESHOLD of all collisions or more are verified with the exact measure.  While
 windows grow by one factor (virtual rehashing: the arrays stay as they are).  Once a window covers everything, the
 whole block is verified, so there is no cap on candidates.  Blocks of at most LEAST x k entries are verified whole.
 
-Inner products become distances by one more coordinate: vectors are scaled by the largest norm of the table and
+Inner products become distances by one more coordinate: vectors are scaled by the largest norm of their block and
 lifted to the unit sphere, queries are scaled to norm 1; then the nearest is the one of the largest inner product.
+That coordinate would drown the others in a block of many short vectors and few long ones, so a block holds vectors of
+one range of norms.
 
-Spark deals vectors to blocks of about BLOCK rows and queries to chunks of about CHUNK rows; each chunk meets each
+Spark deals vectors to blocks of about BLOCK rows by norm and queries to chunks of about CHUNK rows; each chunk meets each
 block once, and only the k best of a block leave it.  In a block equal vectors are one entry with its k + 1 smallest
 ids, which is all that a query can need, so a vector that fills the table costs no more than another.
 
@@ -36,6 +38,8 @@ FIRST, GROWTH = 1.9, 1.08
 BLOCK, CHUNK = 16_384, 2048
 #: Numbers in a block at most, so that long vectors come in smaller blocks, but not below FLOOR rows.
 NUMBERS, FLOOR = 1 << 20, 4096
+#: Steps of the norm to a doubling of it; norms about 1 are in the middle of a step.
+STEPS = 4
 
 
 class Arrays:
@@ -110,7 +114,23 @@ def block_answers(block: tuple, query_ids: np.ndarray, queries: np.ndarray, k: i
     return rows
 
 
-def prepared(ids: np.ndarray, vectors: np.ndarray, k: int, largest: float, seed: int) -> tuple:
+def norm_ranges(counts: list[tuple[int, int]], k: int) -> list[tuple[list[int], int]]:
+    """Steps of the norm (step, rows) as ranges (steps, rows), from the longest vectors down.
+
+    A range is one step with shorter vectors that are no more than it has itself, or as many steps as are verified whole.
+    """
+    ranges: list[tuple[list[int], int]] = []
+    head = 0
+    for step, n in sorted(counts, reverse=True):
+        if ranges and (ranges[-1][1] + n <= LEAST * k or ranges[-1][1] + n <= 2 * head):
+            ranges[-1] = ([*ranges[-1][0], step], ranges[-1][1] + n)
+        else:
+            head = n
+            ranges.append(([step], n))
+    return ranges
+
+
+def prepared(ids: np.ndarray, vectors: np.ndarray, k: int, seed: int) -> tuple:
     """Distinct vectors of a block, the smallest ids of each, and the sorted arrays."""
     places: dict[bytes, int] = {}
     members: list[list[int]] = []
@@ -123,7 +143,7 @@ def prepared(ids: np.ndarray, vectors: np.ndarray, k: int, largest: float, seed:
         if len(members[own]) <= k and (not members[own] or members[own][-1] != ids[i]):
             members[own].append(int(ids[i]))
     distinct = vectors[first]
-    scaled = distinct / largest
+    scaled = distinct / (np.sqrt((distinct * distinct).sum(axis=1).max()) * (1 + 1e-12))
     lifted = np.column_stack([scaled, np.sqrt(np.maximum(0.0, 1.0 - (scaled * scaled).sum(axis=1)))])
     return distinct, members, Arrays(lifted, seed)
 
@@ -145,22 +165,28 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, seed: int = 5) ->
         return vectors.sparkSession.createDataFrame([], empty)
     rows = rows.filter(F.col("d") == most["d"])
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    n, asked, largest = rows.agg(F.count("*"), F.sum(F.col("asks").cast("long")), F.max(norm)).first()
+    asked = rows.agg(F.sum(F.col("asks").cast("long"))).first()[0]
     if not asked:
         return vectors.sparkSession.createDataFrame([], empty)
+    rows = rows.withColumn("step", F.when(norm > 0, F.floor(F.log2(norm) * STEPS + 0.5)).otherwise(-(1 << 20)).cast("int"))
     fit = max(1, NUMBERS // max(1, most["d"]))
-    blocks, chunks = -(-n // min(BLOCK, fit)), -(-asked // min(CHUNK, fit))
+    chunks, blocks, dealt = -(-asked // min(CHUNK, fit)), 0, []
+    for steps, n in norm_ranges([tuple(r) for r in rows.groupBy("step").count().collect()], k + 1):
+        parts = -(-n // min(BLOCK, max(FLOOR, fit)))
+        dealt += [(step, blocks, parts) for step in steps]
+        blocks += parts
+    ranges = vectors.sparkSession.createDataFrame(dealt, "step int, base int, parts int")
 
     def packed(group: pd.DataFrame) -> pd.DataFrame:
         held = io.BytesIO()
         np.savez(held, ids=group["vec_id"].to_numpy(np.int64), v=dense(group["v"].tolist()))
         return pd.DataFrame({"part": [group["part"].iloc[0]], "data": [held.getvalue()]})
 
-    def part(count: int, salt: int) -> Column:
-        return F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(count)).cast("int").alias("part")
+    def part(count: Column, salt: int) -> Column:
+        return F.pmod(F.xxhash64("vec_id", F.lit(salt)), count).cast("int")
 
-    blocked = rows.select(part(blocks, 1), "vec_id", "v").groupBy("part").applyInPandas(packed, "part int, data binary")
-    asking = rows.filter("asks").select("vec_id", "v").distinct().select(part(chunks, 2), "vec_id", "v")
+    blocked = rows.join(F.broadcast(ranges), "step").select((F.col("base") + part(F.col("parts"), 1)).alias("part"), "vec_id", "v").groupBy("part").applyInPandas(packed, "part int, data binary")
+    asking = rows.filter("asks").select("vec_id", "v").distinct().select(part(F.lit(chunks), 2).alias("part"), "vec_id", "v")
     asking = stored(asking.groupBy("part").applyInPandas(packed, "part int, data binary"), "chunks")
     # one row for each chunk and block; a block's arrays are made once for the chunks that follow one another
     meeting = asking.select(F.col("part").alias("chunk"), F.col("data").alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"))
@@ -172,7 +198,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, seed: int = 5) ->
             for block, asked_data, data in zip(batch["part"], batch["asked"], batch["data"], strict=True):
                 if block != held:
                     with np.load(io.BytesIO(data)) as file:
-                        held, ready = block, prepared(file["ids"], file["v"], k, largest * (1 + 1e-12), seed)
+                        held, ready = block, prepared(file["ids"], file["v"], k, seed)
                 with np.load(io.BytesIO(asked_data)) as file:
                     found = block_answers(ready, file["ids"], file["v"], k)
                 yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"])

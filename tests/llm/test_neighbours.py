@@ -81,6 +81,30 @@ def test_collisions_are_counted_on_either_side():
             assert (np.abs(index.collisions(low[j], high[j]) - want) <= 1).all()
 
 
+def recall(table, vectors, step):
+    rows = neighbours.nearest(table([(i, v.tolist()) for i, v in enumerate(vectors)]), F.col("vec_id") % step == 0).collect()
+    got, wide, hits = {}, vectors.astype(np.float64), 0
+    for row in rows:
+        got.setdefault(row["query_id"], set()).add(row["vec_id"])
+    for q in range(0, len(vectors), step):
+        hits += len(got[q] & {v for v, _ in brute(np.arange(len(vectors)), wide, q, 20)})
+    return hits / (20 * len(range(0, len(vectors), step)))
+
+
+@pytest.mark.parametrize("longer", [1, 2, 3, 5, 10])
+def test_recall_beside_a_few_long_vectors(table, longer):
+    vectors = np.random.default_rng(7).standard_normal((6000, 64))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    vectors[[17, 4001]] *= longer
+    assert recall(table, vectors.astype(np.float32), 100) >= 0.9
+
+
+def test_norms_are_ranged_from_the_longest_down():
+    assert neighbours.norm_ranges([(0, 8000), (9, 5), (7, 100), (-1, 7000), (-2, 1500)], 20) == [
+        ([9, 7], 105), ([0, -1], 15000), ([-2], 1500)]
+    assert neighbours.norm_ranges([], 20) == []
+
+
 @pytest.mark.parametrize(("rows", "long"), [(500, 64), (2000, 64), (2000, 768)])
 def test_small_blocks_and_long_vectors_use_the_index(rows, long):
     vectors = np.random.default_rng(8).standard_normal((rows, long))
