@@ -3,13 +3,13 @@
 The pages of a host are merged into one tree.  An element node is named by its path: tag, id and class names, and its
 place among the like-named children of its parent.  Over the distinct pages of the host each node has style nodes (the
 sequences of its children's tags) and contents (digests of its text).  With m pages, the importance of a node is
-GAMMA times the entropy of its contents plus 1 - GAMMA times the entropy of its styles, both to the base m; a node
-of one page has importance 1.  Branches below THRESHOLD go from each page: they say the same on all pages.
+GAMMA times the entropy of its contents plus 1 - GAMMA times its presentation, the entropy of its styles, both to the
+base m; a node of one page has importance 1.  Branches below THRESHOLD go from each page: they say the same on all pages.
 
 Templates also fill menus or adverts anew on every page, which entropy takes for content.  So the presentation of a
 node counts, too: what its tag, role, id or class names declare (menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles, comments of readers) has importance 0, and the flow of an article has importance 1.  A page
-with an article or main element is that element; on others all is weighed by entropy.
+forms, scripts, styles, comments of readers) has importance 0, and in an article or main element presentation is 1.
+Text outside a main element has importance 0 if there is text in it; an article alone says nothing of what is around it.
 
 Text: character references are decoded, inline tags join, block tags and <br> part; white space inside a block becomes one
 space, and the blocks are joined in page order by one space. Null or empty html, and pages of markup alone, give an
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scribemend.llm.common import attach, stored
+from scribemend.llm.common import KEY_ROWS, attach, matching, stored
 
 GAMMA, THRESHOLD = 0.9, 0.25
 
@@ -72,10 +72,10 @@ RAW_END = {name: re.compile(rf"(?i)</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)") for name
 class Node:
     """An open or closed element while a page is read."""
 
-    __slots__ = ("name", "path", "zero", "flow", "kinds", "places", "digest")
+    __slots__ = ("name", "path", "zero", "flow", "cut", "kinds", "places", "digest", "said")
 
-    def __init__(self, name: str, path: int, zero: bool, flow: int):
-        self.name, self.path, self.zero, self.flow = name, path, zero, flow
+    def __init__(self, name: str, path: int, zero: bool, flow: int, cut: bool = False):
+        self.name, self.path, self.zero, self.flow, self.cut, self.said = name, path, zero, flow, cut, False
         self.kinds: list[str] = []
         self.places: Counter = Counter()
         self.digest = xxhash.xxh3_64()
@@ -97,15 +97,16 @@ def declared(name: str, attributes: str, flow: int) -> tuple[bool, str]:
 
 
 class Page:
-    """Blocks of a page: (flow, paths of the branch, text); and its nodes, if asked for.
+    """Blocks of a page: (flow, in a branch to cut, text); and its nodes with text, if asked for.
 
-    The flow is 2 in an article, 1 in a main element, 0 elsewhere.
+    The flow is 1 in a main element, 2 in an article, 3 in both, 0 elsewhere.
     """
 
-    def __init__(self, html: str, nodes: bool = False):
-        self.blocks: list[tuple[int, tuple[int, ...], str]] = []
-        self.nodes: list[tuple[int, int, int]] | None = [] if nodes else None
-        self.stack = [Node("", 0, False, 0)]
+    def __init__(self, html: str, site: str = "", nodes: bool = False, cut: frozenset[int] = frozenset()):
+        self.blocks: list[tuple[int, bool, str]] = []
+        self.nodes: list[tuple[int, bool, int, int]] | None = [] if nodes else None
+        self.cut = cut
+        self.stack = [Node("", xxhash.xxh3_64_intdigest(site) >> 1, False, 0)]
         self.text: list[str] = []
         self.read(html)
         while len(self.stack) > 1:
@@ -141,11 +142,11 @@ class Page:
             words = " ".join("".join(self.text).split())
             self.text = []
             if words:
-                flow = self.stack[-1].flow
-                self.blocks.append((flow, () if flow else tuple(n.path for n in self.stack[1:]), words))
+                self.blocks.append((self.stack[-1].flow, self.stack[-1].cut, words))
                 if self.nodes is not None:
                     for node in self.stack[1:]:
-                        node.digest.update(words)
+                        node.digest.update(f"{words}\n")
+                        node.said = True
 
     def start(self, name: str, attributes: str) -> None:
         if name not in INLINE:
@@ -166,22 +167,22 @@ class Page:
         if name in VOID or name in RAW_END:
             return
         zero, names = declared(name, attributes, above.flow)
-        zero, flow = above.zero or zero, 0 if zero else max(above.flow, {"article": 2, "main": 1}.get(name, 0))
+        zero, flow = above.zero or zero, 0 if zero else above.flow | {"article": 2, "main": 1}.get(name, 0)
         path = 0
-        if not zero and not flow:
+        if not zero:
             label = name + names
             path = xxhash.xxh3_64_intdigest(f"{above.path} {label} {above.places[label]}") >> 1
             above.places[label] += 1
-        self.stack.append(Node(name, path, zero, flow))
+        self.stack.append(Node(name, path, zero, flow, above.cut or path in self.cut))
 
     def close(self) -> None:
         node = self.stack[-1]
         if node.name not in INLINE:
             self.end_block()
         self.stack.pop()
-        if self.nodes is not None and not node.zero and not node.flow and node.name not in INLINE:
+        if self.nodes is not None and node.said and not node.zero and node.name not in INLINE:
             style = xxhash.xxh3_64_intdigest(" ".join(node.kinds)) >> 1
-            self.nodes.append((node.path, style, node.digest.intdigest() >> 1))
+            self.nodes.append((node.path, node.flow > 0, style, node.digest.intdigest() >> 1))
 
     def end(self, name: str) -> None:
         if name in VOID:
@@ -194,10 +195,13 @@ class Page:
                     self.close()
                 return
 
-    def content(self) -> list[tuple[int, tuple[int, ...], str]]:
-        """The blocks that may stay: those of the articles, or of the main element, or else all."""
-        best = max((flow for flow, _, _ in self.blocks), default=0)
-        return [block for block in self.blocks if block[0] == best]
+    def content(self) -> list[tuple[int, bool, str]]:
+        """The blocks that presentation leaves: with text in a main element those of it and of articles, or else all."""
+        main = any(flow & 1 for flow, _, _ in self.blocks)
+        return [block for block in self.blocks if block[0] or not main]
+
+    def kept(self) -> str:
+        return " ".join(words for _, cut, words in self.content() if not cut)
 
 
 def host(url: Column) -> Column:
@@ -206,60 +210,61 @@ def host(url: Column) -> Column:
     return F.coalesce(found, F.lit(""))
 
 
-def style_nodes(pages: DataFrame) -> DataFrame:
-    """(host, path, style, content, n) of the nodes of which nothing is declared, counted over distinct pages."""
+def style_nodes(rows: DataFrame) -> DataFrame:
+    """(page, alike, path, flow, style, content) of the nodes with text of which nothing is declared, stored."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(site, page, *node) for site, page, html in zip(batch["host"], batch["page"], batch["html"], strict=True)
-                    for node in Page(html, nodes=True).nodes]
-            if rows:
-                yield pd.DataFrame(rows, columns=["host", "page", "path", "style", "content"])
-
-    text = F.coalesce("html", F.lit(""))
-    rows = pages.select(host(F.col("url")).alias("host"), F.xxhash64(text).alias("page"), text.alias("html"))
-    nodes = rows.mapInPandas(run, "host string, page long, path long, style long, content long").distinct()
-    return nodes.groupBy("host", "path", "style", "content").agg(F.count("*").alias("n"))
-
-
-def entropy(counts: DataFrame, over: str, name: str) -> DataFrame:
-    """Entropy to the base of the pages of the values `over` of each node; 1 for a node of one page."""
-    each = counts.groupBy("host", "path", over).agg(F.sum("n").alias("n"))
-    return each.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("s")).select(
-        "host", "path", "pages", F.when(F.col("pages") > 1, 1 - F.col("s") / (F.col("pages") * F.log("pages"))).otherwise(1.0).alias(name))
-
-
-def noise(pages: DataFrame) -> DataFrame:
-    """(host, path, n) of the nodes of little importance, stored; n is the number of their pages."""
-    counts = stored(style_nodes(pages), "style-nodes")
-    content, style = entropy(counts, "content", "content"), entropy(counts, "style", "style").drop("pages")
-    both = content.join(style, ["host", "path"])
-    low = both.filter(F.lit(GAMMA) * F.col("content") + F.lit(1 - GAMMA) * F.col("style") < THRESHOLD)
-    return stored(low.select("host", "path", F.col("pages").alias("n")), "noise")
+            found = []
+            for page, site, html in zip(batch["page"], batch["host"], batch["html"], strict=True):
+                read = Page(html, site, nodes=True)
+                found += [(page, page, *node) for node in read.nodes]
+            if found:
+                yield pd.DataFrame(found, columns=["page", "alike", "path", "flow", "style", "content"])
+
+    nodes = rows.select("page", "host", "html").mapInPandas(run, "page long, alike long, path long, flow boolean, style long, content long")
+    return stored(nodes, "style-nodes")
+
+
+def entropy(counts: DataFrame, name: str) -> DataFrame:
+    """Entropy to the base of the pages of the values of each node, which n pages have; 1 for a node of one page."""
+    return counts.groupBy("path").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("s")).select(
+        "path", F.when(F.col("pages") > 1, 1 - F.col("s") / (F.col("pages") * F.log("pages"))).otherwise(1.0).alias(name))
+
+
+def noise(nodes: DataFrame) -> DataFrame:
+    """(path, content, n) of the contents to cut, stored; n is the number of their nodes."""
+    once = nodes.groupBy("path", "content", "alike").agg(F.count("*").alias("nodes"))
+    contents = stored(once.groupBy("path", "content").agg(F.count("*").alias("n"), F.sum("nodes").alias("nodes")), "contents")
+    styles = nodes.groupBy("path", "flow", "style", "alike").agg(F.lit(1).alias("one")).groupBy("path", "flow", "style").agg(F.count("*").alias("n"))
+    flow = styles.groupBy("path").agg(F.max("flow").alias("flow"))
+    # only nodes of low content entropy can be low: few, so that the others are not joined
+    low = entropy(contents, "content").filter(F.lit(GAMMA) * F.col("content") < THRESHOLD)
+    low = low.join(entropy(styles, "style"), "path").join(flow, "path")
+    presentation = F.when(F.col("flow"), 1.0).otherwise(F.col("style"))
+    low = low.filter(F.lit(GAMMA) * F.col("content") + F.lit(1 - GAMMA) * presentation < THRESHOLD).select("path")
+    repeated = contents.join(low, "path", "left_semi")
+    return stored(repeated.select("path", "content", F.col("nodes").alias("n")), "noise")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of (page_id, url, html)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for name, url, site, html in zip(batch["page_id"], batch["url"], batch["host"], batch["html"], strict=True):
-                content = Page(html).content()
-                sure = not content or content[0][0] > 0
-                rows.append((name, url, site, " ".join(t for _, _, t in content) if sure else None,
-                             None if sure else [(list(paths), t) for _, paths, t in content]))
-            yield pd.DataFrame(rows, columns=["page_id", "url", "host", "text", "blocks"])
-
-    kind = pages.schema["page_id"].dataType
-    rows = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", host(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    read = rows.mapInPandas(run, "page_id string, url string, host string, text string, blocks array<struct<paths:array<long>,text:string>>")
-    read = stored(read.withColumn("page_id", F.col("page_id").cast(kind)).withColumn("row", F.monotonically_increasing_id()), "blocks")
-    # branches to cut from the pages that are not all article
-    branches = read.filter("blocks IS NOT NULL").select("row", "host", F.posexplode("blocks").alias("at", "block"))
-    branches = branches.select("row", "host", "at", F.explode("block.paths").alias("path"))
-    cut = attach(branches, noise(pages), ["host", "path"], "n", F.col("row")).filter("n IS NOT NULL")
-    cut = cut.groupBy("row").agg(F.collect_set("at").alias("cut"))  # places in one page
-    kept = F.filter("blocks", lambda b, i: ~F.array_contains(F.coalesce("cut", F.array().cast("array<int>")), i))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), " ")
-    weighed = read.filter("blocks IS NOT NULL").join(cut, "row", "left").select("page_id", "url", text.alias("text"))
-    settled = read.filter("blocks IS NULL").select("page_id", "url", F.coalesce("text", F.lit("")).alias("text"))
-    return settled.unionByName(weighed).withColumn("n_chars", F.length("text").cast("long"))
+            texts = [Page(html, site, cut=frozenset(() if cut is None else cut)).kept()
+                     for site, html, cut in zip(batch["host"], batch["html"], batch["cut"], strict=True)]
+            yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts})
+
+    kind, site, html = pages.schema["page_id"].dataType, host(F.col("url")), F.coalesce("html", F.lit(""))
+    rows = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", site.alias("host"), html.alias("html"), F.xxhash64(site, html).alias("page"))
+    nodes = style_nodes(rows)
+    found = attach(nodes.select("page", "path", "content"), noise(nodes), ["path", "content"], "n", F.col("page")).filter("n IS NOT NULL")
+    # the branches to cut of each page
+    cut = found.groupBy("page").agg(F.collect_set("path").alias("cut"))
+    cut = stored(cut, "cut")
+    if (cut.agg(F.sum(F.size("cut"))).first()[0] or 0) <= KEY_ROWS:
+        joined = rows.join(F.broadcast(cut), "page", "left")
+    else:
+        copies = matching(rows.groupBy("page").agg(F.count("*").alias("n")), cut.select("page"), ["page"])
+        joined = attach(rows, stored(cut.join(copies, "page"), "cut-copies"), ["page"], "n", F.xxhash64("page_id", "url"))
+    out = joined.select("page_id", "url", "host", "html", "cut").mapInPandas(run, "page_id string, url string, text string")
+    return out.select(F.col("page_id").cast(kind).alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -46,3 +46,23 @@ def test_hosts(llm):
     urls = ["https://www.X.org:80/a?b#c", "//user@x.org", "http://x.org", "x.org/a", None, ""]
     rows = llm.createDataFrame([(u,) for u in urls], "url string").select(pages.host(F.col("url")).alias("h"))
     assert [r["h"] for r in rows.collect()] == ["x.org", "x.org", "x.org", "", "", ""]
+
+
+def read(llm, htmls, site="https://a.org/"):
+    table = llm.createDataFrame([(i, f"{site}{i}", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+    return [r["text"] for r in sorted(pages.main_text(table).collect(), key=lambda r: r["page_id"])]
+
+
+def test_tree_decides_inside_and_beside_articles(llm):
+    inside = [f"<article><h1>title {i}</h1><p>Read our daily letter now</p><p>a longer story number {i} is told here</p></article>" for i in range(20)]
+    assert read(llm, inside) == [f"title {i} a longer story number {i} is told here" for i in range(20)]
+    headed = [f"<main><h1>title {i}</h1><p>lead {i}</p><article>story {i}</article><p>more {i}</p></main>" for i in range(3)]
+    assert read(llm, headed) == [f"title {i} lead {i} story {i} more {i}" for i in range(3)]
+    teaser = [f"<div><p>the body of page {i} goes on and on</p></div><article>teaser {i}</article><div><p>All rights reserved</p></div>" for i in range(20)]
+    assert read(llm, teaser) == [f"the body of page {i} goes on and on teaser {i}" for i in range(20)]
+
+
+def test_many_cut_branches_are_shuffled(llm, monkeypatch):
+    htmls = [f"<div>All rights reserved</div><p>words of page {i} alone</p>" for i in range(9)] * 2
+    monkeypatch.setattr(pages, "KEY_ROWS", 0)
+    assert read(llm, htmls) == [f"words of page {i} alone" for i in range(9)] * 2
