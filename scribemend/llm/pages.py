@@ -4,7 +4,9 @@ The pages of a host are merged into one tree.  An element node is named by its p
 place among the like-named children of its parent.  Over the distinct pages of the host each node has style nodes (the
 sequences of its children's tags) and contents (digests of its text).  With m pages, the importance of a node is
 GAMMA times the entropy of its contents plus 1 - GAMMA times its presentation, the entropy of its styles, both to the
-base m; a node of one page has importance 1.  Branches below THRESHOLD go from each page: they say the same on all pages.
+base m; a node of one page has importance 1.  In branches below THRESHOLD the contents that several pages have go
+from those pages; a content that one page alone has stays.  Copies of a page say nothing about its template: pages
+count once if the same longest blocks make up SAME of their text, so another date or advert makes no other page.
 
 Templates also fill menus or adverts anew on every page, which entropy takes for content.  So the presentation of a
 node counts, too: what its tag, role, id or class names declare (menus, headers, footers, sidebars, notices, adverts,
@@ -14,7 +16,7 @@ Text outside a main element has importance 0 if there is text in it; an article
 Text: character references are decoded, inline tags join, block tags and <br> part; white space inside a block becomes one
 space, and the blocks are joined in page order by one space. Null or empty html, and pages of markup alone, give an
 empty text; a null or unreadable url makes a host of its own kind, "". Unclosed, crossed and missing tags are borne.
-Rows that repeat a page_id stay rows of their own; pages of equal html count once in the statistics of a host.
+Rows that repeat a page_id stay rows of their own.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from scribemend.llm.common import KEY_ROWS, attach, matching, stored
 
-GAMMA, THRESHOLD = 0.9, 0.25
+GAMMA, THRESHOLD, SAME = 0.9, 0.25, 0.9
 
 # Names of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -203,6 +205,17 @@ class Page:
     def kept(self) -> str:
         return " ".join(words for _, cut, words in self.content() if not cut)
 
+    def likeness(self) -> int:
+        """Digest of the longest blocks that make up SAME of the text."""
+        digest, blocks = xxhash.xxh3_64(), sorted((words for _, _, words in self.content()), key=lambda w: (-len(w), w))
+        left = SAME * sum(map(len, blocks))
+        for words in blocks:
+            if left <= 0:
+                break
+            digest.update(f"{words}\n")
+            left -= len(words)
+        return digest.intdigest() >> 1
+
 
 def host(url: Column) -> Column:
     """The host of a url without www. and port; "" if there is none."""
@@ -217,7 +230,8 @@ def style_nodes(rows: DataFrame) -> DataFrame:
             found = []
             for page, site, html in zip(batch["page"], batch["host"], batch["html"], strict=True):
                 read = Page(html, site, nodes=True)
-                found += [(page, page, *node) for node in read.nodes]
+                alike = read.likeness()
+                found += [(page, alike, *node) for node in read.nodes]
             if found:
                 yield pd.DataFrame(found, columns=["page", "alike", "path", "flow", "style", "content"])
 
@@ -242,7 +256,7 @@ def noise(nodes: DataFrame) -> DataFrame:
     low = low.join(entropy(styles, "style"), "path").join(flow, "path")
     presentation = F.when(F.col("flow"), 1.0).otherwise(F.col("style"))
     low = low.filter(F.lit(GAMMA) * F.col("content") + F.lit(1 - GAMMA) * presentation < THRESHOLD).select("path")
-    repeated = contents.join(low, "path", "left_semi")
+    repeated = contents.filter(F.col("n") > 1).join(low, "path", "left_semi")
     return stored(repeated.select("path", "content", F.col("nodes").alias("n")), "noise")
 
 

@@ -62,6 +62,21 @@ def test_tree_decides_inside_and_beside_articles(llm):
     assert read(llm, teaser) == [f"the body of page {i} goes on and on teaser {i}" for i in range(20)]
 
 
+def test_copies_do_not_make_a_template(llm):
+    body = "a body that many pages of this site have " * 5
+    def page(i, text):
+        return f"<div class=ad>advert {i}</div><div><p>{text}</p></div><div><i>day {i}</i></div>"
+    many = [page(i, body if i < 90 else f"text {i} of its own") for i in range(100)]
+    want = [f"{body.strip()} day {i}" if i < 90 else f"text {i} of its own day {i}" for i in range(100)]
+    assert read(llm, many) == want
+    assert read(llm, [page(i, body) for i in range(2)]) == [f"{body.strip()} day {i}" for i in range(2)]
+
+
+def test_a_content_of_one_page_stays_in_a_low_branch(llm):
+    htmls = [f"<div><p>{'Sold by the same shop' if i < 95 else f'only page {i} says so'}</p></div><div><p>goods number {i} with words</p></div>" for i in range(100)]
+    assert read(llm, htmls) == [f"{'' if i < 95 else f'only page {i} says so '}goods number {i} with words" for i in range(100)]
+
+
 def test_many_cut_branches_are_shuffled(llm, monkeypatch):
     htmls = [f"<div>All rights reserved</div><p>words of page {i} alone</p>" for i in range(9)] * 2
     monkeypatch.setattr(pages, "KEY_ROWS", 0)
