@@ -15,7 +15,8 @@ of near copies costs about its size, and copies are never expanded into pairs.
 
 Words are runs of anything but space and the characters 9 to 13, with A-Z lower-cased.  Null texts and texts without
 words have an empty set and no links; a text of fewer words than a shingle is one shingle.  Rows that share a doc_id
-are one node, linked through any of their texts; a row without doc_id takes no part and has no component.
+are one document, linked through any of their texts: each different text is a node of its own, named in the order of the
+doc_ids, and the nodes of a document are linked at the end.  A row without doc_id takes no part and has no component.
 """
 
 from __future__ import annotations
@@ -235,8 +236,47 @@ def components(links: DataFrame) -> DataFrame:
         edges = after
 
 
+def text_names(docs: DataFrame) -> DataFrame | None:
+    """(doc_id, digest, name, n) of the texts of n rows, stored, if a doc_id has several rows: names from 0, in the order of doc_id."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL")
+    if ids.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return None
+    each = with_digest(docs.select("doc_id", "text")).filter("doc_id IS NOT NULL").groupBy("doc_id", "digest").agg(F.count("*").alias("n"))
+    numbered = stored(each, "texts").orderBy("doc_id", "digest").rdd.zipWithIndex().map(lambda r: (*r[0], r[1]))
+    return stored(docs.sparkSession.createDataFrame(numbered, "doc_id long, digest long, n long, name long"), "text-names")
+
+
+def with_digest(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("digest", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
+def by_name(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """(doc_id, text) with the names of the texts as doc_id."""
+    rows = attach(with_digest(docs.select("doc_id", "text")), names, ["doc_id", "digest"], "n", F.rand(1))
+    return stored(rows.select(F.col("name").alias("doc_id"), "text"), "named")
+
+
 def linked(docs: DataFrame, n: int = 4, similarity: Fraction = Fraction(85, 100)) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of (doc_id, text)."""
+    names = text_names(docs)
+    if names is None:
+        return linked_texts(docs, n, similarity)
+    found = stored(linked_texts(by_name(docs, names), n, similarity), "linked-texts")
+    # a document joins the components of its texts
+    first = stored(names.groupBy("doc_id").agg(F.min("name").alias("first"), F.count("*").alias("n")), "first-texts")
+    own = attach(names.select("doc_id", "name"), first, ["doc_id"], "n", F.col("name")).select(F.col("first").alias("a"), F.col("name").alias("b"))
+    links = found.filter("doc_id IS NOT NULL").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+    labels = components(links.unionByName(own))
+    known = names.select("name", "doc_id", "n").join(labels.withColumnRenamed("node", "name"), "name", "left")
+    known = known.select("name", "doc_id", "n", F.coalesce("component", "name").alias("component"))
+    tops = stored(known.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("top_n")), "tops")
+    known = stored(attach(stored(known, "known"), tops, ["component"], "top_n", F.col("name")).select("name", F.col("doc_id").alias("id"), "n", "component_id"), "documents")
+    out = attach(found.select(F.col("doc_id").alias("name"), "n_shingles"), known, ["name"], "n", F.rand(2))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+def linked_texts(docs: DataFrame, n: int, similarity: Fraction) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of (doc_id, text), in which a doc_id has one text."""
     p, q = similarity.numerator, similarity.denominator
     scanned = scan(docs, n)
     rows = scanned.filter("part < 0").select("doc_id", "size", "mark")
@@ -296,7 +336,14 @@ def linked(docs: DataFrame, n: int = 4, similarity: Fraction = Fraction(85, 100)
 
 
 def one_of_each(docs: DataFrame, n: int = 5, similarity: Fraction = Fraction(80, 100)) -> DataFrame:
-    """The rows of `docs` (all columns) of which the smallest doc_id of a class stays; rows without doc_id stay."""
-    found = stored(linked(docs, n, similarity).filter("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
-    return matching(packed, found, ["doc_id"], "left_anti").select("row.*")
+    """The rows of `docs` (all columns) of which the smallest doc_id of a class of texts stays; rows without doc_id stay."""
+    names = text_names(docs)
+    found = linked_texts(docs if names is None else by_name(docs, names), n, similarity)
+    found = stored(found.filter("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
+    if names is None:
+        return matching(packed.select("row", F.col("doc_id").cast("long").alias("doc_id")), found, ["doc_id"], "left_anti").select("row.*")
+    # the texts that go, not all rows of their doc_id
+    gone = stored(matching(names.withColumnRenamed("doc_id", "id"), found.withColumnRenamed("doc_id", "name"), ["name"]).select(
+        F.col("id").alias("doc_id"), "digest"), "near-texts")
+    return matching(with_digest(packed), gone, ["doc_id", "digest"], "left_anti").select("row.*")

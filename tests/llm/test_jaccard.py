@@ -103,3 +103,16 @@ def test_the_cheapest_k_is_chosen():
     assert jaccard.choose_matches(counts, 200, Fraction(4, 5)) == 2
     counts[41:] = 1e9  # but a longer prefix would read a huge list
     assert jaccard.choose_matches(counts, 200, Fraction(4, 5)) == 1
+
+
+def test_a_doc_id_of_several_texts(documents):
+    def words(name, at=None):
+        return " ".join("changed" if i == at else f"{name}{i}" for i in range(60))
+    rows = [(1, words("a")), (5, words("a")), (5, words("b")), (9, words("b", 59)), (7, words("c")), (7, None), (3, words("c", 59)),
+            (7, words("d")), (20, words("d")), (21, words("e")), (None, words("a"))]
+    docs = documents(rows)
+    got = sorted((tuple(r) for r in jaccard.linked(docs).collect()), key=str)
+    assert got == classes(rows, 4, Fraction(85, 100))
+    assert {(d, c) for d, _, c in got if d in (1, 5, 9)} == {(1, 1), (5, 1), (9, 1)}
+    kept = sorted(((r["doc_id"], r["text"]) for r in jaccard.one_of_each(docs).collect()), key=str)
+    assert kept == sorted([rows[0], rows[2], rows[5], rows[6], rows[7], rows[9], rows[10]], key=str)
