@@ -7,8 +7,8 @@ from scribemend.llm import queries
 SF = "/root/testdata/sf0.001"
 
 
-def test_all_ten_are_registered():
-    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 11))
+def test_all_are_registered():
+    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 14))
     assert set(queries.SQL) <= set(queries.QUERIES)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "exact dedup", "n-gram Jaccard join", "mixing sources", "byte-level BPE"]
 
@@ -16,7 +16,7 @@ def test_all_ten_are_registered():
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_like_its_sql(llm, name):
     engine = duckdb.connect()
-    for table in ("documents", "pages", "labels"):
+    for table in ("documents", "pages", "labels", "conversations"):
         engine.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
     want = engine.execute(queries.SQL[name])
     columns = [d[0] for d in want.description]
