@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +27,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
+        .config("spark.checkpoint.dir", _own_folder())
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -32,24 +36,85 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor sees, as named by spark.checkpoint.dir.
+def _own_folder() -> str:
+    """The folder that Spark's own settings name, else a new one: a local session's tasks all see this machine's."""
+    from pyspark import SparkConf
 
-    Only a local session without that setting gets a folder of its own.
-    """
+    return SparkConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="scribemend-")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """Folder every executor sees, as named by spark.checkpoint.dir (or set on the context of a local session)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="scribemend-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="scribemend-"))
+    return context.getCheckpointDir()
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    made_paths(spark).append(path)
+    return path
+
+
+def made_paths(spark: SparkSession) -> list[str]:
+    """The paths given out so far and not dropped, oldest first."""
+    context = spark.sparkContext
+    if not hasattr(context, "_scribemend_paths"):
+        context._scribemend_paths = []
+    return context._scribemend_paths
+
+
+def drop_paths(spark: SparkSession, paths: list[str], keep: DataFrame | None = None) -> list[str]:
+    """Deletes given paths with what is in them, but none that `keep` reads; returns those that are gone."""
+    read = keep.inputFiles() if keep is not None else []
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = []
+    for path in paths:
+        if not any(path.rsplit("/", 1)[1] in file for file in read):
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+            gone.append(path)
+    context_paths = made_paths(spark)
+    context_paths[:] = [path for path in context_paths if path not in gone]
+    return gone
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder and read again: computed once, safe from lost executors."""
+    path = new_table_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def open_output(path: str):
+    """A file in the shared folder, opened for writing from any executor (file:, hdfs: and object stores)."""
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path)
+    system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+    return system.open_output_stream(inner, compression=None)  # else the file's name decides
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives this package to the executors, which need not have it installed; once a context."""
+    context = spark.sparkContext
+    if not getattr(context, "_scribemend_shipped", False):
+        root, held = Path(__file__).resolve().parent, io.BytesIO()
+        with zipfile.ZipFile(held, "w") as archive:
+            for file in sorted(root.rglob("*.py")):
+                archive.write(file, str(file.relative_to(root.parent)))
+        path = new_table_path(spark, "package") + ".zip"
+        with open_output(path) as out:
+            out.write(held.getvalue())
+        context.addPyFile(path)
+        context._scribemend_shipped = True
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
