@@ -1,214 +1,187 @@
 """Alias matching, greedy resolution and rewriting of texts by an alias lexicon.
 
-A lexicon is a table (alias, canonical, lex_order).  Greedy resolution (longest
-alias first, then lexicon order, then position, no overlaps) is one fold over the
-ordered lexicon: every alias is replaced in the text that earlier aliases left
-uncovered by a mark of private-use characters, which no alias can match.  A mark spells the
-place of its alias in the ordered lexicon, so lexicon orders may repeat or be
-negative.  The fold is linear in the text for every alias and needs no shuffle, so it
-also serves streams.  Lexicons over the literal bound take the join path, in which
-each text meets only the aliases it can hold; both give the same rows.
+A lexicon is a table (alias, canonical, lex_order).  Greedy resolution takes the longest alias first, then lexicon
+order, then position, without overlaps; an alias of one character counts only as a word of its own.  The lexicon is
+a broadcast index of beginnings, probed at every place of a text: no shuffle, the same on streams, and the time hardly
+goes with the number of aliases.  A lexicon over the bound of an index goes through a join that finds the aliases each
+text can hold; both give the same rows.  A null text stays null and has no spans.
 """
 
 from __future__ import annotations
 
-import json
-import re
-from dataclasses import dataclass
+import unicodedata
+from collections.abc import Callable
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scribemend.functions.text import gaps_between, item_rows, let, occurrences, rewrite_matches, running_starts
-from scribemend.session import bounded_rows
-
-# Private-use characters that frame and spell a covered span.
-# The frame tells whether the covered alias starts / ends with a word character.
-OPEN_WORD, OPEN_OTHER, CLOSE_WORD, CLOSE_OTHER = "\ue000", "\ue001", "\ue002", "\ue003"
-SINGLE_OPEN, SINGLE_CLOSE, ESCAPE = "\ue004", "\ue005", "\ue006"
-HEX = "0123456789ABCDEF"
-CODE = "".join(chr(0xE010 + k) for k in range(16))
-RESERVED = OPEN_WORD + OPEN_OTHER + CLOSE_WORD + CLOSE_OTHER + SINGLE_OPEN + SINGLE_CLOSE + ESCAPE + CODE
-ESCAPED = "".join(chr(0xE030 + k) for k in range(len(RESERVED)))
-
-WORD = r"\p{L}\p{N}_"
-MARK = (f"[{OPEN_WORD}{OPEN_OTHER}][{CODE}]+[{CLOSE_WORD}{CLOSE_OTHER}]"
-        f"|{SINGLE_OPEN}(?s:.){SINGLE_CLOSE}")
+from scribemend.functions.text import item_rows
+from scribemend.operators.lookup import INDEX_BYTES, PrefixIndex, candidates_by_gram, indexed
+from scribemend.session import ship_package
 
+ENTRY = "struct<alias:string,canonical:string,lex_order:bigint>"
 SPAN = "struct<pos:int,alias:string,canonical:string,lex_order:bigint>"
-
-
-@dataclass(frozen=True)
-class AliasEntries:
-    """Lexicon prepared for the fold: ordered entries and the one-character ones."""
-
-    entries: Column          # ARRAY<ENTRY>, longest first
-    singles: Column          # MAP<alias, STRUCT<canonical, lex_order>>
-    single_pattern: str | None
-
-
-ENTRY = "struct<alias:string,canonical:string,lex_order:bigint,find:string,mark:string>"
-#: Join keys are the first characters of an alias, up to so many.
-KEY_LENGTH = 8
+RESOLVED = f"struct<text:string,spans:array<{SPAN}>>"
 
 
 def usable(lexicon: DataFrame) -> DataFrame:
-    """Without empty and identity aliases; one row per alias, the last one wins (of equals the greatest canonical).
-
-    A single private-use character cannot be an alias; longer aliases may hold such characters.
-    """
+    """Without empty and identity aliases; one row per alias, the last one wins (of equals the greatest canonical)."""
     w = W.partitionBy("alias").orderBy(F.desc("lex_order"), F.desc("canonical"))
-    return (lexicon.filter((F.length("alias") > 0) & (F.col("alias") != F.col("canonical"))
-                           & ~F.col("alias").rlike(f"^[{RESERVED}]$"))
+    return (lexicon.filter((F.length("alias") > 0) & (F.col("alias") != F.col("canonical")))
             .withColumn("_n", F.row_number().over(w)).filter("_n = 1")
             .select("alias", "canonical", F.col("lex_order").cast("long").alias("lex_order")))
 
 
-def _escaped(text: str) -> str:
-    return "".join(ESCAPE + ESCAPED[RESERVED.index(c)] if c in RESERVED else c for c in text)
+def _index(lexicon: DataFrame, limit: int):
+    """Longest alias first, then lexicon order."""
+    ordered = usable(lexicon).orderBy(F.desc(F.length("alias")), "lex_order", "alias")
+    return indexed(ordered, ["alias", "canonical", "lex_order"], limit)
 
 
+@lru_cache(maxsize=4096)
 def _is_word(char: str) -> bool:
-    return char == "_" or char.isalnum()
+    return char == "_" or unicodedata.category(char)[0] in "LN"
+
+
+def kept_hits(text: str, index: PrefixIndex) -> list[tuple[int, int]]:
+    """(place, rank) of the aliases that stay, in text order; ranks go by falling length."""
+    wide, found = len(text) + 1, []
+    for at, rank in index.hits(text):
+        if len(index.strings[rank]) == 1 and (at > 0 and _is_word(text[at - 1]) or at + 1 < len(text) and _is_word(text[at + 1])):
+            continue
+        found.append(rank * wide + at)
+    found.sort()
+    covered, kept = bytearray(len(text)), []
+    for number in found:
+        rank, at = divmod(number, wide)
+        size = len(index.strings[rank])
+        # what is covered already is no shorter: it holds one of the ends, if anything
+        if not (covered[at] or covered[at + size - 1]):
+            covered[at:at + size] = b"\x01" * size
+            kept.append((at, rank))
+    kept.sort()
+    return kept
+
+
+def _spans(places: list[list[tuple[int, int]]], columns: list[pa.Array]) -> pa.Array:
+    """ARRAY<STRUCT<pos, ...>> of (place, rank) lists, the columns taken by rank."""
+    offsets = [0]
+    for found in places:
+        offsets.append(offsets[-1] + len(found))
+    at = pa.array([p for found in places for p, _ in found], pa.int32())
+    ranks = pa.array([r for found in places for _, r in found], pa.int64())
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(
+        [at, *[c.take(ranks) for c in columns]], ["pos", "alias", "canonical", "lex_order"]))
+
+
+def _columns(index: PrefixIndex, canonical: list[str], order: list[int]) -> list[pa.Array]:
+    return [pa.array(index.strings, pa.string()), pa.array(canonical, pa.string()), pa.array(order, pa.int64())]
+
+
+def _rewritten(text: str, kept: list[tuple[int, int]], strings: list[str], canonical: list[str]) -> str:
+    pieces, end = [], 0
+    for at, rank in kept:
+        pieces += [text[end:at], canonical[rank] or ""]
+        end = at + len(strings[rank])
+    return "".join(pieces) + text[end:]
+
+
+def _resolved(texts: list[str | None], lexicons) -> pa.Array:
+    """STRUCT<text, spans> of texts, each with its (index, canonical, lex_order); runs of one lexicon share its columns."""
+    out, places, parts, last = [], [], [], None
+
+    def close() -> None:
+        if last is not None:
+            parts.append(_spans(places, _columns(*last)))
+            places.clear()
+
+    for text, lexicon in zip(texts, lexicons, strict=True):
+        if lexicon is not last:
+            close()
+            last = lexicon
+        index, canonical, _ = lexicon
+        kept = kept_hits(text, index) if text else []
+        places.append(kept)
+        out.append(_rewritten(text, kept, index.strings, canonical) if kept else text)
+    close()
+    kind = pa.list_(pa.struct([("pos", pa.int32()), ("alias", pa.string()), ("canonical", pa.string()), ("lex_order", pa.int64())]))
+    spans = pa.concat_arrays(parts) if parts else pa.array([], kind)
+    return pa.StructArray.from_arrays([pa.array(out, pa.string()), spans], ["text", "spans"])
+
+
+def resolver(lexicon: DataFrame, limit: int = INDEX_BYTES) -> Callable[[Column], Column] | None:
+    """Column function text -> STRUCT<text, spans> with no shuffle, also for streams; None over the bound of an index."""
+    shared = _index(lexicon, limit)
+    if shared is None:
+        return None
 
+    @F.arrow_udf(RESOLVED)
+    def resolve(texts: pa.Array) -> pa.Array:
+        return _resolved(texts.to_pylist(), [shared.value] * len(texts))
 
-def _escape(text: Column) -> Column:
-    return rewrite_matches(text, f"[{RESERVED}]", 0, lambda m, _: F.concat(F.lit(ESCAPE), F.translate(m, RESERVED, ESCAPED)))
+    return resolve
 
 
-def _mark_column(alias: Column, place: Column) -> Column:
-    return F.concat(
-        F.when(alias.rlike(f"^[{WORD}]"), OPEN_WORD).otherwise(OPEN_OTHER),
-        F.translate(F.hex(place), HEX, CODE),
-        F.when(alias.rlike(f"[{WORD}]\\z"), CLOSE_WORD).otherwise(CLOSE_OTHER))
+def _with_entries(df: DataFrame, lexicon: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """`df` with _entries: for each text the aliases that it can hold, longest first."""
+    rows = usable(lexicon)
+    near = candidates_by_gram(df, rows.select(F.col("alias").alias("string")), id_col, text_col)
+    entry = F.struct((-F.length("alias")).alias("size"), "lex_order", "alias", "canonical")
+    found = (near.withColumnRenamed("string", "alias").join(rows, "alias")
+             .groupBy(id_col).agg(F.array_sort(F.collect_set(entry)).alias("_found")))
+    held = F.transform(F.filter("_found", lambda e: F.contains(F.col(text_col), e["alias"])), lambda e: F.struct(
+        e["alias"].alias("alias"), e["canonical"].alias("canonical"), e["lex_order"].alias("lex_order")))
+    none = F.expr(f"CAST(array() AS array<{ENTRY}>)")
+    return df.join(found, id_col, "left").withColumn("_entries", F.coalesce(held, none)).drop("_found")
 
 
-def literal_entries(lexicon: DataFrame, bounded: bool = True) -> AliasEntries | None:
-    """Lexicon as one literal, or None when it is over the bound (bounded=False: whatever its size, for streams)."""
-    rows = bounded_rows(usable(lexicon)) if bounded else usable(lexicon).collect()
-    if rows is None:
-        return None
-    ordered = sorted(rows, key=lambda r: (-len(r["alias"]), r["lex_order"], r["alias"]))
-    longer = [r for r in ordered if len(r["alias"]) > 1]
-    singles = [r for r in ordered if len(r["alias"]) == 1]
-    held = [{"alias": r["alias"], "canonical": r["canonical"], "lex_order": r["lex_order"], "find": _escaped(r["alias"]),
-             "mark": (OPEN_WORD if _is_word(r["alias"][0]) else OPEN_OTHER) + "".join(CODE[HEX.index(c)] for c in f"{k:X}")
-             + (CLOSE_WORD if _is_word(r["alias"][-1]) else CLOSE_OTHER)} for k, r in enumerate(longer)]
-    # one string instead of thousands of literals; Spark works it out once
-    entries = F.from_json(F.lit(json.dumps(held)), f"array<{ENTRY}>")
-    single_map = F.from_json(F.lit(json.dumps({r["alias"]: {"canonical": r["canonical"], "lex_order": r["lex_order"]} for r in singles})),
-                             "map<string,struct<canonical:string,lex_order:bigint>>")
-    pattern = "[" + "".join(re.escape(r["alias"]) for r in singles) + "]" if singles else None
-    return AliasEntries(entries, single_map, pattern)
-
-
-def _marked(text: Column, lex: AliasEntries) -> Column:
-    """Text in which every kept span is a mark."""
-    out = F.aggregate(lex.entries, _escape(text), lambda acc, e: F.when(
-        F.contains(acc, e["find"]), F.replace(acc, e["find"], e["mark"])).otherwise(acc))
-    if lex.single_pattern:
-        out = F.regexp_replace(
-            out, f"({lex.single_pattern})(?<![{WORD}{CLOSE_WORD}](?s:.))(?![{WORD}{OPEN_WORD}])",
-            f"{SINGLE_OPEN}$1{SINGLE_CLOSE}")
-    return out
-
-
-def _resolved(text: Column, lex: AliasEntries) -> Column:
-    """STRUCT<text, spans>: the rewritten text and the kept spans in text order."""
-    pieces = let(_marked(text, lex), lambda marked: F.struct(
-        gaps_between(marked, MARK).alias("gaps"),
-        F.regexp_extract_all(marked, F.lit(MARK), F.lit(0)).alias("marks")))
-
-    def entry(mark: Column) -> Column:
-        inner = F.substring(mark, F.lit(2), F.length(mark) - 2)
-        single = F.startswith(mark, F.lit(SINGLE_OPEN))
-        number = F.conv(F.translate(inner, CODE, HEX), 16, 10).cast("long")
-        return F.when(single, let(lex.singles[inner], lambda s: F.struct(
-            inner.alias("alias"), s["canonical"].alias("canonical"), s["lex_order"].alias("lex_order")))
-        ).otherwise(let(F.get(lex.entries, number.cast("int")), lambda e: F.struct(
-            e["alias"].alias("alias"), e["canonical"].alias("canonical"), e["lex_order"].alias("lex_order"))))
-
-    def plain(gap: Column) -> Column:
-        return F.when(F.contains(gap, F.lit(ESCAPE)), rewrite_matches(
-            gap, f"{ESCAPE}([{ESCAPED}])", 1, lambda m, g: F.translate(g[0], ESCAPED, RESERVED))).otherwise(gap)
-
-    def rebuild(gaps: Column, found: Column) -> Column:
-        text_out = F.array_join(F.zip_with(gaps, F.concat(
-            F.transform(found, lambda e: e["canonical"]), F.array(F.lit(""))), lambda g, c: F.concat(g, c)), "")
-        lengths = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found,
-                             lambda g, e: F.length(g) + F.length(e["alias"]))
-        spans = F.zip_with(F.zip_with(running_starts(lengths), gaps, lambda s, g: s + F.length(g)), found,
-                           lambda at, e: F.when(e.isNotNull(), F.struct(
-                               at.alias("pos"), e["alias"].alias("alias"), e["canonical"].alias("canonical"),
-                               e["lex_order"].alias("lex_order"))))
-        return F.struct(text_out.alias("text"), F.filter(spans, lambda s: s.isNotNull()).alias("spans"))
-
-    return let(pieces, lambda p: let(F.transform(p["gaps"], plain), lambda gaps: let(
-        F.transform(p["marks"], entry), lambda found: rebuild(gaps, found))))
-
-
-def resolve_aliases_column(text: Column, lex: AliasEntries) -> Column:
-    """STRUCT<text, spans> with no shuffle; texts without any alias skip the work."""
-    unchanged = F.struct(text.alias("text"), F.expr(f"CAST(array() AS array<{SPAN}>)").alias("spans"))
-    held = F.exists(lex.entries, lambda e: F.contains(text, e["alias"]))
-    if lex.single_pattern:
-        held = held | text.rlike(lex.single_pattern)
-    return F.when(held, _resolved(text, lex)).otherwise(unchanged)
-
-
-def _present_entries(df: DataFrame, lexicon: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, _entries): per text the aliases of which it holds the first characters, up to KEY_LENGTH.
-
-    Only for lexicons too large for a literal.  Most aliases are no longer than the key, so a text gathers
-    little more than it holds; the fold tests for the whole alias.  Only ids and keys are joined, never the texts.
-    """
-    size = F.least(F.length("alias"), F.lit(KEY_LENGTH))
-    longer = usable(lexicon).filter(F.length("alias") > 1)
-    sizes = sorted(r[0] for r in longer.select(size).distinct().collect())  # at most KEY_LENGTH - 1 numbers
-    pieces = F.concat(F.expr("CAST(array() AS array<string>)"), *[
-        F.regexp_extract_all(F.col(text_col), F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)) for k in sizes])
-    grams = item_rows(df, [id_col], F.array_distinct(pieces), "_gram")
-    keyed = longer.withColumn("_gram", F.substring(F.col("alias"), F.lit(1), size))
-    entry = F.struct((-F.length("alias")).alias("rank"), "lex_order", "alias", "canonical", _escape(F.col("alias")).alias("find"))
-    return (grams.join(keyed, "_gram")
-            .groupBy(id_col).agg(F.array_sort(F.collect_set(entry)).alias("_found"))
-            .select(id_col, F.transform("_found", lambda e, k: F.struct(
-                e["alias"].alias("alias"), e["canonical"].alias("canonical"), e["lex_order"].alias("lex_order"),
-                e["find"].alias("find"), _mark_column(e["alias"], k.cast("long")).alias("mark"))).alias("_entries")))
+def _own_lexicons(entries: pa.Array) -> list[tuple[PrefixIndex, list[str], list[int]]]:
+    return [(PrefixIndex([e["alias"] for e in own]), [e["canonical"] for e in own], [e["lex_order"] for e in own])
+            for own in entries.to_pylist()]
 
 
 def resolve_aliases(df: DataFrame, lexicon: DataFrame, id_col: str = "id", text_col: str = "text",
-                    force_join: bool = False) -> DataFrame:
+                    limit: int = INDEX_BYTES) -> DataFrame:
     """Add `resolved` STRUCT<text, spans> to every text."""
-    lex = None if force_join else literal_entries(lexicon)
-    if lex is not None:
-        return df.withColumn("resolved", resolve_aliases_column(F.col(text_col), lex))
-    singles = usable(lexicon).filter(F.length("alias") == 1)
-    single_lex = literal_entries(singles, bounded=False)  # no more than there are characters
-    found = _present_entries(df.select(id_col, text_col), lexicon, id_col, text_col)
-    none = F.expr(f"CAST(array() AS array<{ENTRY}>)")
-    joined = df.join(found, id_col, "left").withColumn("_entries", F.coalesce("_entries", none))
-    lex = AliasEntries(F.col("_entries"), single_lex.singles, single_lex.single_pattern)
-    return joined.withColumn("resolved", resolve_aliases_column(F.col(text_col), lex)).drop("_entries")
+    resolve = resolver(lexicon, limit)
+    if resolve is not None:
+        return df.withColumn("resolved", resolve(F.col(text_col)))
+    ship_package(df.sparkSession)
+
+    @F.arrow_udf(RESOLVED)
+    def by_entries(texts: pa.Array, entries: pa.Array) -> pa.Array:
+        return _resolved(texts.to_pylist(), _own_lexicons(entries))
+
+    joined = _with_entries(df, lexicon, id_col, text_col)
+    return joined.withColumn("resolved", by_entries(F.col(text_col), F.col("_entries"))).drop("_entries")
 
 
-def alias_occurrences(df: DataFrame, lexicon: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+def alias_occurrences(df: DataFrame, lexicon: DataFrame, id_col: str = "id", text_col: str = "text",
+                      limit: int = INDEX_BYTES) -> DataFrame:
     """Every occurrence of every alias, overlapping ones included: (id, alias, canonical, lex_order, pos)."""
-    def plain(e: Column) -> Column:
-        return F.struct(e["alias"].alias("alias"), e["canonical"].alias("canonical"), e["lex_order"].alias("lex_order"))
-
-    lex = literal_entries(lexicon)
-    entries = F.transform(lex.entries, plain) if lex else F.transform("_entries", plain)
-    if lex is None:
-        held = _present_entries(df.select(id_col, text_col), lexicon, id_col, text_col)
-        df = df.join(held, id_col, "left").withColumn("_entries", F.coalesce("_entries", F.expr(f"CAST(array() AS array<{ENTRY}>)")))
-        lex = literal_entries(usable(lexicon).filter(F.length("alias") == 1), bounded=False)
-    entries = F.concat(entries, F.transform(F.map_entries(lex.singles), lambda kv: F.struct(
-        kv["key"].alias("alias"), kv["value"]["canonical"].alias("canonical"), kv["value"]["lex_order"].alias("lex_order"))))
-    held = F.filter(entries, lambda e: F.contains(F.col(text_col), e["alias"]))
-    return item_rows(item_rows(df, [id_col, text_col], held, "_e"), [id_col, "_e.alias", "_e.canonical", "_e.lex_order"],
-                     occurrences(F.col(text_col), F.col("_e.alias")), "pos")
+    shared = _index(lexicon, limit)
+    if shared is not None:
+        @F.arrow_udf(f"array<{SPAN}>")
+        def found(texts: pa.Array) -> pa.Array:
+            index = shared.value[0]
+            return _spans([list(index.hits(t)) if t else [] for t in texts.to_pylist()], _columns(*shared.value))
+
+        spans = found(F.col(text_col))
+    else:
+        ship_package(df.sparkSession)
+        df = _with_entries(df, lexicon, id_col, text_col)
+
+        @F.arrow_udf(f"array<{SPAN}>")
+        def found_by_entries(texts: pa.Array, entries: pa.Array) -> pa.Array:
+            parts = [_spans([list(own[0].hits(t)) if t else []], _columns(*own))
+                     for t, own in zip(texts.to_pylist(), _own_lexicons(entries), strict=True)]
+            return pa.concat_arrays(parts)
+
+        spans = found_by_entries(F.col(text_col), F.col("_entries"))
+    return item_rows(df, [id_col], spans, "_s").select(id_col, "_s.alias", "_s.canonical", "_s.lex_order", "_s.pos")
 
 
 def kept_spans(df: DataFrame, lexicon: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scribemend.functions.entities import entity_keys
 from scribemend.functions.text import character_error_rate, item_rows
-from scribemend.operators.aliases import literal_entries
+from scribemend.operators.lookup import with_held_strings
 
 
 def with_error_rates(df: DataFrame, expected: str, outputs: dict[str, str], suffix: str = "cer") -> DataFrame:
@@ -29,20 +29,16 @@ def error_rate_summary(rated: DataFrame, base: str, names: list[str]) -> DataFra
     return rated.agg(F.array(*aggregates).alias("rows")).select(F.explode("rows").alias("r")).select("r.*")
 
 
-def term_accuracy(df: DataFrame, terms: DataFrame, expected: str, outputs: dict[str, str]) -> DataFrame:
+def term_accuracy(df: DataFrame, terms: DataFrame, expected: str, outputs: dict[str, str], id_col: str = "id") -> DataFrame:
     """Per output: reference terms also found in it over all reference terms."""
-    table = terms.select(F.col("term").alias("alias"), F.concat("term", F.lit(" ")).alias("canonical"),
-                         F.abs(F.xxhash64("term")).alias("lex_order"))
-    lex = literal_entries(table, bounded=False)
-    every = F.concat(F.transform(lex.entries, lambda e: e["alias"]), F.map_keys(lex.singles))
-    held = df.withColumn("_terms", F.filter(every, lambda t: F.contains(F.col(expected), t)))
+    counted = with_held_strings(df, terms.select(F.col("term").alias("string")), id_col, expected, "_terms")
 
     def kept(col: str) -> Column:
         return F.size(F.filter("_terms", lambda t: F.contains(F.col(col), t)))
 
     rows = [F.struct(F.lit(name).alias("output"), F.sum(kept(col)).alias("found"),
                      F.sum(F.size("_terms")).alias("expected")) for name, col in outputs.items()]
-    return (held.agg(F.array(*rows).alias("rows")).select(F.explode("rows").alias("r")).select("r.*")
+    return (counted.agg(F.array(*rows).alias("rows")).select(F.explode("rows").alias("r")).select("r.*")
             .withColumn("accuracy", F.when(F.col("expected") > 0, F.col("found") / F.col("expected"))))
 
 
