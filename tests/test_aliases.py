@@ -1,10 +1,12 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from scribemend.operators import aliases as A
 from scribemend.operators import rewrites as R
+from scribemend.plans import correct as P
 
 LEXICON = [("道差", "道岔", 1), ("新号机", "信号机", 2), ("差", "岔", 3), ("ab", "X", 4), ("abc", "Y", 5), ("b", "Z", 6),
            ("bca", "W", 7), ("aa", "a2", 8), ("same", "same", 9), ("", "empty", 10)]
@@ -43,7 +45,7 @@ def test_greedy_equals_brute_force_on_both_paths(spark):
     texts = _texts()
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     for force in (False, True):
-        rows = {r.id: r.resolved for r in A.resolve_aliases(df, lexicon, force_join=force).collect()}
+        rows = {r.id: r.resolved for r in A.resolve_aliases(df, lexicon, limit=0 if force else A.INDEX_BYTES).collect()}
         for k, text in enumerate(texts):
             want, spans = brute(text)
             assert rows[k].text == want, (force, text)
@@ -55,8 +57,9 @@ def test_greedy_equals_brute_force_on_both_paths(spark):
 def test_all_occurrences_overlap(spark):
     lexicon = spark.createDataFrame(LEXICON, "alias string, canonical string, lex_order long")
     df = spark.createDataFrame([(1, "aaaabca")], "id int, text string")
-    found = sorted((r.alias, r.pos) for r in A.alias_occurrences(df, lexicon).collect())
-    assert found == [("aa", 0), ("aa", 1), ("aa", 2), ("ab", 3), ("abc", 3), ("b", 4), ("bca", 4)]
+    for limit in (0, A.INDEX_BYTES):
+        found = sorted((r.alias, r.pos) for r in A.alias_occurrences(df, lexicon, limit=limit).collect())
+        assert found == [("aa", 0), ("aa", 1), ("aa", 2), ("ab", 3), ("abc", 3), ("b", 4), ("bca", 4)]
 
 
 def test_confusion_first_occurrence_only(spark):
@@ -67,11 +70,39 @@ def test_confusion_first_occurrence_only(spark):
     assert rows[2].replaced == "无" and not rows[2].hits
 
 
-def test_large_confusion_table_is_folded_in_chunks(spark):
-    rows = [(f"w{k:05d}x", f"c{k:05d}", k) for k in range(4500)]
+def sequential(text, rules):
+    """One rule after the other, longest word first: its first occurrence."""
+    used = []
+    for wrong, right, _ in sorted(rules, key=lambda r: (-len(r[0]), r[2], r[0])):
+        if wrong in text:
+            text = text.replace(wrong, right, 1)
+            used.append((wrong, right))
+    return text, used
+
+
+def test_confusions_equal_the_sequential_fold_on_both_paths(spark):
+    """Replacements that make later rules possible, break others up, grow and vanish."""
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 7))) for _ in range(150)})
+    rules = [(w, rng.choice(["", "a", "cb", "abcabc", "b" * len(w), w]), k % 3) for k, w in enumerate(words)]
+    texts = ["".join(rng.choice("abc d") for _ in range(rng.randint(0, 60))) for _ in range(60)] + [None, "", "ddd"]
+    table = spark.createDataFrame(rules, "wrong string, correct string, lex_order long")
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    for limit in (A.INDEX_BYTES, 0):
+        rows = {r.id: r for r in R.replace_confusions(df, table, limit=limit).collect()}
+        assert len(rows) == len(texts)
+        for k, text in enumerate(texts):
+            want = sequential(text, rules) if text is not None else (None, [])
+            assert (rows[k].replaced, [tuple(h) for h in rows[k].hits]) == want, (limit, text)
+
+
+def test_fifty_thousand_confusions_leave_the_plan_small(spark):
+    rows = [(f"w{k:05d}x", f"c{k:05d}", k) for k in range(50_000)]
     table = spark.createDataFrame(rows, "wrong string, correct string, lex_order long")
-    df = spark.createDataFrame([(1, "w00001x w04400x w00001x")], "id int, text string")
-    assert R.replace_confusions(df, table).first().replaced == "c00001 c04400 w00001x"
+    df = spark.createDataFrame([(1, "w00001x w04400x w00001x w49999x")], "id int, text string")
+    out = R.replace_confusions(df, table)
+    assert out.first().replaced == "c00001 c04400 w00001x c49999"
+    assert len(out._jdf.queryExecution().toString()) < 20_000
 
 
 def test_phrases_and_tolerant_patterns(spark):
@@ -86,18 +117,22 @@ def test_phrases_and_tolerant_patterns(spark):
     assert rows[2].replaced == "3号道岔" and not rows[2].pattern_changes
 
 
-def test_lexicon_over_the_literal_bound(spark):
+def test_lexicon_over_the_bound_of_an_index(spark):
     rows = [(f"k{n:05d}", f"c{n}", n) for n in range(6000)] + [("k0", "short", 7000), ("z", "one", 7001)]
     lexicon = spark.createDataFrame(rows, "alias string, canonical string, lex_order long")
-    assert A.literal_entries(lexicon) is None
-    df = spark.createDataFrame([(1, "k00007 k05999k0 z kz"), (2, "none")], "id int, text string")
-    got = {r.id: r.resolved.text for r in A.resolve_aliases(df, lexicon).collect()}
-    assert got == {1: "c7 c5999short one kz", 2: "none"}
-    assert A.alias_occurrences(df, lexicon).filter("alias = 'k0'").count() == 3
+    df = spark.createDataFrame([(1, "k00007 k05999k0 z kz"), (2, "none"), (3, None), (4, "")], "id int, text string")
+    assert A.resolver(lexicon, 1000) is None
+    for limit in (1000, A.INDEX_BYTES):
+        got = {r.id: r.resolved.text for r in A.resolve_aliases(df, lexicon, limit=limit).collect()}
+        assert got == {1: "c7 c5999short one kz", 2: "none", 3: None, 4: ""}
+        assert A.alias_occurrences(df, lexicon, limit=limit).filter("alias = 'k0'").count() == 3
+    with pytest.raises(ValueError, match="too large"):
+        P.stateless_aliases(P.Resources(aliases=lexicon.crossJoin(spark.range(1).select(F.repeat(F.lit("x"), 5000).alias("w"))).select(
+            F.concat("alias", "w").alias("alias"), "canonical", "lex_order")))
 
 
 def test_ties_negative_orders_private_characters_and_thousands_of_aliases(spark):
-    """5000 aliases with few different orders, more than the literal bound: both paths equal the greedy rule."""
+    """5000 aliases with few different orders, private characters: both paths equal the greedy rule."""
     rng = random.Random(9)
     names = sorted({"".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 11))) for _ in range(6000)})[:5000]
     lexicon = [(w, w.upper(), len(w) % 3 - 1) for w in names] + [("x", "framed", -5), ("q", "Q", -1)]
@@ -120,10 +155,8 @@ def test_ties_negative_orders_private_characters_and_thousands_of_aliases(spark)
                     at = text.find(alias, at + 1)
         return sorted(kept)
 
-    assert A.literal_entries(table) is None
-    by_join = {r.id: r.resolved for r in A.resolve_aliases(df, table).collect()}
-    lex = A.literal_entries(table, bounded=False)
-    in_row = {r.id: r.r for r in df.withColumn("r", A.resolve_aliases_column(F.col("text"), lex)).collect()}
+    by_join = {r.id: r.resolved for r in A.resolve_aliases(df, table, limit=0).collect()}
+    in_row = {r.id: r.r for r in df.withColumn("r", A.resolver(table)(F.col("text"))).collect()}
     for k, text in enumerate(texts):
         assert [(s.pos, s.alias) for s in by_join[k].spans] == [(s.pos, s.alias) for s in in_row[k].spans] == greedy(text)
         assert by_join[k].text == in_row[k].text
