@@ -105,10 +105,11 @@ def test_rule_tables_of_any_size(spark):
 
     df = spark.createDataFrame([(1, "t17 x t4999 y"), (2, "none")], "id int, text string")
     scenes = spark.createDataFrame([(f"s{k % 2}", k % 2, k, f"t{k}") for k in range(5000)], "scene string, scene_no int, term_no int, term string")
-    got = {(r.id, r.scene): r.matched for r in R.match_scenes(df, scenes).collect()}
+    got, by_joins = ({(r.id, r.scene): r.matched for r in R.match_scenes(df, scenes, limit=k).collect()} for k in (R.INDEX_BYTES, 0))
+    assert got == by_joins
     held = [f"t{k}" for k in range(5000) if f"t{k}" in "t17 x t4999 y"]
     assert {k: sorted(v) for k, v in got.items()} == {(1, f"s{p}"): sorted(t for t in held if int(t[1:]) % 2 == p) for p in (0, 1)}
-    rules = C.rule_map(spark.createDataFrame([(f"t{k}", "before", f"b{k}") for k in range(5000)], "term string, side string, word string"))
+    rules = spark.createDataFrame([(f"t{k}", "before", f"b{k}") for k in range(5000)], "term string, side string, word string")
     tokens = spark.createDataFrame([(1, ["b4000", "t4000", "t4001"])], "id int, tokens array<string>")
     assert {r.term: r.score for r in C.score_terms(tokens, rules).collect()} == {"t4000": 0.5, "t4001": 0.0}
     confusion = spark.createDataFrame([("whole", f"a{k}", f"b{k}") for k in range(5000)], "level string, src string, dst string")
