@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scribemend.llm.common import attach, stored
+from scribemend.llm.common import attach, ship_package, stored
 
 LEAST_DOCS = 3
 TOP_TERMS = 200
@@ -34,7 +34,7 @@ BLOCK_BITS = 12
 TILE = 64
 SCALE = 1_000_000_000
 #: Terms that a task holds before it passes its counts on.
-HELD = 300_000
+HELD = 600_000
 #: Letters of A-Z lower-cased, bytes of other characters than ASCII as they are, the rest gaps between terms.
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -82,9 +82,12 @@ def ordered_vocabulary(counts: DataFrame, least_docs: int = LEAST_DOCS) -> DataF
 
 
 def share(count: Column, n: Column, v: Column) -> Column:
-    """1 + floor(SCALE (count + 1) / (n + v)), exactly."""
+    """1 + floor(SCALE (count + 1) / (n + v)), exactly: in 64 bits where the product fits, else as decimals."""
+    fits = count < (1 << 63) // SCALE - 1
+    quick = F.call_function("div", F.lit(SCALE).cast("long") * (F.when(fits, count).otherwise(0) + 1), n + v)
     whole = F.lit(SCALE).cast("decimal(19,0)") * (count + 1).cast("decimal(18,0)")
-    return (F.call_function("div", whole, (n + v).cast("decimal(18,0)")) + 1).cast("long")
+    wide = F.call_function("div", whole, (n + v).cast("decimal(18,0)")).cast("long")
+    return F.when(fits, quick).otherwise(wide) + 1
 
 
 def _f(p: Column, q: Column) -> Column:
@@ -170,6 +173,7 @@ def divergences(pieces: DataFrame) -> DataFrame:
 def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP_TERMS, block_bits: int = BLOCK_BITS,
           tile: int = TILE) -> DataFrame:
     """(lang, source, part, item, value, rank): how far each group is from each other one, and by which terms."""
+    ship_package(docs.sparkSession)
     counts = stored(term_counts(docs), "term-counts")
     vocabulary = stored(ordered_vocabulary(counts, least_docs), "vocabulary")
     entries = stored(counts.drop("docs").join(vocabulary, ["lang", "term"]), "entries")
