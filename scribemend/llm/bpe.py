@@ -27,7 +27,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scribemend.llm.common import as_text, keyed_as
+from scribemend.llm.common import as_text, keyed_as, ship_package
 
 LEAF = 32
 #: Entries of a worker's two tables, of parts of texts and of matches of the pattern, and the longest part kept.
@@ -248,6 +248,7 @@ def decoded(codes: DataFrame, path: str | None = None, pattern: str | None = Non
 
 def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): each text encoded, and decoded from its ids, in one pass."""
+    ship_package(docs.sparkSession)
     path, pattern = path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

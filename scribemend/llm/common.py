@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from pathlib import Path
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scribemend.session import new_table_path, skew_safe_join
+from scribemend.session import drop_paths, made_paths, open_output, ship_package, skew_safe_join, stored
+
+__all__ = ["KEY_ROWS", "WORD", "as_text", "attach", "in_stage", "keyed_as", "matching", "open_input", "open_output", "ship_package", "stored", "table"]
 
 #: Words of a text: runs of anything but space and the characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,31 +18,26 @@ WORD = r"[^\x20\x09-\x0D]+"
 KEY_ROWS = 1_000_000
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Gives this package to the executors, which need not have it installed; once a context."""
-    context = spark.sparkContext
-    if not getattr(context, "_scribemend_shipped", False):
-        root, held = Path(__file__).resolve().parents[1], io.BytesIO()
-        with zipfile.ZipFile(held, "w") as archive:
-            for file in sorted(root.rglob("*.py")):
-                archive.write(file, str(file.relative_to(root.parent)))
-        path = new_table_path(spark, "package") + ".zip"
-        with open_output(path) as out:
-            out.write(held.getvalue())
-        context.addPyFile(path)
-        context._scribemend_shipped = True
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     ship_package(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written to the shared folder and read again: computed once, safe from lost executors."""
-    path = new_table_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def in_stage(function: Callable[..., DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage of a pipeline: what stages before it stored for themselves is deleted, unless its documents still read it."""
+
+    @wraps(function)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        context = spark.sparkContext
+        drop_paths(spark, getattr(context, "_scribemend_stage_paths", []), keep=docs)
+        before = set(made_paths(spark))
+        out = function(spark, docs, sf_dir)
+        left = [path for path in getattr(context, "_scribemend_stage_paths", []) if path in before]
+        context._scribemend_stage_paths = left + [path for path in made_paths(spark) if path not in before]
+        return out
+
+    return run
 
 
 def attach(left: DataFrame, right: DataFrame, keys: list[str], weight: str, spread: Column) -> DataFrame:
@@ -72,15 +68,6 @@ def keyed_as(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
-def open_output(path: str):
-    """A file in the shared folder, opened for writing from any executor (file:, hdfs: and object stores)."""
-    from pyarrow import fs
-
-    system, inner = fs.FileSystem.from_uri(path)
-    system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
-    return system.open_output_stream(inner, compression=None)  # else the file's name decides
-
-
 def open_input(path: str):
     from pyarrow import fs
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scribemend.llm.bpe import KEPT_CHARS, cut_at_spaces
-from scribemend.llm.common import open_input, open_output, stored
+from scribemend.llm.common import open_input, open_output, ship_package, stored
 from scribemend.session import new_table_path
 
 MAGIC = b"DACIDS01"
@@ -184,6 +184,7 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None, end_id: int
     Columns: partition, number, file, n_ids.  A file belongs to the result only if it is on the list, so files
     that a lost or repeated task left behind are never read.
     """
+    ship_package(docs.sparkSession)
     path = path or public_tokenizers.path("byte_bpe_50k.json")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -221,6 +222,7 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None, end_id: int
 
 def read_ids(files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document on a list of files, from the files."""
+    ship_package(files.sparkSession)
     order = Window.orderBy("partition", "number").rowsBetween(Window.unboundedPreceding, -1)
     listed = files.withColumn("first", F.coalesce(F.sum("n_ids").over(order), F.lit(0).cast("long")))
 

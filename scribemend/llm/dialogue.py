@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scribemend.llm.common import attach, stored
+from scribemend.llm.common import attach, ship_package, stored
 
 CHUNK_BITS = 6
 FAN_BITS = 4
@@ -281,6 +281,7 @@ def _told(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def repaired(rows: DataFrame, every: DataFrame, chunk_bits: int = CHUNK_BITS, fan_bits: int = FAN_BITS) -> DataFrame:
     """One row for each conv_id of `every`: faults, costs, edits and digest of the conversations in `rows`."""
+    ship_package(rows.sparkSession)
     turns = placed(rows)
     chunks, _ = converged(chunks_of(kinds(turns), chunk_bits), fan_bits)
     nothing = F.lit(None).cast("string")

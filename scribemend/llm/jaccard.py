@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scribemend.llm.common import attach, matching, stored
+from scribemend.llm.common import attach, matching, ship_package, stored
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 WIDTH = 1 << 20
@@ -258,6 +258,7 @@ def by_name(docs: DataFrame, names: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame, n: int = 4, similarity: Fraction = Fraction(85, 100)) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of (doc_id, text)."""
+    ship_package(docs.sparkSession)
     names = text_names(docs)
     if names is None:
         return linked_texts(docs, n, similarity)
@@ -337,6 +338,7 @@ def linked_texts(docs: DataFrame, n: int, similarity: Fraction) -> DataFrame:
 
 def one_of_each(docs: DataFrame, n: int = 5, similarity: Fraction = Fraction(80, 100)) -> DataFrame:
     """The rows of `docs` (all columns) of which the smallest doc_id of a class of texts stays; rows without doc_id stay."""
+    ship_package(docs.sparkSession)
     names = text_names(docs)
     found = linked_texts(docs if names is None else by_name(docs, names), n, similarity)
     found = stored(found.filter("doc_id <> component_id").select("doc_id").distinct(), "near-copies")

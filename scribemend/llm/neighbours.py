@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scribemend.llm.common import stored
+from scribemend.llm.common import ship_package, stored
 
 K = 20
 PROJECTIONS, PER_NUMBER, THRESHOLD, SHARE, LEAST = 128, 2, 0.87, 0.04, 20
@@ -156,6 +156,7 @@ def usable(vector: Column) -> Column:
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = K, seed: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows of (vec_id, embedding) that are queries, against all rows."""
+    ship_package(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), is_query.alias("asks"))
     rows = rows.filter("vec_id IS NOT NULL").filter(F.coalesce(usable(F.col("v")), F.lit(False)))
     rows = stored(rows.withColumn("d", F.size("v")), "vectors")

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scribemend.llm.common import KEY_ROWS, attach, matching, stored
+from scribemend.llm.common import KEY_ROWS, attach, matching, ship_package, stored
 
 GAMMA, THRESHOLD, SAME = 0.9, 0.25, 0.9
 
@@ -262,6 +262,7 @@ def noise(nodes: DataFrame) -> DataFrame:
 
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of (page_id, url, html)."""
+    ship_package(pages.sparkSession)
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = [Page(html, site, cut=frozenset(() if cut is None else cut)).kept()

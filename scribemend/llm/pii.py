@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scribemend.llm.common import as_text, attach, keyed_as, stored
+from scribemend.llm.common import as_text, attach, keyed_as, ship_package, stored
 
 # The kinds in their order, the characters and patterns of the rules.
 KINDS = ("email", "ip", "card", "phone")
@@ -158,6 +158,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
     The counts and the digest are those of the base spans; `spans` also holds the n_found discovered ones.
     """
+    ship_package(docs.sparkSession)
     found = scan(docs)
     good = believed_patterns(found)
     rows = found.select("row", F.explode("others").alias("s")).select("row", "s.*")

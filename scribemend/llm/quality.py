@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scribemend.llm.common import stored
+from scribemend.llm.common import ship_package, stored
 from scribemend.llm.toxicity import fold
 
 LABELLED, DIMENSIONS, NEAREST = 8000, 64, 21
@@ -180,6 +180,7 @@ def score(model: Model, docs: DataFrame, text: Column) -> Column:
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row."""
+    ship_package(docs.sparkSession)
     model = train(docs, labels)
     rows = docs.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), score(model, docs, F.col("text")).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scribemend.llm.common import matching, stored
+from scribemend.llm.common import matching, ship_package, stored
 
 POSITIVES, UNLABELLED, MODELS, FOLDS = 3000, 12000, 3, 5
 MOST_FEATURES = 20_000
@@ -170,6 +170,7 @@ def score(model: Model, docs: DataFrame, text: Column) -> Column:
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row."""
+    ship_package(docs.sparkSession)
     model = train(docs, labels)
     rows = docs.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), score(model, docs, F.col("text")).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
@@ -177,4 +178,5 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` (all columns) whose score is below one half."""
+    ship_package(docs.sparkSession)
     return docs.filter(score(train(docs, labels), docs, docs["text"]) < 0.5)

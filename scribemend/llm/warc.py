@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scribemend.llm.common import attach, open_input, open_output, stored
+from scribemend.llm.common import attach, open_input, open_output, ship_package, stored
 from scribemend.session import new_table_path
 
 # Fixed values of the formats.
@@ -96,6 +96,7 @@ def write_archives(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:
 
     Only files on the list belong to the result, so what a lost or repeated task left behind is never read.
     """
+    ship_package(pages.sparkSession)
     learnt = pages.sparkSession.sparkContext.broadcast(dictionary(pages))
     facts = pages.select("page_id", payload_digest(F.col("html")).alias("digest"),
                          F.coalesce(F.octet_length("html"), F.lit(0)).cast("long").alias("bytes"))
@@ -209,6 +210,7 @@ COLUMNS = "page_id long, url string, payload_bytes long, payload_digest string,
 
 def read_archives(files: DataFrame, payloads: bool = False) -> DataFrame:
     """Rows of all records of the listed files (file, records), with the payload if asked for."""
+    ship_package(files.sparkSession)
     names = [c.split()[0] for c in COLUMNS.split(", ")] + ["payload"] * payloads
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
