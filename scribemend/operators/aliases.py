@@ -2,7 +2,7 @@
 
 A lexicon is a table (alias, canonical, lex_order).  Greedy resolution takes the longest alias first, then lexicon
 order, then position, without overlaps; an alias of one character counts only as a word of its own.  The lexicon is
-a broadcast index of beginnings, probed at every place of a text: no shuffle, the same on streams, and the time hardly
+a broadcast index that reads a text once: no shuffle, the same on streams, and the time hardly
 goes with the number of aliases.  A lexicon over the bound of an index goes through a join that finds the aliases each
 text can hold; both give the same rows.  A null text stays null and has no spans.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scribemend.functions.text import item_rows
-from scribemend.operators.lookup import INDEX_BYTES, PrefixIndex, candidates_by_gram, indexed
+from scribemend.operators.lookup import INDEX_BYTES, StringIndex, candidates_by_gram, indexed
 from scribemend.session import ship_package
 
 ENTRY = "struct<alias:string,canonical:string,lex_order:bigint>"
@@ -37,8 +37,7 @@ def usable(lexicon: DataFrame) -> DataFrame:
 
 def _index(lexicon: DataFrame, limit: int):
     """Longest alias first, then lexicon order."""
-    ordered = usable(lexicon).orderBy(F.desc(F.length("alias")), "lex_order", "alias")
-    return indexed(ordered, ["alias", "canonical", "lex_order"], limit)
+    return indexed(usable(lexicon), ["alias", "canonical", "lex_order"], [F.desc(F.length("alias")), "lex_order", "alias"], limit)
 
 
 @lru_cache(maxsize=4096)
@@ -46,7 +45,7 @@ def _is_word(char: str) -> bool:
     return char == "_" or unicodedata.category(char)[0] in "LN"
 
 
-def kept_hits(text: str, index: PrefixIndex) -> list[tuple[int, int]]:
+def kept_hits(text: str, index: StringIndex) -> list[tuple[int, int]]:
     """(place, rank) of the aliases that stay, in text order; ranks go by falling length."""
     wide, found = len(text) + 1, []
     for at, rank in index.hits(text):
@@ -77,7 +76,7 @@ def _spans(places: list[list[tuple[int, int]]], columns: list[pa.Array]) -> pa.A
         [at, *[c.take(ranks) for c in columns]], ["pos", "alias", "canonical", "lex_order"]))
 
 
-def _columns(index: PrefixIndex, canonical: list[str], order: list[int]) -> list[pa.Array]:
+def _columns(index: StringIndex, canonical: list[str], order: list[int]) -> list[pa.Array]:
     return [pa.array(index.strings, pa.string()), pa.array(canonical, pa.string()), pa.array(order, pa.int64())]
 
 
@@ -138,8 +137,8 @@ def _with_entries(df: DataFrame, lexicon: DataFrame, id_col: str, text_col: str)
     return df.join(found, id_col, "left").withColumn("_entries", F.coalesce(held, none)).drop("_found")
 
 
-def _own_lexicons(entries: pa.Array) -> list[tuple[PrefixIndex, list[str], list[int]]]:
-    return [(PrefixIndex([e["alias"] for e in own]), [e["canonical"] for e in own], [e["lex_order"] for e in own])
+def _own_lexicons(entries: pa.Array) -> list[tuple[StringIndex, list[str], list[int]]]:
+    return [(StringIndex([e["alias"] for e in own]), [e["canonical"] for e in own], [e["lex_order"] for e in own])
             for own in entries.to_pylist()]
 
 

@@ -1,15 +1,16 @@
 """Which strings of a large table a text holds, and where.
 
-A table within INDEX_BYTES becomes an index of beginnings: the first two characters of a string lead to the lengths in
-use behind them, and each length is looked up once. It is broadcast and probed at every place of a text, so the time
-goes with the text and hardly with the table. Nothing of it enters the plan. A larger table is met by joins on grams:
-texts and strings meet on the rarest gram of the string, frequent grams are dealt over PARTS tasks, and only ids travel.
+A table within INDEX_BYTES becomes an index: an automaton of all its strings, which is broadcast as the list of them and
+reads a text once, so that the time goes with the text and hardly with the table.  Nothing of it enters the plan.
+A larger table is met by joins on grams: texts and strings meet on the rarest gram of the string, frequent grams are
+dealt over PARTS tasks, and only ids travel.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
@@ -25,52 +26,49 @@ GRAM = 5
 PARTS = 32
 
 
-class PrefixIndex:
+class StringIndex:
     """Strings by rank; of equal strings the first counts, empty ones are never found."""
 
     def __init__(self, strings: list[str]) -> None:
         self.strings = strings
-        self.ranks: dict[str, int] = {}
-        sizes: dict[str, set[int]] = {}
-        for rank, string in enumerate(strings):
-            if string and string not in self.ranks:
-                self.ranks[string] = rank
-                if len(string) > 1:
-                    sizes.setdefault(string[:2], set()).add(len(string))
-        self.sizes = {head: sorted(found, reverse=True) for head, found in sizes.items()}
-        self.singles = {s for s in self.ranks if len(s) == 1}
-        self.longest = max(map(len, self.ranks), default=0)
+        self.longest = max(map(len, strings), default=0)
+        self._automaton: ahocorasick.Automaton | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_automaton": None}  # each worker makes its own
+
+    @property
+    def automaton(self) -> ahocorasick.Automaton:
+        if self._automaton is None:
+            made = ahocorasick.Automaton()
+            for rank, string in enumerate(self.strings):
+                if string and string not in made:
+                    made.add_word(string, (len(string), rank))
+            made.make_automaton()
+            self._automaton = made
+        return self._automaton
 
     def hits(self, text: str) -> Iterator[tuple[int, int]]:
         """(place, rank) of every occurrence, overlapping ones included."""
-        ranks, sizes = self.ranks, self.sizes
-        for at in range(len(text) - 1):
-            found = sizes.get(text[at:at + 2])
-            if found:
-                for size in found:
-                    rank = ranks.get(text[at:at + size])
-                    # a slice at the end of the text may be shorter
-                    if rank is not None and at + size <= len(text):
-                        yield at, rank
-        for single in self.singles.intersection(text):
-            at = text.find(single)
-            while at >= 0:
-                yield at, ranks[single]
-                at = text.find(single, at + 1)
+        if not self.longest:
+            return
+        for end, (size, rank) in self.automaton.iter(text):
+            yield end + 1 - size, rank
 
     def held(self, text: str) -> list[int]:
         """Ranks of the strings in a text, in order."""
         return sorted({rank for _, rank in self.hits(text)})
 
 
-def indexed(table: DataFrame, columns: list[str], limit: int = INDEX_BYTES) -> Broadcast | None:
-    """The rows of an ordered table as lists by column, the first one as a PrefixIndex, or None if it is over the bound."""
-    if measured_bytes(table.select(*columns)) > limit:
+def indexed(table: DataFrame, columns: list[str], order: list[Column | str], limit: int = INDEX_BYTES) -> Broadcast | None:
+    """A table's columns as lists in the given order, the first one as a StringIndex, or None if it is over the bound."""
+    kept = stored(table.select(*columns), "rules")  # measured and read: worked out once
+    if measured_bytes(kept) > limit:
         return None
     ship_package(table.sparkSession)
-    held = table.select(*columns).toArrow()
+    held = kept.orderBy(*order).toArrow()
     lists = [held[name].to_pylist() for name in columns]
-    return table.sparkSession.sparkContext.broadcast((PrefixIndex(lists[0]), *lists[1:]))
+    return table.sparkSession.sparkContext.broadcast((StringIndex(lists[0]), *lists[1:]))
 
 
 def grams_of(text: Column, sizes: list[int]) -> Column:
@@ -106,8 +104,7 @@ def candidates_by_gram(df: DataFrame, strings: DataFrame, id_col: str, text_col:
 def with_held_strings(df: DataFrame, strings: DataFrame, id_col: str = "id", text_col: str = "text", out: str = "held",
                       limit: int = INDEX_BYTES) -> DataFrame:
     """Add the distinct strings of a table (string) that a text holds, in order; no empty strings, none of a null text."""
-    ordered = strings.filter(F.length("string") > 0).select("string").distinct().orderBy("string")
-    index = indexed(ordered, ["string"], limit)
+    index = indexed(strings.filter(F.length("string") > 0).select("string").distinct(), ["string"], ["string"], limit)
     if index is not None:
         @F.arrow_udf("array<string>")
         def found(texts: pa.Array) -> pa.Array:
