@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 
@@ -87,3 +88,16 @@ class LexiconStore:
 
     def active(self) -> DataFrame:
         return self.read(self.pointers().agg(F.max_by("version", "at")).first()[0])
+
+    def pinned(self, user: str, number: int) -> tuple[str, DataFrame]:
+        """(version, rows) of the save to which step `number` of a user is tied; the active one, if it is not tied yet."""
+        path = f"{self.path}/pins/{hashlib.sha256(user.encode()).hexdigest()}/number={number}"
+        kind = "version string, folder string, fields string"
+        jvm = self.spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")  # a pin that was not written to the end does not count
+        if not where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            version = self.pointers().agg(F.max_by("version", "at")).first()[0]
+            row = self._latest().filter(F.col("version") == version).select("version", "folder", "fields")
+            row.coalesce(1).write.mode("overwrite").parquet(path)
+        row = self.spark.read.schema(kind).parquet(path).first()
+        return row["version"], self.spark.read.schema(StructType.fromJson(json.loads(row["fields"]))).parquet(row["folder"])

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from scribemend.operators.aliases import resolve_aliases, span_changes
+from scribemend.session import ship_package
 from scribemend.sources.stores import LexiconStore
 
 
@@ -34,19 +38,96 @@ def windowed_metrics(stream: DataFrame, ts: str, value: str, is_error: Column, w
                 F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), F.col("p")[2].alias("p99"), "avg"))
 
 
+def metrics_table(stream: DataFrame, ts: str, value: str, is_error: Column, out: str, checkpoint: str,
+                  window: str = "1 hour", late: str = "10 minutes") -> StreamingQuery:
+    """Windows that are still open are written, too: each micro-batch adds the windows that it has changed.
+
+    A batch has a folder of its own, so a repeated one replaces itself; `current_metrics` reads the last state of each.
+    """
+    changed = windowed_metrics(stream, ts, value, is_error, window, late)
+
+    def run(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/number={number}")
+
+    return (changed.writeStream.outputMode("update").foreachBatch(run).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def current_metrics(written: DataFrame) -> DataFrame:
+    """The last state of every window, open ones included; rows of a table made by `metrics_table`."""
+    figures = [c for c in written.columns if c not in ("start", "batch", "number")]
+    return (written.groupBy("start").agg(F.max_by(F.struct(*figures), "batch").alias("last")).select("start", "last.*"))
+
+
+def split_late(stream: DataFrame, ts: str, out: str, checkpoint: str, late: str = "10 minutes") -> StreamingQuery:
+    """Rows written to out/late or out/timely: late is older than the newest time of all batches before it by more than `late`.
+
+    The newest time after each batch is a row of out/newest; a batch that is repeated reads those of the batches before.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        known = spark.read.schema("number long, newest timestamp").parquet(f"{out}/newest") if number else None
+        newest = known.filter(F.col("number") < number).agg(F.max("newest")).first()[0] if known is not None else None
+        at = F.col(ts).cast("timestamp")
+        is_late = F.lit(False) if newest is None else F.coalesce(at < F.lit(newest) - F.expr(f"INTERVAL {late}"), F.lit(False))
+        for name, rows in (("late", batch.filter(is_late)), ("timely", batch.filter(~is_late))):
+            rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+        upto = batch.agg(F.max(at).alias("newest")).select(F.greatest("newest", F.lit(newest).cast("timestamp")).alias("newest"))
+        upto.write.mode("overwrite").parquet(f"{out}/newest/number={number}")
+
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def once_per_key(stream: DataFrame, keys: list[str], ts: str, late: str = "1 hour") -> DataFrame:
     """The first event of every key within the time bound."""
     return (stream.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late)
             .dropDuplicatesWithinWatermark(keys).drop("_ts"))
 
 
+def once_within(stream: DataFrame, keys: list[str], ts: str, seconds: int, late: str = "10 minutes") -> DataFrame:
+    """(keys, ts) of the events that come out when each one silences its key for so many seconds of event time.
+
+    The state of a key is the time until which it is silent; a timer drops it when the watermark has passed that. The
+    events of a key are taken in the order of their times within a micro-batch; of equal times one comes out. Events
+    behind the watermark are dropped, null keys are a key of their own.
+    """
+    ship_package(stream.sparkSession)
+    timed = stream.select(*keys, F.col(ts).cast("timestamp").alias("_ts")).withWatermark("_ts", late)
+    micros = timed.withColumn("_at", F.unix_micros("_ts"))
+    kinds = ", ".join(f"{k} {timed.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        until = state.get[0] if state.exists else None
+        out = []
+        for at in np.sort(np.concatenate([frame["_at"].to_numpy(np.int64) for frame in frames])).tolist():
+            if until is None or at >= until:
+                out.append(at)
+                until = at + seconds * 1_000_000
+        state.update((until,))
+        state.setTimeoutTimestamp(max(until // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame({**{k: [v] * len(out) for k, v in zip(keys, key, strict=True)}, "_at": out})
+
+    found = micros.groupBy(*keys).applyInPandasWithState(run, f"{kinds}, _at long", "until long", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select(*keys, F.timestamp_micros("_at").alias(ts))
+
+
 def correct_with_active(stream: DataFrame, store: LexiconStore, out: str, checkpoint: str, id_col: str = "id",
                         text_col: str = "text") -> StreamingQuery:
-    """Correct every micro-batch with the lexicon version that is active when it starts."""
+    """Correct every micro-batch with the lexicon version that is active when it first starts.
+
+    The batch is tied to that save of the version before anything is written, so that it is corrected alike if it
+    has to be repeated after a restart, whatever has been activated since.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
-        done = resolve_aliases(batch, store.active(), id_col, text_col)
-        (done.select(id_col, F.col("resolved.text").alias("corrected"), F.lit(number).alias("batch"))
+        version, lexicon = store.pinned(out, number)
+        done = resolve_aliases(batch, lexicon, id_col, text_col)
+        (done.select(id_col, F.col("resolved.text").alias("corrected"), F.lit(number).alias("batch"), F.lit(version).alias("version"))
          .write.mode("overwrite").parquet(f"{out}/batch={number}"))
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
