@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scribemend.functions.text import item_rows
-from scribemend.operators.lookup import INDEX_BYTES, StringIndex, candidates_by_gram, indexed
+from scribemend.operators.lookup import INDEX_BYTES, StringIndex, candidates_by_gram, in_project, indexed
 from scribemend.session import ship_package
 
 ENTRY = "struct<alias:string,canonical:string,lex_order:bigint>"
@@ -117,7 +117,7 @@ def resolver(lexicon: DataFrame, limit: int = INDEX_BYTES) -> Callable[[Column],
     if shared is None:
         return None
 
-    @F.arrow_udf(RESOLVED)
+    @in_project(RESOLVED)
     def resolve(texts: pa.Array) -> pa.Array:
         return _resolved(texts.to_pylist(), [shared.value] * len(texts))
 
@@ -150,7 +150,7 @@ def resolve_aliases(df: DataFrame, lexicon: DataFrame, id_col: str = "id", text_
         return df.withColumn("resolved", resolve(F.col(text_col)))
     ship_package(df.sparkSession)
 
-    @F.arrow_udf(RESOLVED)
+    @in_project(RESOLVED)
     def by_entries(texts: pa.Array, entries: pa.Array) -> pa.Array:
         return _resolved(texts.to_pylist(), _own_lexicons(entries))
 
@@ -163,7 +163,7 @@ def alias_occurrences(df: DataFrame, lexicon: DataFrame, id_col: str = "id", tex
     """Every occurrence of every alias, overlapping ones included: (id, alias, canonical, lex_order, pos)."""
     shared = _index(lexicon, limit)
     if shared is not None:
-        @F.arrow_udf(f"array<{SPAN}>")
+        @in_project(f"array<{SPAN}>")
         def found(texts: pa.Array) -> pa.Array:
             index = shared.value[0]
             return _spans([list(index.hits(t)) if t else [] for t in texts.to_pylist()], _columns(*shared.value))
@@ -173,14 +173,14 @@ def alias_occurrences(df: DataFrame, lexicon: DataFrame, id_col: str = "id", tex
         ship_package(df.sparkSession)
         df = _with_entries(df, lexicon, id_col, text_col)
 
-        @F.arrow_udf(f"array<{SPAN}>")
+        @in_project(f"array<{SPAN}>")
         def found_by_entries(texts: pa.Array, entries: pa.Array) -> pa.Array:
             parts = [_spans([list(own[0].hits(t)) if t else []], _columns(*own))
                      for t, own in zip(texts.to_pylist(), _own_lexicons(entries), strict=True)]
             return pa.concat_arrays(parts)
 
         spans = found_by_entries(F.col(text_col), F.col("_entries"))
-    return item_rows(df, [id_col], spans, "_s").select(id_col, "_s.alias", "_s.canonical", "_s.lex_order", "_s.pos")
+    return item_rows(df.withColumn("_spans", spans), [id_col], F.col("_spans"), "_s").select(id_col, "_s.alias", "_s.canonical", "_s.lex_order", "_s.pos")
 
 
 def kept_spans(df: DataFrame, lexicon: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:

@@ -8,7 +8,7 @@ dealt over PARTS tasks, and only ids travel.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -60,6 +60,11 @@ class StringIndex:
         return sorted({rank for _, rank in self.hits(text)})
 
 
+def in_project(kind: str) -> Callable[[Callable[..., pa.Array]], Callable[..., Column]]:
+    """An Arrow function that stays a column of its own: Spark cannot evaluate one that is inlined into a lambda."""
+    return lambda function: F.arrow_udf(function, kind).asNondeterministic()
+
+
 def indexed(table: DataFrame, columns: list[str], order: list[Column | str], limit: int = INDEX_BYTES) -> Broadcast | None:
     """A table's columns as lists in the given order, the first one as a StringIndex, or None if it is over the bound."""
     kept = stored(table.select(*columns), "rules")  # measured and read: worked out once
@@ -106,7 +111,7 @@ def with_held_strings(df: DataFrame, strings: DataFrame, id_col: str = "id", tex
     """Add the distinct strings of a table (string) that a text holds, in order; no empty strings, none of a null text."""
     index = indexed(strings.filter(F.length("string") > 0).select("string").distinct(), ["string"], ["string"], limit)
     if index is not None:
-        @F.arrow_udf("array<string>")
+        @in_project("array<string>")
         def found(texts: pa.Array) -> pa.Array:
             own = index.value[0]
             return pa.array([[own.strings[k] for k in own.held(t)] if t else [] for t in texts.to_pylist()], pa.list_(pa.string()))
