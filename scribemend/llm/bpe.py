@@ -1,11 +1,14 @@
 """Byte-level BPE by monoid tree reduction, and its decoding.
 
-The codes of a text are a monoid: those of two neighbours are joined by encoding a window of tokens around the
-boundary anew.  The window grows until the tokens at its rims stand: a token sequence is the encoding of its bytes
-exactly if every two neighbours in it are the encoding of their own bytes, because a merge across a boundary would
-also happen between the two tokens alone.  So the pairs at both rims prove that nothing outside can change.  A match
-of the split pattern is encoded as a tree of halves; matches, and the parts of a text between single spaces, join
-without a window, because no match of the pattern holds a space after a character that is none.
+The codes of a text are a monoid.  A text is halved, wherever its middle falls, down to stretches of STRETCH characters, and at
+least once; the codes of two neighbours are joined by encoding a window around the boundary anew.  The window grows
+until what is outside of its rims is proven to stand: a match of the split pattern never holds a space after a
+character that is none, so at such a place both neighbours have been cut, and nothing on one side depends on the other.
+
+A match of the pattern is a tree of its own, with leaves of LEAF bytes, whose windows grow by tokens: a token sequence
+is the encoding of its bytes exactly if every two neighbours in it are the encoding of their own bytes, because a merge
+across a boundary would also happen between the two tokens alone.  So the pairs at both rims prove that nothing outside
+can change.  Matches that a worker has met before are looked up.  Decoding joins the bytes of halves up the tree.
 
 Null texts count as empty; texts of any length are encoded whole; each row stands for itself, repeated or not.
 """
@@ -19,6 +22,7 @@ import heapq
 import re
 import sys
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +33,10 @@ from pyspark.sql import functions as F
 
 from scribemend.llm.common import as_text, keyed_as, ship_package
 
-LEAF = 32
+#: Leaves of the trees: bytes of a match, characters of a text, ids to decode.  Up to FLAT bytes are merged without a heap.
+LEAF, STRETCH, RUN, FLAT = 16, 512, 512, 32
+#: Characters on either side of a boundary in the first window.
+WINDOW = 16
 #: Entries of a worker's two tables, of parts of texts and of matches of the pattern, and the longest part kept.
 PARTS, MATCHES, KEPT_CHARS = 150_000, 200_000, 48
 # Letters and numbers that Unicode 16 added (first and last code point).
@@ -82,12 +89,14 @@ class TreeEncoder:
         self.names = {rank: str(rank) for rank in self.bytes_of}
         self.split_any, self.split_latin = split_pattern(pattern).findall, split_pattern(pattern, 0xFF).findall
         self.stands = functools.lru_cache(1 << 16)(self._stands)
+        self.sizes = {rank: len(token) for rank, token in self.bytes_of.items()}
+        self.joins = self.windows = 0  # boundaries of texts that were joined, and those where a window was encoded anew
         self.parts: dict[str, bytes] = {}
         self.matches: dict[str, bytes] = {}
 
     def merged(self, data: bytes) -> list[int]:
         """Tokens of a stretch: the pair of the lowest rank is merged first, the left one of equals."""
-        if len(data) > LEAF:
+        if len(data) > FLAT:
             return self._merged_long(data)
         ranks, none = self.ranks.get, len(self.ranks)
         tokens = [data[i:i + 1] for i in range(len(data))]
@@ -171,17 +180,55 @@ class TreeEncoder:
         remember(self.matches, text, found, MATCHES)
         return found
 
-    def encode(self, text: str) -> np.ndarray:
+    def stretch(self, text: str) -> array:
+        """Codes of a leaf of a text."""
         first, rest = cut_at_spaces(text)
         known = self.parts.get
-        return np.frombuffer(self.codes(first) + b"".join([known(p) or self.part(p) for p in rest]), "<i4")
+        return array("i", self.codes(first) + b"".join([known(p) or self.part(p) for p in rest]))
+
+    def halves(self, text: str, first: int, last: int) -> array:
+        """Codes of text[first:last], as if it stood alone."""
+        if last - first <= STRETCH:
+            return self.stretch(text[first:last])
+        middle = (first + last) // 2
+        return self.met(text, first, middle, last, self.halves(text, first, middle), self.halves(text, middle, last))
+
+    def met(self, text: str, first: int, middle: int, last: int, left: array, right: array) -> array:
+        """Codes of text[first:last] from those of its two parts."""
+        self.joins += 1
+        start, end = last_cut(text, first, middle), next_cut(text, middle, last)
+        if start == end:
+            return left + right
+        self.windows += 1
+        # codes in the window: both parts have a boundary at its rims
+        cut, size, sizes = len(left), len(text[start:middle].encode()), self.sizes
+        while size > 0:
+            cut -= 1
+            size -= sizes[left[cut]]
+        rest, size = 0, len(text[middle:end].encode())
+        while size > 0:
+            size -= sizes[right[rest]]
+            rest += 1
+        return left[:cut] + self.stretch(text[start:end]) + right[rest:]
+
+    def encode(self, text: str) -> np.ndarray:
+        middle = len(text) // 2
+        if not middle:
+            return np.frombuffer(self.stretch(text), "<i4")
+        return np.frombuffer(self.met(text, 0, middle, len(text), self.halves(text, 0, middle), self.halves(text, middle, len(text))), "<i4")
 
     def decode(self, codes: np.ndarray) -> bytes:
         """Bytes of the codes, halves concatenated up the tree."""
-        if len(codes) <= 1 << 16:
-            return b"".join(map(self.bytes_of.__getitem__, codes.tolist()))
-        middle = len(codes) // 2
-        return self.decode(codes[:middle]) + self.decode(codes[middle:])
+        tokens = list(map(self.bytes_of.__getitem__, codes.tolist()))
+
+        def up(first: int, last: int) -> bytes:
+            if last - first <= RUN:
+                return b"".join(tokens[first:last])
+            middle = (first + last) // 2
+            return up(first, middle) + up(middle, last)
+
+        middle = len(tokens) // 2
+        return up(0, middle) + up(middle, len(tokens))
 
     def digits(self, codes: np.ndarray) -> bytes:
         return " ".join(map(self.names.__getitem__, codes.tolist())).encode()
@@ -195,6 +242,36 @@ def remember(known: dict[str, bytes], text: str, codes: bytes, most: int) -> Non
         known[text] = codes
 
 
+def last_cut(text: str, first: int, middle: int) -> int:
+    """The last place up to `middle` that no match reaches across, or `first`, looked for in growing windows."""
+    width, high = WINDOW, middle + 1
+    while True:
+        low = max(first, middle - width)
+        at = text.rfind(" ", low + 1, high)
+        while at > low:
+            if not text[at - 1].isspace():
+                return at
+            at = text.rfind(" ", low + 1, at)
+        if low == first:
+            return first
+        width, high = width * 2, low + 1
+
+
+def next_cut(text: str, middle: int, last: int) -> int:
+    """The first place from `middle` on that no match reaches across, or `last`, looked for in growing windows."""
+    width, low = WINDOW, middle
+    while True:
+        high = min(last, middle + width)
+        at = text.find(" ", low, high)
+        while at >= 0:
+            if not text[at - 1].isspace():
+                return at
+            at = text.find(" ", at + 1, high)
+        if high == last:
+            return last
+        width, low = width * 2, high
+
+
 def spaces_meet(text: str) -> bool:
     """Is there a space after another white-space character?"""
     return any(pair in text for pair in (ASCII_PAIRS if text.isascii() else ALL_PAIRS))

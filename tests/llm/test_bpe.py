@@ -36,6 +36,36 @@ def test_any_cut_joins(text, cut):
     assert CODER.joined(CODER.merged(a) if a else [], CODER.merged(b) if b else []) == CODER.merged(data)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \n\t\r'sa1!　\xa0\x1c\x85é²日")), max_size=60))
+def test_texts_join_at_every_place(text):
+    """The monoid of texts: wherever a text is cut, the codes of both parts give those of the whole."""
+    want = KNOWN.encode_ordinary(text)
+    for cut in range(len(text) + 1):
+        assert CODER.met(text, 0, cut, len(text), CODER.stretch(text[:cut]), CODER.stretch(text[cut:])).tolist() == want
+
+
+@pytest.mark.parametrize("leaf", [1, 2, 5])
+def test_small_leaves(monkeypatch, leaf):
+    for name in ("LEAF", "STRETCH", "RUN"):
+        monkeypatch.setattr(bpe, name, leaf)
+    own = bpe.TreeEncoder(CODER.ranks, public_tokenizers.PATTERN)
+    for text in ("It's  the\n\n 1st 日本語 test, isn't it?  " * 20, "antidisestablishmentarianism" * 9, "", "x", " "):
+        assert own.encode(text).tolist() == KNOWN.encode_ordinary(text)
+        assert own.decode(own.encode(text)) == text.encode()
+
+
+def test_every_given_text_is_joined(llm):
+    """How often the method decides: each text is joined at one place or more, and most places need a window."""
+    texts = [r["text"] or "" for r in llm.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    own = bpe.TreeEncoder(CODER.ranks, public_tokenizers.PATTERN)
+    for text in texts:
+        before = own.joins
+        assert own.encode(text).tolist() == KNOWN.encode_ordinary(text)
+        assert own.joins - before >= max(min(1, len(text) // 2), len(text) // bpe.STRETCH - 1)
+    assert own.windows > own.joins // 2 > 1000
+
+
 def test_tables_start_anew(monkeypatch):
     monkeypatch.setattr(bpe, "PARTS", 3)
     monkeypatch.setattr(bpe, "MATCHES", 3)
