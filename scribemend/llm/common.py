@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from scribemend.session import drop_paths, made_paths, open_output, ship_package, skew_safe_join, stored
 
-__all__ = ["KEY_ROWS", "WORD", "as_text", "attach", "in_stage", "keyed_as", "matching", "open_input", "open_output", "ship_package", "stored", "table"]
+__all__ = ["KEY_ROWS", "WORD", "as_text", "attach", "in_stage", "keyed_as", "matching", "open_input", "open_output", "open_places", "ship_package", "stored", "table"]
 
 #: Words of a text: runs of anything but space and the characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -73,3 +74,13 @@ def open_input(path: str):
 
     system, inner = fs.FileSystem.from_uri(path)
     return system.open_input_stream(inner, compression=None)
+
+
+@contextmanager
+def open_places(path: str) -> Iterator[tuple[Callable[[int, int], bytes], int]]:
+    """A file to read at any place: a function of (first byte, number of bytes), and the size of the file."""
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path)
+    with system.open_input_file(inner) as file:
+        yield lambda at, size: file.read_at(size, at), file.size()

@@ -2,7 +2,8 @@
 
 Ids are cut in chunks of 8 bits, lowest first.  Level 0 holds the first chunk of every id, level k the k-th chunk of
 those ids that have one; a bitmap beside each level says which ids go on, and a rank directory (ones before every
-512th bit) leads to their place in the next level.  Any id is read by following its own bits; no block is decoded.
+512th bit) leads to their place in the next level.  Any id, or a run of ids, is read by
+following the bits: of a file only the header, the run's chunks, its blocks of the bitmap and one rank a level are read.
 
 File: MAGIC, then little-endian u32 levels, u64 ids, u64 documents; i64 doc_id and u64 start (in this file) of every
 document, where the highest bit of the second stands for a null doc_id; for each level u64 size, the chunks, the
@@ -19,7 +20,7 @@ import os
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -30,12 +31,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scribemend.llm.bpe import KEPT_CHARS, cut_at_spaces
-from scribemend.llm.common import open_input, open_output, ship_package, stored
+from scribemend.llm.common import open_output, open_places, ship_package, stored
 from scribemend.session import new_table_path
 
 MAGIC = b"DACIDS01"
 END_ID = 2
 FILE_IDS = 4_000_000
+#: Documents that are read by one look into a file.
+RUN_DOCS = 512
 PARTS = 1_200_000
 NULL_ID = 1 << 63
 ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -57,69 +60,74 @@ def pack(ids: np.ndarray) -> bytes:
 
 
 class Level:
-    def __init__(self, chunks: np.ndarray, bits: np.ndarray, ranks: np.ndarray):
-        self.chunks, self.bits, self.ranks = chunks, bits, ranks
-
-    def goes_on(self, i: int) -> bool:
-        return bool(self.bits[i >> 3] >> (i & 7) & 1)
-
-    def rank(self, i: int) -> int:
-        """Ids before the i-th that go on."""
-        if i >= len(self.chunks):
-            return int(self.ranks[-1]) + int(ONES[self.bits[(len(self.ranks) - 1) * 64:]].sum()) if len(self.ranks) else 0
-        block, byte = i >> 9, i >> 3
-        ones = int(self.ranks[block]) + int(ONES[self.bits[block * 64:byte]].sum())
-        return ones + int(ONES[self.bits[byte] & ((1 << (i & 7)) - 1)])
+    """One level of a file: where its chunks, its bitmap and its rank directory begin."""
+
+    def __init__(self, read: Callable[[int, int], bytes], at: int):
+        self.read = read
+        self.size = struct.unpack("<Q", read(at, 8))[0]
+        self.blocks = -(-self.size // 512)
+        self.chunks_at = at + 8
+        self.bits_at = self.chunks_at + self.size
+        self.ranks_at = self.bits_at + 64 * self.blocks
+        self.end = self.ranks_at + 8 * self.blocks
+
+    def run(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Chunks and bits of the ids first to last - 1, and how many before them go on: only their blocks are read."""
+        chunks = np.frombuffer(self.read(self.chunks_at + first, last - first), np.uint8)
+        block, end = first >> 9, -(-last // 512)
+        bits = np.unpackbits(np.frombuffer(self.read(self.bits_at + 64 * block, 64 * (end - block)), np.uint8), bitorder="little")
+        before = first - (block << 9)
+        rank = struct.unpack("<Q", self.read(self.ranks_at + 8 * block, 8))[0] + int(bits[:before].sum())
+        return chunks, bits[before:before + last - first].astype(bool), rank
 
 
 class Codes:
-    """An opened file: `codes[i]` reads one id, `codes.slice(a, b)` a run of them."""
+    """An opened file, of which only what is asked for is read: `codes[i]` is one id, `codes.slice(a, b)` a run of them."""
 
-    def __init__(self, data: bytes):
-        if data[:8] != MAGIC:
+    def __init__(self, read: Callable[[int, int], bytes], size: int):
+        """`read` gives (first byte, number of bytes) of a file of `size` bytes."""
+        head = read(0, 24)
+        if head[:8] != MAGIC:
             raise ValueError("not a file of directly addressable codes")
-        self.size, docs = struct.unpack_from("<QQ", data, 8)
-        at = 24
-        self.doc_ids = np.frombuffer(data, "<i8", docs, at)
-        marked = np.frombuffer(data, "<u8", docs, at + 8 * docs)
-        self.null, self.starts = marked >= NULL_ID, (marked & np.uint64(NULL_ID - 1)).astype(np.int64)
-        at += 16 * docs
-        (levels,), at = struct.unpack_from("<I", data, at), at + 4
+        self.read = read
+        self.size, self.docs = struct.unpack_from("<QQ", head, 8)
+        at = 24 + 16 * self.docs
+        (levels,), at = struct.unpack("<I", read(at, 4)), at + 4
         self.levels = []
         for _ in range(levels):
-            (n,), at = struct.unpack_from("<Q", data, at), at + 8
-            size = -(-n // 8)
-            size += -size % 64
-            self.levels.append(Level(np.frombuffer(data, np.uint8, n, at), np.frombuffer(data, np.uint8, size, at + n),
-                                     np.frombuffer(data, "<u8", size // 64, at + n + size)))
-            at += n + size + 8 * (size // 64)
-        if at != len(data):
-            raise ValueError(f"{len(data) - at} bytes too many")
+            self.levels.append(Level(read, at))
+            at = self.levels[-1].end
+        if at != size:
+            raise ValueError(f"{size - at} bytes too many")
+
+    @classmethod
+    def of(cls, data: bytes) -> Codes:
+        return cls(lambda at, size: data[at:at + size], len(data))
+
+    def documents(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, starts and ends of documents first to last - 1, and which have no id: (doc_ids, null, bounds)."""
+        names = np.frombuffer(self.read(24 + 8 * first, 8 * (last - first)), "<i8")
+        more = min(last + 1, self.docs)
+        marked = np.frombuffer(self.read(24 + 8 * self.docs + 8 * first, 8 * (more - first)), "<u8")
+        bounds = (marked & np.uint64(NULL_ID - 1)).astype(np.int64)
+        return names, (marked >= NULL_ID)[:last - first], bounds if more > last else np.append(bounds, self.size)
 
     def __getitem__(self, i: int) -> int:
         if not 0 <= i < self.size:
             raise IndexError(i)
-        value = 0
-        for k, level in enumerate(self.levels):
-            value |= int(level.chunks[i]) << 8 * k
-            if not level.goes_on(i):
-                return value
-            i = level.rank(i)
-        return value
+        return int(self.slice(i, i + 1)[0])
 
     def slice(self, first: int, last: int) -> np.ndarray:
         """Ids first to last - 1: at each level the ids that go on are found by the rank of the run's beginning."""
         out = np.zeros(last - first, "<u4")
         where = np.arange(last - first)
         for k, level in enumerate(self.levels):
-            out[where] |= level.chunks[first:last].astype("<u4") << np.uint32(8 * k)
-            low = first & ~7
-            bits = np.unpackbits(level.bits[low >> 3:-(-last // 8)], bitorder="little")[first - low:last - low]
-            where = where[bits.astype(bool)]
             if not len(where):
                 break
-            first = level.rank(first)
-            last = first + len(where)
+            chunks, bits, rank = level.run(first, last)
+            out[where] |= chunks.astype("<u4") << np.uint32(8 * k)
+            where = where[bits]
+            first, last = rank, rank + len(where)
         return out
 
 
@@ -181,7 +189,7 @@ def vocabulary(path: str) -> Vocabulary:
 def write_ids(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Writes the ids of (doc_id, text) below `folder`; returns the stored list of files in the order of their documents.
 
-    Columns: partition, number, file, n_ids.  A file belongs to the result only if it is on the list, so files
+    Columns: partition, number, file, n_ids, n_docs.  A file belongs to the result only if it is on the list, so files
     that a lost or repeated task left behind are never read.
     """
     ship_package(docs.sparkSession)
@@ -199,7 +207,7 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None, end_id: int
                 file = f"{folder}/{part:06d}-{len(done):06d}-{uuid.uuid4().hex}.dac"
                 with open_output(file) as out:
                     out.write(document_bytes(names, ids))
-                done.append((part, len(done), file, size))
+                done.append((part, len(done), file, size, len(ids)))
             names, ids, size = [], [], 0
 
         for batch in batches:
@@ -212,36 +220,48 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None, end_id: int
                     if size >= FILE_IDS:
                         flush()
         flush()
-        yield pd.DataFrame(done, columns=["partition", "number", "file", "n_ids"])
+        yield pd.DataFrame(done, columns=["partition", "number", "file", "n_ids", "n_docs"])
 
     rows = docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.col("doc_id").isNull().alias("unnamed"),
                        F.coalesce("text", F.lit("")).alias("text"))
     dealt = rows.repartitionByRange(F.col("unnamed").desc(), "doc_id").sortWithinPartitions(F.col("unnamed").desc(), "doc_id", "text")
-    return stored(dealt.mapInPandas(run, "partition int, number int, file string, n_ids long"), "ids-files")
+    return stored(dealt.mapInPandas(run, "partition int, number int, file string, n_ids long, n_docs long"), "ids-files")
+
+
+def placed(files: DataFrame) -> DataFrame:
+    """The list of files with `first`, the ids of all files before: summed by partition first, then within each."""
+    before = Window.orderBy("partition").rowsBetween(Window.unboundedPreceding, -1)  # one row a task
+    parts = files.groupBy("partition").agg(F.sum("n_ids").alias("n")).select("partition", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    own = Window.partitionBy("partition").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    return files.withColumn("own", F.coalesce(F.sum("n_ids").over(own), F.lit(0))).join(parts, "partition").withColumn(
+        "first", (F.col("base") + F.col("own")).cast("long")).drop("own", "base")
 
 
 def read_ids(files: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document on a list of files, from the files."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document on a list of files, from the files.
+
+    The runs of RUN_DOCS documents of all files are dealt over the tasks; each reads its part of a file by rank.
+    """
     ship_package(files.sparkSession)
-    order = Window.orderBy("partition", "number").rowsBetween(Window.unboundedPreceding, -1)
-    listed = files.withColumn("first", F.coalesce(F.sum("n_ids").over(order), F.lit(0).cast("long")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for file, first, n_ids in zip(batch["file"], batch["first"], batch["n_ids"], strict=True):
-                with open_input(file) as opened:
-                    codes = Codes(opened.read())
-                if codes.size != n_ids:
-                    raise ValueError(f"{file} holds {codes.size} ids, {n_ids} were written")
-                ends = np.append(codes.starts[1:], codes.size)
-                ids = codes.slice(0, codes.size)
-                yield pd.DataFrame({
-                    "doc_id": pd.array(np.where(codes.null, None, codes.doc_ids), "Int64"), "start": codes.starts + first,
-                    "n_tokens": ends - codes.starts,
-                    "ids_crc32": [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(codes.starts, ends, strict=True)]})
+            for file, own in batch.groupby("file", sort=False):
+                with open_places(file) as (read, size):
+                    codes = Codes(read, size)
+                    for at, first, n_ids, n_docs in zip(own["at"], own["first"], own["n_ids"], own["n_docs"], strict=True):
+                        if (codes.size, codes.docs) != (n_ids, n_docs):
+                            raise ValueError(f"{file} holds {codes.size} ids of {codes.docs} documents, {n_ids} of {n_docs} were written")
+                        names, null, bounds = codes.documents(at, min(at + RUN_DOCS, n_docs))
+                        ids, sizes = codes.slice(bounds[0], bounds[-1]), np.diff(bounds)
+                        ends = bounds - bounds[0]
+                        yield pd.DataFrame({
+                            "doc_id": pd.array(np.where(null, None, names), "Int64"), "start": bounds[:-1] + first, "n_tokens": sizes,
+                            "ids_crc32": [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]})
 
     spread = files.sparkSession.sparkContext.defaultParallelism * 4
-    return listed.select("file", "first", "n_ids").repartition(spread, "file").mapInPandas(
+    runs = placed(files).select("file", "first", "n_ids", "n_docs", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_docs") - 1, F.lit(RUN_DOCS).cast("long"))).alias("at"))
+    return runs.repartition(spread, "file", "at").sortWithinPartitions("file", "at").mapInPandas(
         run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

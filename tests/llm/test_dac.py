@@ -17,9 +17,9 @@ KNOWN.encode_special_tokens = True
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=40), max_size=30), st.data())
 def test_random_access(docs, data):
-    codes = dac.Codes(dac.document_bytes(list(range(len(docs))), [np.array(d, np.uint32) for d in docs]))
+    codes = dac.Codes.of(dac.document_bytes(list(range(len(docs))), [np.array(d, np.uint32) for d in docs]))
     flat = [x for d in docs for x in d]
-    assert codes.size == len(flat) and codes.starts.tolist() == [sum(map(len, docs[:i])) for i in range(len(docs))]
+    assert codes.size == len(flat) and codes.documents(0, len(docs))[2].tolist() == [sum(map(len, docs[:i])) for i in range(len(docs) + 1)]
     assert [codes[i] for i in range(len(flat))] == flat
     a = data.draw(st.integers(0, len(flat)))
     b = data.draw(st.integers(a, len(flat)))
@@ -28,7 +28,7 @@ def test_random_access(docs, data):
 
 def test_long_levels():
     ids = np.random.default_rng(1).integers(0, 70000, 30000).astype(np.uint32)
-    codes = dac.Codes(dac.document_bytes([5], [ids]))
+    codes = dac.Codes.of(dac.document_bytes([5], [ids]))
     for i in (0, 1, 511, 512, 513, 29999):
         assert codes[i] == ids[i]
     assert (codes.slice(1000, 25000) == ids[1000:25000]).all()
@@ -39,9 +39,9 @@ def test_long_levels():
 def test_damaged_files():
     data = dac.document_bytes([1], [np.array([1, 2], np.uint32)])
     with pytest.raises(ValueError):
-        dac.Codes(b"x" * 40)
+        dac.Codes.of(b"x" * 40)
     with pytest.raises(ValueError):
-        dac.Codes(data + b"1")
+        dac.Codes.of(data + b"1")
 
 
 def test_written_and_read(documents, monkeypatch):
@@ -63,3 +63,31 @@ def test_files_are_rolled(documents, llm, monkeypatch):
     assert files.count() >= 1
     assert dac.read_ids(files).count() == 20
     assert dac.ids_written_and_read(documents([])).count() == 0
+
+
+def test_queries_read_by_rank(documents, monkeypatch):
+    """A directory whose ranks are wrong breaks the result: runs begin inside of files."""
+    monkeypatch.setattr(dac, "RUN_DOCS", 3)
+    docs = documents([(i, f"thing{i} " * (i * 40) + "über") for i in range(20)])
+    right = sorted(map(tuple, dac.ids_written_and_read(docs).collect()))
+    assert len(right) == 20 and [r[1] for r in right] == [sum(x[2] for x in right[:i]) for i in range(20)]
+    data = dac.document_bytes([1, 2], [np.arange(3000, dtype=np.uint32), np.arange(3000, dtype=np.uint32)])
+    codes = dac.Codes.of(data)
+    assert codes.slice(3000, 6000).tolist() == list(range(3000))
+    at = codes.levels[0].ranks_at
+    broken = dac.Codes.of(data[:at] + bytes(8 * codes.levels[0].blocks) + data[at + 8 * codes.levels[0].blocks:])
+    assert broken.slice(3000, 6000).tolist() != list(range(3000))
+
+
+def test_ranks_matter_on_given_documents(llm, monkeypatch):
+    """How often the directories decide: each run but the first one finds its second chunks by a rank."""
+    ranks = []
+    run = dac.Level.run
+    monkeypatch.setattr(dac.Level, "run", lambda self, a, b: (out := run(self, a, b), ranks.append(out[2]))[0])
+    texts = [r["text"] or "" for r in llm.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    ids = [np.array(KNOWN.encode(t, add_special_tokens=False).ids, np.uint32) for t in texts]
+    codes = dac.Codes.of(dac.document_bytes(list(range(len(ids))), ids))
+    for at in range(0, len(ids), 100):
+        bounds = codes.documents(at, min(at + 100, len(ids)))[2]
+        assert codes.slice(bounds[0], bounds[-1]).tolist() == [int(x) for d in ids[at:at + 100] for x in d]
+    assert sum(r > 0 for r in ranks) == len(range(0, len(ids), 100)) - 1 > 0
