@@ -34,11 +34,11 @@ from pyspark.sql import functions as F
 from scribemend.llm.common import as_text, keyed_as, ship_package
 
 #: Leaves of the trees: bytes of a match, characters of a text, ids to decode.  Up to FLAT bytes are merged without a heap.
-LEAF, STRETCH, RUN, FLAT = 16, 512, 512, 32
+LEAF, STRETCH, RUN, FLAT = 16, 1024, 1024, 32
 #: Characters on either side of a boundary in the first window.
 WINDOW = 16
 #: Entries of a worker's two tables, of parts of texts and of matches of the pattern, and the longest part kept.
-PARTS, MATCHES, KEPT_CHARS = 150_000, 200_000, 48
+PARTS, MATCHES, KEPT_CHARS = 600_000, 600_000, 48
 # Letters and numbers that Unicode 16 added (first and last code point).
 NEW_LETTERS = [(0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65),
                (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E),
@@ -209,6 +209,9 @@ class TreeEncoder:
         while size > 0:
             size -= sizes[right[rest]]
             rest += 1
+        if text[start] == " ":  # no match reaches across a place between the rims: it is one part
+            part = text[start + 1:end]
+            return left[:cut] + array("i", self.parts.get(part) or self.part(part)) + right[rest:]
         return left[:cut] + self.stretch(text[start:end]) + right[rest:]
 
     def encode(self, text: str) -> np.ndarray:
