@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from scribemend.session import drop_paths, made_paths, open_output, ship_package, skew_safe_join, stored
 
-__all__ = ["KEY_ROWS", "WORD", "as_text", "attach", "in_stage", "keyed_as", "matching", "open_input", "open_output", "open_places", "ship_package", "stored", "table"]
+__all__ = ["KEY_ROWS", "WORD", "as_text", "attach", "dealt_join", "in_stage", "keyed_as", "matching", "open_input", "open_output", "open_places", "ship_package", "stored", "table"]
 
 #: Words of a text: runs of anything but space and the characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of fixed-width keys (a few numbers or one digest) that may be broadcast: under 100 MB.
 KEY_ROWS = 1_000_000
+#: A key of a join is dealt over cells of a thousandth of all rows, but not of fewer than DEALT.
+CELLS, DEALT = 1000, 10_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -51,6 +53,23 @@ def attach(left: DataFrame, right: DataFrame, keys: list[str], weight: str, spre
     return skew_safe_join(left, right, keys, hot, spread)
 
 
+def dealt_join(left: DataFrame, counted: DataFrame, right: DataFrame, key: str, spread: Column) -> DataFrame:
+    """Join with a table of one row per key, of any width; rows of a frequent key are dealt over cells by `spread`.
+
+    `counted` is a stored table whose keys are as frequent as those of `left`.  The row of a frequent key is copied once
+    for each of its cells, 2 x CELLS times for all keys together; only their keys are broadcast.
+    """
+    size = max(DEALT, -(-counted.count() // CELLS))
+    hot = counted.groupBy(key).count().filter(F.col("count") > size).collect()  # fewer than CELLS rows
+    if not hot:
+        return left.join(right, key)
+    cells = F.broadcast(left.sparkSession.createDataFrame(
+        [(row[key], -(-row["count"] // size)) for row in hot], f"{key} long, _cells long"))
+    dealt = left.join(cells, key, "left").withColumn("_cell", F.pmod(F.xxhash64(spread), F.coalesce("_cells", F.lit(1))))
+    copied = right.join(cells, key, "left").withColumn("_cell", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_cells", F.lit(1)) - 1)))
+    return dealt.drop("_cells").join(copied.drop("_cells"), [key, "_cell"]).drop("_cell")
+
+
 def matching(left: DataFrame, keys: DataFrame, on: list[str], how: str = "left_semi", rows: int = KEY_ROWS) -> DataFrame:
     """Rows of `left` with (or by left_anti: without) a row in `keys`, a stored table of fixed-width keys.
 

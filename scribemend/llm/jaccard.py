@@ -10,8 +10,12 @@ for any corpus.  Its noise only changes the order, never the result.
 
 Groups are kept from growing with their square without losing a link.  Equal sets are one node.  In each posting list
 all nodes are first compared with one of them (the star); the links give components.  Then only pairs of
-different components are left, made as (rows outside the list's largest component) x (rows of the list).  So a class
-of near copies costs about its size, and copies are never expanded into pairs.
+different components are left, made as (rows outside the list's largest component) x (rows of the list), in cells of
+CELL x CELL rows and ranges of sizes where a list is long.  So a class of near copies costs about its size, and copies
+are never expanded into pairs.  Pairs meet their sets by joins in which a hub is dealt over many tasks.
+
+`linked` needs no more links than its classes do; `all_links` gives every link between different sets, with the
+membership of the copies, and `link_counts` the number of links of each document.
 
 Words are runs of anything but space and the characters 9 to 13, with A-Z lower-cased.  Null texts and texts without
 words have an empty set and no links; a text of fewer words than a shingle is one shingle.  Rows that share a doc_id
@@ -31,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scribemend.llm.common import attach, matching, ship_package, stored
+from scribemend.llm.common import attach, dealt_join, matching, ship_package, stored
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 WIDTH = 1 << 20
@@ -40,6 +44,8 @@ MOST_MATCHES = 4
 #: Shingles of eight bytes that may be broadcast: about 50 MB.
 LIST_ROWS = 3_000_000
 WORDS = 150_000
+#: Rows of one side of a cell in which the rows of a long posting list meet.
+CELL = 4096
 ONE = np.uint64(1)
 
 
@@ -186,8 +192,8 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, similarity: Fraction) ->
             yield batch.loc[keep, ["a", "b"]]
 
     sets = stored(matching(texts(docs).filter("NOT unnamed"), wanted, ["doc_id"]).mapInPandas(cut, "doc_id long, found binary"), "sets")
-    rows = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("found").alias("x")), "a")
-    rows = rows.join(sets.select(F.col("doc_id").alias("b"), F.col("found").alias("y")), "b")
+    rows = dealt_join(pairs, pairs, sets.select(F.col("doc_id").alias("a"), F.col("found").alias("x")), "a", F.col("b"))
+    rows = dealt_join(rows, pairs, sets.select(F.col("doc_id").alias("b"), F.col("found").alias("y")), "b", F.col("a"))
     return stored(rows.select("a", "b", "x", "y").mapInPandas(run, "a long, b long").distinct(), "links")
 
 
@@ -202,7 +208,8 @@ def plausible(pairs: DataFrame, found: DataFrame, similarity: Fraction) -> DataF
     def side(name: str) -> DataFrame:
         return found.select(F.col("doc_id").alias(name), F.col("size").alias(f"{name}_size"), F.col("prefix").alias(f"{name}_prefix"))
 
-    rows = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    rows = dealt_join(pairs.select("a", "b"), pairs, side("a"), "a", F.col("b"))
+    rows = dealt_join(rows, pairs, side("b"), "b", F.col("a"))
     overlap = F.ceil((p * (F.col("a_size") + F.col("b_size"))) / (p + q))
     needed = overlap + F.least(F.size("a_prefix") - F.col("a_size"), F.size("b_prefix") - F.col("b_size"))
     return stored(rows.filter(F.size(F.array_intersect("a_prefix", "b_prefix")) >= needed).select("a", "b").distinct(), "plausible")
@@ -276,9 +283,19 @@ def linked(docs: DataFrame, n: int = 4, similarity: Fraction = Fraction(85, 100)
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
-def linked_texts(docs: DataFrame, n: int, similarity: Fraction) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of (doc_id, text), in which a doc_id has one text."""
+def fits(similarity: Fraction, *sides: Column) -> Column:
+    """Both places lie in the prefixes of this pair; size, k and place of a, then of b."""
     p, q = similarity.numerator, similarity.denominator
+    size_a, k_a, at_a, size_b, k_b, at_b = sides
+    overlap = F.ceil((p * (size_a + size_b)) / (p + q))  # exact: whole numbers far below 2^53
+    k = F.least(k_a, k_b, overlap)
+    return (q * F.least(size_a, size_b) >= p * F.greatest(size_a, size_b)) & (
+        at_a < size_a - overlap + k) & (at_b < size_b - overlap + k)
+
+
+def posting_lists(docs: DataFrame, n: int, similarity: Fraction) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Stored tables of (doc_id, text): (doc_id, size, mark) of all rows, (mark, node, n) of the different sets,
+    their prefixes, and the postings of lists of several nodes with the list's hub and size."""
     scanned = scan(docs, n)
     rows = scanned.filter("part < 0").select("doc_id", "size", "mark")
     sets = stored(rows.filter("mark IS NOT NULL AND doc_id IS NOT NULL").groupBy("mark").agg(
@@ -294,36 +311,59 @@ def linked_texts(docs: DataFrame, n: int, similarity: Fraction) -> DataFrame:
     lists = postings.groupBy("shingle").agg(F.count("*").alias("n"), F.min(F.struct("node", "size", "k", "at")).alias("hub"))
     lists = stored(lists.filter("n > 1"), "hubs")
     shared = stored(attach(postings, lists, ["shingle"], "n", F.col("node")).filter("n IS NOT NULL"), "shared")
+    return rows, sets, found, shared
 
-    def fits(size_a: Column, k_a: Column, at_a: Column, size_b: Column, k_b: Column, at_b: Column) -> Column:
-        """Both places lie in the prefixes of this pair."""
-        overlap = F.ceil((p * (size_a + size_b)) / (p + q))  # exact: whole numbers far below 2^53
-        k = F.least(k_a, k_b, overlap)
-        return (q * F.least(size_a, size_b) >= p * F.greatest(size_a, size_b)) & (
-            at_a < size_a - overlap + k) & (at_b < size_b - overlap + k)
 
-    hub = [F.col(f"hub.{c}") for c in ("size", "k", "at")]
-    star = shared.filter(F.col("node") != F.col("hub.node")).filter(fits(*hub, F.col("size"), F.col("k"), F.col("at")))
-    star = stored(star.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct(), "star-pairs")
-    links = verified(docs, plausible(star, found, similarity), n, similarity)
-    labels = stored(components(links), "star-components")
+def crossing(placed: DataFrame, similarity: Fraction) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that share k shingles of their prefixes; stored.
 
-    # pairs across components: rows outside the largest component of their list, with all rows of the list
-    placed = shared.drop("n", "hub").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = stored(placed, "placed")
+    Rows outside the largest component of a list meet all rows of the list.  A list of more than CELL rows on a side is
+    cut into cells, and these by steps of the size: sets of a pair are at most one step apart.
+    """
+    p, q = similarity.numerator, similarity.denominator
     parts = placed.groupBy("shingle", "component").agg(F.count("*").alias("n"))
     main = parts.groupBy("shingle").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("list_n"), F.count("*").alias("parts"))
-    main = stored(main.filter("parts > 1").select("shingle", F.col("main.component").alias("main"), "list_n"), "mixed-lists")
-    mixed = stored(attach(placed, main, ["shingle"], "list_n", F.col("node")).filter("main IS NOT NULL"), "mixed")
-    one = mixed.filter("component <> main").select("shingle", *[F.col(c).alias(f"a_{c}") for c in ("node", "size", "k", "at", "component")])
-    two = mixed.select("shingle", "main", *[F.col(c).alias(f"b_{c}") for c in ("node", "size", "k", "at", "component")])
-    cross = one.join(two, "shingle").filter(
+    main = main.filter("parts > 1").select("shingle", F.col("main.component").alias("main"), "list_n",
+                                           F.ceil((F.col("list_n") - F.col("main.n")) / CELL).cast("int").alias("down"),
+                                           F.ceil(F.col("list_n") / CELL).cast("int").alias("across"))
+    main = stored(main, "mixed-lists")
+    mixed = attach(placed, main, ["shingle"], "list_n", F.col("node")).filter("main IS NOT NULL")
+    width = max(-math.log(similarity), 1e-6) * (1 + 1e-9)
+    step = F.when(F.col("across") > 1, F.floor(F.log("size") / width)).otherwise(F.lit(0)).cast("int")
+    mixed = stored(mixed.withColumn("step", step), "mixed")
+
+    def cells(count: str) -> Column:
+        return F.sequence(F.lit(0), F.col(count) - 1)
+
+    def own(count: str) -> Column:
+        return F.pmod(F.xxhash64("node", F.lit(count)), F.col(count)).cast("int").alias(count)
+
+    def named(side: str) -> list[Column]:
+        return [F.col(c).alias(f"{side}_{c}") for c in ("node", "size", "k", "at", "component")]
+
+    one = mixed.filter("component <> main").select("shingle", "step", own("down"), F.explode(cells("across")).alias("across"), *named("a"))
+    near = F.when(F.col("across") > 1, F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).otherwise(F.array("step"))
+    two = mixed.select("shingle", "main", F.explode(near).alias("step"), "down", own("across"), *named("b"))
+    two = two.withColumn("down", F.explode(cells("down")))
+    cross = one.join(two, ["shingle", "step", "down", "across"]).filter(
         (F.col("a_component") != F.col("b_component")) & ((F.col("b_component") == F.col("main")) | (F.col("a_node") < F.col("b_node"))))
-    cross = cross.filter(fits(*[F.col(f"{s}_{c}") for s in "ab" for c in ("size", "k", "at")]))
+    cross = cross.filter(fits(similarity, *[F.col(f"{s}_{c}") for s in "ab" for c in ("size", "k", "at")]))
     a, b = F.least("a_node", "b_node"), F.greatest("a_node", "b_node")
     overlap = F.ceil((p * (F.col("a_size") + F.col("b_size"))) / (p + q))
     cross = cross.groupBy(a.alias("a"), b.alias("b")).agg(F.count("*").alias("n"), F.max(F.least("a_k", "b_k", overlap)).alias("k"))
-    cross = stored(cross.filter("n >= k").select("a", "b"), "cross-pairs")
+    return stored(cross.filter("n >= k").select("a", "b"), "cross-pairs")
+
+
+def linked_texts(docs: DataFrame, n: int, similarity: Fraction) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of (doc_id, text), in which a doc_id has one text."""
+    rows, sets, found, shared = posting_lists(docs, n, similarity)
+    hub = [F.col(f"hub.{c}") for c in ("size", "k", "at")]
+    star = shared.filter(F.col("node") != F.col("hub.node")).filter(fits(similarity, *hub, F.col("size"), F.col("k"), F.col("at")))
+    star = stored(star.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct(), "star-pairs")
+    links = verified(docs, plausible(star, found, similarity), n, similarity)
+    labels = stored(components(links), "star-components")
+    placed = shared.drop("n", "hub").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    cross = crossing(stored(placed, "placed"), similarity)
     more = verified(docs, plausible(cross, found, similarity), n, similarity)
     if not more.isEmpty():
         labels = stored(components(links.unionByName(more)), "components")
@@ -336,6 +376,38 @@ def linked_texts(docs: DataFrame, n: int, similarity: Fraction) -> DataFrame:
     return out.select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"))
 
 
+def all_links(docs: DataFrame, n: int = 4, similarity: Fraction = Fraction(85, 100)) -> tuple[DataFrame, DataFrame]:
+    """All links between different sets of (doc_id, text), stored: pairs (a, b), a < b, of nodes, and (doc_id, node, n)
+    of the rows, with the number of rows n of the node.
+
+    A node is the smallest doc_id that has a set, so copies are members and make no pairs.  Rows without doc_id or
+    without words are no members.  If a doc_id has several texts, nodes are names of texts, and it has a row for each text.
+    """
+    ship_package(docs.sparkSession)
+    names = text_names(docs)
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text") if names is None else by_name(docs, names)
+    rows, sets, found, shared = posting_lists(named, n, similarity)
+    pairs = crossing(stored(shared.drop("n", "hub").withColumn("component", F.col("node")), "single"), similarity)
+    pairs = verified(named, plausible(pairs, found, similarity), n, similarity)
+    members = attach(rows.filter("mark IS NOT NULL AND doc_id IS NOT NULL"), sets, ["mark"], "n", F.col("doc_id")).select("doc_id", "node", "n")
+    if names is not None:
+        known = names.select(F.col("name").alias("node_name"), F.col("doc_id").alias("id"), F.col("n").alias("name_n"))
+        members = attach(members.withColumnRenamed("doc_id", "node_name"), known, ["node_name"], "name_n", F.rand(3)).select(F.col("id").alias("doc_id"), "node", "n")
+    return pairs, stored(members, "members")
+
+
+def link_counts(docs: DataFrame, n: int = 4, similarity: Fraction = Fraction(85, 100)) -> DataFrame:
+    """(doc_id, node, n_links) of the members of `all_links`: other rows that a row's text is linked with, its copies included."""
+    pairs, members = all_links(docs, n, similarity)
+    weights = stored(members.select("node", "n").distinct(), "node-sizes")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = stored(both, "both-ways")
+    far = dealt_join(both, both, weights.withColumnRenamed("node", "b"), "b", F.col("a"))
+    far = far.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("linked"))
+    own = stored(weights.join(far, "node", "left").select("node", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.col("n").alias("rows")), "counts")
+    return attach(members.select("doc_id", "node"), own, ["node"], "rows", F.col("doc_id")).select("doc_id", "node", "n_links")
+
+
 def one_of_each(docs: DataFrame, n: int = 5, similarity: Fraction = Fraction(80, 100)) -> DataFrame:
     """The rows of `docs` (all columns) of which the smallest doc_id of a class of texts stays; rows without doc_id stay."""
     ship_package(docs.sparkSession)

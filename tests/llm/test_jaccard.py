@@ -116,3 +116,42 @@ def test_a_doc_id_of_several_texts(documents):
     assert {(d, c) for d, _, c in got if d in (1, 5, 9)} == {(1, 1), (5, 1), (9, 1)}
     kept = sorted(((r["doc_id"], r["text"]) for r in jaccard.one_of_each(docs).collect()), key=str)
     assert kept == sorted([rows[0], rows[2], rows[5], rows[6], rows[7], rows[9], rows[10]], key=str)
+
+
+def sentence_texts(n, seed=5):
+    """Texts of seven of fourteen sentences: they share much and are rarely linked."""
+    r = random.Random(seed)
+    sentences = [[f"s{i}x{j}" for j in range(9)] for i in range(14)]
+    return [(i, " ".join(w for s in r.sample(sentences, 7) for w in s)) for i in range(n)]
+
+
+def test_cells_and_dealt_hubs_give_the_same_classes(documents, monkeypatch):
+    from scribemend.llm import common
+
+    rows = [*corpus(7, 120), *[(9000 + i, text) for i, text in sentence_texts(80)]]
+    monkeypatch.setattr(jaccard, "CELL", 7)
+    monkeypatch.setattr(common, "DEALT", 5)
+    got = sorted((tuple(r) for r in jaccard.linked(documents(rows), 4, Fraction(85, 100)).collect()), key=str)
+    assert got == classes(rows, 4, Fraction(85, 100))
+
+
+@pytest.mark.parametrize("cell", [3, 4096])
+def test_every_link(documents, monkeypatch, cell):
+    monkeypatch.setattr(jaccard, "CELL", cell)
+    n, similarity = 4, Fraction(85, 100)
+    rows = [*corpus(9, 100), (2, None), (5, ""), (11, "One two"), (14, "one TWO"), (None, "one two")]
+    pairs, members = jaccard.all_links(documents(rows), n, similarity)
+    node = {r["doc_id"]: r["node"] for r in members.collect()}
+    sets = {name: shingles(text, n) for name, text in rows if name is not None and shingles(text, n)}
+    assert set(node) == set(sets)
+    linked = {(a, b) for a in sets for b in sets if a != b and Fraction(len(sets[a] & sets[b]), len(sets[a] | sets[b])) >= similarity}
+    assert {tuple(r) for r in pairs.collect()} == {(node[a], node[b]) for a, b in linked if node[a] < node[b]}
+    counts = {r["doc_id"]: r["n_links"] for r in jaccard.link_counts(documents(rows), n, similarity).collect()}
+    assert counts == {a: sum(x == a for x, _ in linked) for a in sets}
+
+
+def test_links_of_a_doc_id_of_several_texts(documents):
+    rows = [(5, "a b c d e f"), (5, "q r s t u v"), (9, "q r s t u v"), (9, "q r s t u v"), (11, "a b c d e f")]
+    found = sorted((r["doc_id"], r["n_links"]) for r in jaccard.link_counts(documents(rows)).collect())
+    assert [n for _, n in found] == [1, 2, 2, 2, 1] and [d for d, _ in found] == [5, 5, 9, 9, 11]
+    assert jaccard.link_counts(documents([])).count() == 0
