@@ -59,7 +59,10 @@ def dealt_join(left: DataFrame, counted: DataFrame, right: DataFrame, key: str,
     `counted` is a stored table whose keys are as frequent as those of `left`.  The row of a frequent key is copied once
     for each of its cells, 2 x CELLS times for all keys together; only their keys are broadcast.
     """
-    size = max(DEALT, -(-counted.count() // CELLS))
+    total = counted.count()
+    if total <= DEALT:
+        return left.join(right, key)
+    size = max(DEALT, -(-total // CELLS))
     hot = counted.groupBy(key).count().filter(F.col("count") > size).collect()  # fewer than CELLS rows
     if not hot:
         return left.join(right, key)
