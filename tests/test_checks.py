@@ -123,3 +123,24 @@ def test_every_reading_of_a_term_counts(spark):
     for rows in ([("t", ["a", "b", "x"]), ("t", ["q", "r", "s"])], [("t", ["q", "r", "s"]), ("t", ["a", "b", "x"])]):
         found = fuzzy_pairs(words, spark.createDataFrame(rows, "term string, syls array<string>")).collect()
         assert [(r.word, r.term, round(r.similarity, 2)) for r in found] == [("w", "t", 0.67)]
+
+
+def test_refinement_goes_on_where_it_ended(spark):
+    from scribemend.plans.prompts import resume_prompts
+    from scribemend.session import new_table_path
+
+    def failing(asked):
+        if any("bad" in prompt for prompt in asked):
+            raise ValueError("no answer")
+        return [f"first {prompt}" for prompt in asked]
+
+    path = new_table_path(spark, "answers")
+    rows = [(1, "a"), (2, "bad"), (3, "a"), (4, None), *[(10 + i, "often") for i in range(50)]]
+    prompts = spark.createDataFrame(rows, "id int, prompt string")
+    got = {r.id: (r.refined, r.error) for r in resume_prompts(prompts, failing, path).collect()}
+    assert got == {1: ("first a", None), 2: (None, "ValueError: no answer"), 3: ("first a", None), 4: (None, None),
+                   **{10 + i: ("first often", None) for i in range(50)}}
+    more = prompts.unionByName(spark.createDataFrame([(5, "new")], "id int, prompt string"))
+    again = {r.id: (r.refined, r.error) for r in resume_prompts(more, lambda asked: [f"second {p}" for p in asked], path).collect()}
+    assert again == {**got, 2: ("second bad", None), 5: ("second new", None)}
+    assert resume_prompts(prompts.limit(0), failing, path).count() == 0
