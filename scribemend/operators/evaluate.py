@@ -11,9 +11,17 @@ from scribemend.operators.lookup import with_held_strings
 
 
 def with_error_rates(df: DataFrame, expected: str, outputs: dict[str, str], suffix: str = "cer") -> DataFrame:
-    """Add one error rate column per named output column."""
-    return df.withColumns({f"{name}_{suffix}": character_error_rate(F.col(col), F.col(expected))
-                           for name, col in outputs.items()})
+    """Add one error rate column per named output column; an output equal to the one before shares its rate."""
+    named = [(f"{name}_{suffix}", F.col(col)) for name, col in outputs.items()]
+    own = {name: character_error_rate(F.when(~text.eqNullSafe(last), text), F.col(expected))
+           for (name, text), (_, last) in zip(named[1:], named, strict=False)}
+    rates = {name: character_error_rate(text, F.col(expected)) for name, text in named[:1]} | own
+    df = df.withColumns({f"_own_{name}": rate for name, rate in rates.items()})  # one pass of Python for all
+    shared: dict[str, Column] = {}
+    for k, (name, text) in enumerate(named):
+        mine = F.col(f"_own_{name}")
+        shared[name] = F.when(text.eqNullSafe(named[k - 1][1]), shared[named[k - 1][0]]).otherwise(mine) if k else mine
+    return df.withColumns(shared).drop(*[f"_own_{name}" for name in shared])
 
 
 def error_rate_summary(rated: DataFrame, base: str, names: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scribemend.functions.text import character_error_rate, let, numbers
+from scribemend.functions.text import character_error_rate, numbers
 
 LAYERS = ["layer1", "layer2", "layer3", "layer4"]
 WORSE_BY = 0.01
@@ -27,23 +27,22 @@ def responsible_layer(original: Column, expected: Column, outputs: Column) -> Co
 
     `outputs` is ARRAY<STRING> of layer texts in order; null means the layer did not run.
     """
-    start = F.struct(original.alias("text"), F.lit(None).cast("double").alias("cer"), F.lit(None).cast("string").alias("blame"),
+    texts = [original]
+    for k in range(len(LAYERS)):
+        texts.append(F.coalesce(F.get(outputs, F.lit(k)), texts[-1]))
+    # the error rate is worked out only where a layer changed the text
+    steps = F.array(*[F.struct(
+        F.lit(name).alias("name"), after.alias("text"), (before != after).alias("changed"),
+        F.when(before != after, character_error_rate(F.when(before != after, after), expected)).alias("cer"))
+        for name, before, after in zip(LAYERS, texts, texts[1:], strict=False)])
+    start = F.struct(character_error_rate(original, expected).alias("cer"), F.lit(None).cast("string").alias("blame"),
                      F.lit("unknown").alias("last_bad"))
-    steps = F.zip_with(F.array(*[F.lit(x) for x in LAYERS]), outputs,
-                       lambda name, text: F.struct(name.alias("name"), text.alias("text")))
 
     def fold(acc: Column, s: Column) -> Column:
-        text = F.coalesce(s["text"], acc["text"])
-        bad = F.when(text != expected, s["name"]).otherwise(acc["last_bad"])
-        # the error rate is worked out only where a layer changed the text
-        rates = F.struct(F.coalesce(acc["cer"], character_error_rate(acc["text"], expected)).alias("old"),
-                         character_error_rate(text, expected).alias("new"))
-        changed = let(rates, lambda r: F.struct(
-            text.alias("text"), r["new"].alias("cer"),
-            F.coalesce(acc["blame"], F.when(r["new"] > r["old"] + WORSE_BY, s["name"])).alias("blame"),
-            bad.alias("last_bad")))
-        same = F.struct(acc["text"].alias("text"), acc["cer"].alias("cer"), acc["blame"].alias("blame"), bad.alias("last_bad"))
-        return F.when(text == acc["text"], same).otherwise(changed)
+        worse = s["changed"] & (s["cer"] > acc["cer"] + WORSE_BY)
+        return F.struct(F.coalesce(s["cer"], acc["cer"]).alias("cer"),
+                        F.coalesce(acc["blame"], F.when(worse, s["name"])).alias("blame"),
+                        F.when(s["text"] != expected, s["name"]).otherwise(acc["last_bad"]).alias("last_bad"))
 
     return F.aggregate(steps, start, fold, lambda acc: F.coalesce(acc["blame"], acc["last_bad"]))
 

@@ -86,8 +86,9 @@ def merge_refined(base: DataFrame, refined: DataFrame, id_col: str = "id", text_
 def choose_result(original: Column, rule_text: Column, a: Column, b: Column, backed_a: Column, backed_b: Column) -> Column:
     """'A' or 'B': equal texts are B; a changed number loses; then a backed change; then fewer edits."""
     kept_a, kept_b = numbers(a) == numbers(rule_text), numbers(b) == numbers(rule_text)
-    edits_a, edits_b = edit_distance(rule_text, a), edit_distance(rule_text, b)
-    return (F.when(a == b, "B")
-            .when(kept_a & ~kept_b, "A").when(kept_b & ~kept_a, "B")
-            .when(backed_a & ~backed_b, "A").when(backed_b & ~backed_a, "B")
-            .when(edits_a < edits_b, "A").otherwise("B"))
+    decided = (F.when(a == b, "B")
+               .when(kept_a & ~kept_b, "A").when(kept_b & ~kept_a, "B")
+               .when(backed_a & ~backed_b, "A").when(backed_b & ~backed_a, "B"))
+    open_text = F.when(decided.isNull(), rule_text)  # no edits are counted where they decide nothing
+    edits_a, edits_b = edit_distance(open_text, a), edit_distance(open_text, b)
+    return F.coalesce(decided, F.when(edits_a < edits_b, "A").otherwise("B"))

@@ -1,8 +1,11 @@
+import time
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from scribemend.functions.entities import entities
 from scribemend.functions.text import character_error_rate, edit_distance
+from scribemend.operators import evaluate as E
 from scribemend.operators import failures as X
 from scribemend.operators import guard as G
 from scribemend.operators import metrics as M
@@ -64,6 +67,23 @@ def test_error_rate_is_exact_far_apart(spark):
         assert r.c == (row[-1] / max(len(r.a), len(r.b)) if r.a or r.b else 0)
 
 
+def test_error_rates_of_very_long_texts(spark):
+    """No time that goes with the square of a length: the matrix of this pair has 10 billion places."""
+    right = "so the man said it to a lot of us " * 3200
+    df = spark.createDataFrame([(right, right.replace("the", "teh"), right.replace("the", "teh"), ""), ("", "ab", "ab", "")],
+                               "right string, raw string, one string, two string")
+    start = time.monotonic()
+    rated = E.with_error_rates(df, "right", {"raw": "raw", "one": "one", "two": "two"}).orderBy(F.desc("raw")).collect()
+    assert time.monotonic() - start < 60
+    assert [r.raw_cer for r in rated] == [r.one_cer for r in rated] == [1.0 if r.right == "" else 6400 / len(right) for r in rated]
+    assert [r.two_cer for r in rated] == [0.0 if r.right == "" else 1.0 for r in rated]
+
+
+def test_layer_is_kept_when_nothing_is_expected(spark):
+    blame = X.responsible_layer(F.lit("abc"), F.lit(""), F.array(*[F.lit(t) for t in ("abc", "abcd", "", "")]))
+    assert _one(spark, blame.alias("a"))[0] == "layer2"
+
+
 def test_exact_percentiles_with_a_hot_series(spark):
     df = spark.range(0, 6000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 7)).alias("s"),
                                      (F.pmod(F.xxhash64("id"), F.lit(997)) / 3).alias("v"))
