@@ -1,10 +1,12 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from scribemend.operators import aliases as A
+from scribemend.operators import lookup as L
 from scribemend.operators import rewrites as R
 from scribemend.plans import correct as P
 
@@ -160,3 +162,18 @@ def test_ties_negative_orders_private_characters_and_thousands_of_aliases(spark)
     for k, text in enumerate(texts):
         assert [(s.pos, s.alias) for s in by_join[k].spans] == [(s.pos, s.alias) for s in in_row[k].spans] == greedy(text)
         assert by_join[k].text == in_row[k].text
+
+
+def test_long_batches_are_read_in_slices():
+    texts = pa.array(["ab" * 300_000, None, "the", "", *["thin and " * 1000] * 500])
+    sizes = []
+
+    def work(some):
+        sizes.append(sum(len(t or "") for t in some.to_pylist()))
+        return A._resolved(some.to_pylist(), [lexicon] * len(some))
+
+    lexicon = (A.StringIndex(["thin", "and"]), ["sin", "und"], [1, 2])
+    got = L.by_slices(work, texts)
+    assert len(sizes) > 4 and max(sizes) < 2 * L.SLICE_BYTES
+    assert got.equals(A._resolved(texts.to_pylist(), [lexicon] * len(texts)))
+    assert L.by_slices(work, texts.slice(0, 0)).equals(A._resolved([], []))
