@@ -177,3 +177,30 @@ def test_long_batches_are_read_in_slices():
     assert len(sizes) > 4 and max(sizes) < 2 * L.SLICE_BYTES
     assert got.equals(A._resolved(texts.to_pylist(), [lexicon] * len(texts)))
     assert L.by_slices(work, texts.slice(0, 0)).equals(A._resolved([], []))
+
+
+def test_only_windows_that_can_be_strings_leave_a_text(spark):
+    """Strings shorter, as long as and longer than a key, over the seams of slices; texts without any send no rows."""
+    rng = random.Random(6)
+    long = "".join(rng.choice("xyzé😀") for _ in range(3 * L.SLICE_BYTES // 2))
+    at = L.SLICE_BYTES - 10  # over the first seam
+    strings = ["q", "ab", "b" * L.KEY, "c" * (L.KEY + 1), "c" * (L.KEY + 40), long[at:at + 20], long[at:at + 60], long[at:at + 60] + "!"]
+    texts = ["ab " + "b" * 30, "c" * 50, long, "none of them " * 1000, None, "", "c" * 100 + "qq"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    table = spark.createDataFrame([(s, len(s)) for s in [*strings, ""]], "string string, n int")
+    found = L.held_pairs(df, L.keyed_strings(table), "id", F.array("text"))
+    want = {(k, s, len(s)) for k, t in enumerate(texts) if t for s in strings if s in t}
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    windows = spark.read.parquet(next(p for p in reversed(L.stored.__globals__["made_paths"](spark)) if "/windows-" in p))
+    assert windows.filter("id = 3").isEmpty() and windows.count() <= 3 * len(want)
+
+
+def test_rules_over_the_bound_meet_pieces_without_their_texts(spark):
+    """A text with many replacements: what travels goes with its rules, not with pieces times rules."""
+    rules = [(f"w{k:03d}.", f"w{k:03d}!", 0) for k in range(300)] + [("w001! w002!", "both", 0)]
+    text = " ".join(f"w{k:03d}." for k in range(300))
+    table = spark.createDataFrame(rules, "wrong string, correct string, lex_order long")
+    df = spark.createDataFrame([(1, text), (2, "none"), (3, None)], "id int, text string")
+    rows = {r.id: r for r in R.replace_confusions(df, table, limit=0).collect()}
+    assert rows[1].replaced == sequential(text, rules)[0] and len(rows[1].hits) == len(sequential(text, rules)[1])
+    assert (rows[2].replaced, rows[3].replaced) == ("none", None)
