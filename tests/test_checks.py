@@ -1,6 +1,7 @@
 import time
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from scribemend.functions.entities import entities
@@ -164,3 +165,50 @@ def test_refinement_goes_on_where_it_ended(spark):
     again = {r.id: (r.refined, r.error) for r in resume_prompts(more, lambda asked: [f"second {p}" for p in asked], path).collect()}
     assert again == {**got, 2: ("second bad", None), 5: ("second new", None)}
     assert resume_prompts(prompts.limit(0), failing, path).count() == 0
+
+
+def test_runs_travel_only_for_ids_of_several_rows(spark):
+    """Rows of one id share their counts, null ids as well; a row alone is decided without a shuffle of its runs."""
+    from scribemend.operators import guard as G
+
+    rows = [(1, "abcdefgh", "abcdefgh abcdefgh"), (2, "abcdefgh", "abcdefgh and more"), (3, "short", "short and longer"),
+            (4, "abcde", "xyz xyz xyz"), (4, "xyz", "abcde abcde abcde"), (5, "aaaaa", "aaaaaaaaa"), (6, "a", None), (7, None, "abcdefg"),
+            (None, "klmno", "no such run"), (None, "q", "klmno klmno")]
+    df = spark.createDataFrame(rows, "id int, before string, after string")
+    assert sorted(r.id or 0 for r in G.repeat_injections(df, "before", "after").collect()) == [0, 1, 4, 5]
+    alone = df.filter("id < 4 or id = 5")
+    plan = G.repeat_injections(alone, "before", "after")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_repeats" in plan
+
+
+def test_grams_of_any_tokens_travel_as_strings(spark):
+    from scribemend.operators import ngrams as N
+
+    tokens = [["a", "b c", "\u001f", "\u001e", "\u001e0", "\u001e1\u001f", "", "\u001e2", "é", "a"], [None, "a"], [], ["a", None]]
+    df = spark.createDataFrame([(t,) for t in tokens], "tokens array<string>")
+    found = {(r.n, tuple(r.gram)): r.cnt for r in N.train(df, 3).grams.collect()}
+    want: dict = {}
+    for t in tokens:
+        for n in (1, 2, 3):
+            for k in range(len(t) - n + 1):
+                want[n, tuple(t[k:k + n])] = want.get((n, tuple(t[k:k + n])), 0) + 1
+    assert found == want
+    plan = N.train(df, 3).grams._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_gram" in plan
+
+
+def test_a_stream_meets_a_lexicon_over_the_bound(spark, tmp_path):
+    from scribemend.operators import aliases as A
+    from scribemend.streaming import transcripts as Y
+
+    rows = [(1, "teh end."), (1, "adn teh"), (None, "teh"), (2, None), (2, None)]
+    spark.createDataFrame(rows, "doc_id int, text string").write.parquet(f"{tmp_path}/in")
+    lexicon = spark.createDataFrame([("teh", "the", 1), ("adn", "and", 2)], "alias string, canonical string, lex_order long")
+    stream = spark.readStream.schema("doc_id int, text string").parquet(f"{tmp_path}/in")
+    for limit, name in ((A.INDEX_BYTES, "index"), (0, "joins")):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(Y, "resolve_aliases", lambda df, lex, key, col: A.resolve_aliases(df, lex, key, col, limit=limit))  # noqa: B023
+            Y.correct_batches(stream, lexicon, f"{tmp_path}/{name}", f"{tmp_path}/{name}-mark").awaitTermination()
+        got = spark.read.parquet(f"{tmp_path}/{name}").collect()
+        assert sorted((r.doc_id or 0, r.corrected or "", len(r.changes)) for r in got) == [
+            (0, "the", 1), (1, "and the", 2), (1, "the end.", 1), (2, "", 0), (2, "", 0)]
