@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scribemend.functions.entities import entities, entity_keys
-from scribemend.functions.text import edit_distance, item_rows, let, numbers, strip
+from scribemend.functions.text import edit_distance, in_project, item_rows, let, numbers, strip
+from scribemend.operators.lookup import by_slices
+from scribemend.session import ship_package
 
 SHINGLE = 5
 
@@ -41,12 +46,39 @@ def shingles(text: Column) -> Column:
 
 
 def repeat_injections(df: DataFrame, before: str, after: str, id_col: str = "id") -> DataFrame:
-    """Ids of texts that grew by more than two characters and repeat a known run more often than before."""
+    """Ids of texts that grew by more than two characters and repeat a known run more often than before.
+
+    A row whose id is its own is decided where it lies; runs travel only for ids of several rows, which share their counts.
+    """
+    ship_package(df.sparkSession)
     grown = df.filter(F.length(after) > F.length(before) + 2)
-    rows = item_rows(grown, [id_col, F.lit(1).alias("b"), F.lit(0).alias("a")], shingles(F.col(before)), "run").unionByName(
-        item_rows(grown, [id_col, F.lit(0).alias("b"), F.lit(1).alias("a")], shingles(F.col(after)), "run"))
-    return (rows.groupBy(id_col, "run").agg(F.sum("b").alias("b"), F.sum("a").alias("a"))
-            .filter((F.col("b") >= 1) & (F.col("a") > F.col("b"))).select(id_col).distinct())
+    several = grown.groupBy(id_col).agg(F.count("*").alias("n")).filter((F.col("n") > 1) | F.col(id_col).isNull()).select(id_col)
+
+    @in_project("boolean")
+    def repeats(old: pa.Array, new: pa.Array) -> pa.Array:
+        return by_slices(lambda a, b: pa.array([more_often(x.as_py(), y.as_py()) for x, y in zip(a, b, strict=True)], pa.bool_()), old, new)
+
+    alone = grown.filter(F.col(id_col).isNotNull()).join(several, id_col, "left_anti")
+    single = alone.withColumn("_repeats", repeats(F.col(before), F.col(after))).filter("_repeats").select(id_col)
+    shared = grown.join(several.withColumnRenamed(id_col, "_id"), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    rows = item_rows(shared, [id_col, F.lit(1).alias("b"), F.lit(0).alias("a")], shingles(F.col(before)), "run").unionByName(
+        item_rows(shared, [id_col, F.lit(0).alias("b"), F.lit(1).alias("a")], shingles(F.col(after)), "run"))
+    counted = (rows.groupBy(id_col, "run").agg(F.sum("b").alias("b"), F.sum("a").alias("a"))
+               .filter((F.col("b") >= 1) & (F.col("a") > F.col("b"))).select(id_col).distinct())
+    return single.unionByName(counted)
+
+
+def more_often(before: str, after: str) -> bool:
+    """Does the text after hold a run of the text before more often?"""
+    known = Counter(before[k:k + SHINGLE] for k in range(len(before) - SHINGLE + 1))
+    for k in range(len(after) - SHINGLE + 1):
+        run = after[k:k + SHINGLE]
+        left = known.get(run)
+        if left is not None:
+            if not left:
+                return True
+            known[run] = left - 1
+    return False
 
 
 def clean_output(text: Column) -> Column:
