@@ -212,3 +212,14 @@ def test_a_stream_meets_a_lexicon_over_the_bound(spark, tmp_path):
         got = spark.read.parquet(f"{tmp_path}/{name}").collect()
         assert sorted((r.doc_id or 0, r.corrected or "", len(r.changes)) for r in got) == [
             (0, "the", 1), (1, "and the", 2), (1, "the end.", 1), (2, "", 0), (2, "", 0)]
+
+
+def test_mining_cuts_each_text_into_tokens_once(spark):
+    from scribemend.operators import retrieval as R
+
+    rows = [(1, "teh cat adn dog", "the cat and dog"), (2, "same text", "same text"), (3, "teh cow", "the cow"), (4, "", "x"), (5, None, "y"), (6, "a b", "c d")]
+    mined = R.mine_error_patterns(spark.createDataFrame(rows, "id int, asr string, correct string"))
+    assert sorted(map(tuple, mined.collect())) == [
+        ("adn", "and", 1, "teh cat adn dog"), ("adn", "the", 1, "teh cat adn dog"),
+        ("teh", "and", 1, "teh cat adn dog"), ("teh", "the", 2, "teh cat adn dog")]
+    assert mined._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 2
