@@ -204,3 +204,38 @@ def test_rules_over_the_bound_meet_pieces_without_their_texts(spark):
     rows = {r.id: r for r in R.replace_confusions(df, table, limit=0).collect()}
     assert rows[1].replaced == sequential(text, rules)[0] and len(rows[1].hits) == len(sequential(text, rules)[1])
     assert (rows[2].replaced, rows[3].replaced) == ("none", None)
+
+
+def test_frequent_rules_over_the_bound_stay_where_the_texts_are(spark):
+    """Of a table over the bound, the frequent rules become an index and only pairs with the others travel."""
+    rng = random.Random(8)
+    often = [(f"o{k:02d}", rng.choice(["", "r007", "R", "o01", f"o{k:02d}!"]), k % 3) for k in range(40)]
+    seldom = [(f"r{k:03d}", rng.choice(["o05", "x", f"r{k:03d} o39", "o1"]), k % 2) for k in range(300)]
+    rules = often + seldom + [("R R", "both", 1), ("x" * (L.KEY + 9), "long", 0)]
+    texts = [" ".join(rng.choice(often)[0] for _ in range(30)) + f" {seldom[k][0]}" for k in range(50)] + [None, "", "none", "x" * 60, "o05"]
+    table = spark.createDataFrame(rules, "wrong string, correct string, lex_order long")
+    df = spark.createDataFrame([*enumerate(texts), (None, "o05 r001")], "id int, text string")
+    before = set(L.stored.__globals__["made_paths"](spark))
+    rows = {r.id: r for r in R.replace_confusions(df, table, limit=4000).collect()}
+    for k, text in enumerate(texts):
+        want = sequential(text, rules) if text is not None else (None, [])
+        assert (rows[k].replaced, [tuple(h) for h in rows[k].hits]) == want, text
+    assert rows[None].replaced == "o05 r001"
+    made = [p for p in L.stored.__globals__["made_paths"](spark) if p not in before]
+    assert spark.read.parquet(next(p for p in made if "/held-rules-" in p)).count() < 100  # 50 texts hold some 20 frequent ones each
+
+
+def test_frequent_aliases_over_the_bound_stay_where_the_texts_are(spark):
+    """Spans are those of the index for any part of a lexicon that is one; entries are of the others only."""
+    rng = random.Random(9)
+    words = sorted({"".join(rng.choice("ab") for _ in range(rng.randint(1, 5))) for _ in range(60)} | {f"ba{k:03d}" for k in range(200)})
+    lexicon = spark.createDataFrame([(w, w.upper() + "!", (k % 4) or None) for k, w in enumerate(words)], "alias string, canonical string, lex_order long")
+    texts = ["".join(rng.choice("aabb ") for _ in range(80)) + f"ba{k:03d}" * (k % 2) for k in range(60)] + [None, "", "zz"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    want = {r.id: (r.resolved, r.n) for r in A.resolve_aliases(df, lexicon).withColumn("n", F.size("resolved.spans")).collect()}
+    places = sorted(map(tuple, A.alias_occurrences(df, lexicon).collect()), key=str)
+    for limit in (0, 1000, 4500):
+        assert {r.id: (r.resolved, r.n) for r in A.resolve_aliases(df, lexicon, limit=limit).withColumn("n", F.size("resolved.spans")).collect()} == want
+        assert sorted(map(tuple, A.alias_occurrences(df, lexicon, limit=limit).collect()), key=str) == places
+    joined, shared = A._with_entries(df, A._rules(lexicon), "id", "text", 4500)
+    assert shared is not None and joined.agg(F.sum(F.size("_entries"))).first()[0] < 60
