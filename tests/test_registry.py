@@ -9,3 +9,17 @@ def test_flagship(spark):
 
 def test_every_sql_belongs_to_a_query():
     assert set(registry.oracle_sql()) <= set(registry.queries())
+
+
+def test_parts_of_a_stream_are_read_by_many_tasks(spark, tmp_path):
+    """A part is one file of small row groups."""
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from bindings.streams import _in_parts
+
+    rows = spark.range(400_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.sha2(F.concat("id", F.lit(k)).cast("string"), 256) for k in range(2)]).alias("text"))
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    path, _ = _in_parts(spark, str(tmp_path), "documents", F.lit(0), ["doc_id", "text"], str(tmp_path / "parts"), [0])
+    files = list((tmp_path / "parts").glob("*.parquet"))
+    assert len(files) == 1 and pq.ParquetFile(files[0]).num_row_groups >= 3
