@@ -40,6 +40,10 @@ FILE_IDS = 4_000_000
 #: Documents that are read by one look into a file.
 RUN_DOCS = 512
 PARTS = 1_200_000
+#: Parts that are encoded as lines of one text.
+LINES = 64
+#: A letter, a digit, a mark and a character of another script at the end of a line: the line end must be an id of its own.
+PROBES = [" a", " ab1", " ab.", " \u9053\u3002", " b"]
 NULL_ID = 1 << 63
 ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
@@ -153,13 +157,31 @@ class Vocabulary:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {}
+        alone = [self._each([text])[0] for text in ("\n", *PROBES)]
+        self.line = alone[0] if len(alone[0]) == 4 and self._each(["\n".join(PROBES)])[0] == alone[0].join(alone[1:]) else None
 
-    def _ids(self, parts: list[str]) -> list[bytes]:
+    def _each(self, parts: list[str]) -> list[bytes]:
         found = []
         for a in range(0, len(parts), 10_000):
             found += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts[a:a + 10_000], add_special_tokens=False)]
         return found
 
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part. Parts that begin with their only space are encoded as lines of one text, cut at the ids of the line ends."""
+        plain = [k for k, part in enumerate(parts) if len(part.split()) == 1 and part[0] == " " and part.isprintable()] if self.line else []
+        found: list = [None] * len(parts)
+        groups = [plain[a:a + LINES] for a in range(0, len(plain), LINES)]
+        for some, data in zip(groups, self._each(["\n".join([parts[k] for k in some]) for some in groups]), strict=True):
+            ends = np.flatnonzero(np.frombuffer(data, "<u4") == np.frombuffer(self.line, "<u4")[0])
+            if len(ends) + 1 == len(some):
+                cuts = (4 * ends).tolist()
+                for k, start, end in zip(some, [0, *[c + 4 for c in cuts]], [*cuts, len(data)], strict=True):
+                    found[k] = data[start:end]
+        rest = [k for k, own in enumerate(found) if own is None]
+        for k, own in zip(rest, self._each([parts[k] for k in rest]), strict=True):
+            found[k] = own
+        return found
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts.  The pre-tokenizer never reaches across the cuts, so parts are encoded on their own."""
         known = self.known

@@ -91,3 +91,15 @@ def test_ranks_matter_on_given_documents(llm, monkeypatch):
         bounds = codes.documents(at, min(at + 100, len(ids)))[2]
         assert codes.slice(bounds[0], bounds[-1]).tolist() == [int(x) for d in ids[at:at + 100] for x in d]
     assert sum(r > 0 for r in ranks) == len(range(0, len(ids), 100)) - 1 > 0
+
+
+def test_new_words_are_encoded_as_lines_of_a_text():
+    """The same ids as each part alone, by far fewer texts; parts that a line end might change go alone."""
+    words = dac.Vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    parts = [f" w{k}x{end}" for k in range(300) for end in ("", ".", "'s", "9", "\u00e9", "\u9053\u3002")] + [" ", "", " a\nb", " \u00a0", " c\u2028", "first", " <|endoftext|>", " \ue000", "  "]
+    given, each = [], words._each
+    words._each = lambda some: given.extend(some) or each(some)
+    assert words._ids(parts) == each(parts)
+    assert words.line and len(given) < len(parts) / 10
+    words.line = None
+    assert words._ids(parts) == each(parts)
