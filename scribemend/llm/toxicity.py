@@ -22,10 +22,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scribemend.llm.common import matching, ship_package, stored
+from scribemend.llm.common import matching, ship_package, stored, text_slices
 
 POSITIVES, UNLABELLED, MODELS, FOLDS = 3000, 12000, 3, 5
 MOST_FEATURES = 20_000
@@ -159,11 +160,12 @@ def score(model: Model, docs: DataFrame, text: Column) -> Column:
     """Score of a text column of `docs`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hits: dict[bytes, tuple] = {}
         for texts in batches:
-            yield pd.Series(shared.value.scores(texts.tolist(), hits))
+            slices = text_slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text")
+            yield pa.array(np.concatenate([np.zeros(0), *[shared.value.scores(some.column(0).to_pylist(), hits) for some in slices]]))
 
     return scored(text)
 

@@ -155,3 +155,17 @@ def test_links_of_a_doc_id_of_several_texts(documents):
     found = sorted((r["doc_id"], r["n_links"]) for r in jaccard.link_counts(documents(rows)).collect())
     assert [n for _, n in found] == [1, 2, 2, 2, 1] and [d for d, _ in found] == [5, 5, 9, 9, 11]
     assert jaccard.link_counts(documents([])).count() == 0
+
+
+def test_batches_are_read_in_slices():
+    """Texts become Python's strings about a slice at a time, in order and whole."""
+    import pyarrow as pa
+
+    from scribemend.llm.common import text_slices
+
+    texts = [b"x" * (k * 37 % 900) for k in range(400)] + [None, b"", b"y" * 5000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.binary())], ["doc_id", "text"])
+    slices = list(text_slices(batch, "text", 4096))
+    assert [t for some in slices for t in some.column("text").to_pylist()] == texts
+    assert len(slices) > 20 and max(sum(len(t or b"") for t in some.column("text").to_pylist()) for some in slices[:-1]) <= 2 * 4096
+    assert list(text_slices(batch.slice(0, 0), "text")) == []
