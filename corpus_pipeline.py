@@ -20,6 +20,9 @@ from scribemend.llm import bpe, exact, jaccard, mixing, toxicity
 from scribemend.llm.common import in_stage, stored, table
 from scribemend.session import drop_paths, made_paths
 
+#: Entries of each table of the encoder: a worker keeps them, about 30 MB, when it goes on to other stages.
+KEPT = 100_000
+
 
 @in_stage
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +47,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 @in_stage
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(docs)
+    return bpe.round_trip(docs, kept=KEPT)
 
 
 STAGES = [("toxicity", toxicity_stage), ("exact dedup", exact_dedup_stage), ("n-gram Jaccard join", jaccard_stage),

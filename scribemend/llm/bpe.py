@@ -28,10 +28,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scribemend.llm.common import as_text, keyed_as, ship_package
+from scribemend.llm.common import as_text, keyed_as, ship_package, text_slices
 
 #: Leaves of the trees: bytes of a match, characters of a text, ids to decode.  Up to FLAT bytes are merged without a heap.
 LEAF, STRETCH, RUN, FLAT = 16, 1024, 1024, 32
@@ -83,8 +84,9 @@ ASCII_PAIRS = [pair for pair in ALL_PAIRS if pair.isascii()]
 class TreeEncoder:
     """Encodes and decodes whole texts by the ranks of a vocabulary file."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, kept: int | None = None):
         self.ranks = ranks
+        self.most_parts, self.most_matches = (PARTS, MATCHES) if kept is None else (kept, kept)
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.names = {rank: str(rank) for rank in self.bytes_of}
         self.split_any, self.split_latin = split_pattern(pattern).findall, split_pattern(pattern, 0xFF).findall
@@ -172,12 +174,12 @@ class TreeEncoder:
     def part(self, text: str) -> bytes:
         """Codes of a space and what follows it."""
         found = self.codes(" " + text)
-        remember(self.parts, text, found, PARTS)
+        remember(self.parts, text, found, self.most_parts)
         return found
 
     def match(self, text: str) -> bytes:
         found = np.array(self.tree(text.encode()), "<i4").tobytes()
-        remember(self.matches, text, found, MATCHES)
+        remember(self.matches, text, found, self.most_matches)
         return found
 
     def stretch(self, text: str) -> array:
@@ -293,11 +295,11 @@ def cut_at_spaces(text: str) -> tuple[str, list[str]]:
 
 
 @functools.cache
-def encoder(path: str, pattern: str) -> TreeEncoder:
-    """One per worker, read where the executor has the file."""
+def encoder(path: str, pattern: str, kept: int | None = None) -> TreeEncoder:
+    """One per worker, read where the executor has the file; it stays with its tables as long as the worker does."""
     with open(path, "rb") as file:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-    return TreeEncoder(ranks, pattern)
+    return TreeEncoder(ranks, pattern, kept)
 
 
 def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -326,22 +328,32 @@ def decoded(codes: DataFrame, path: str | None = None, pattern: str | None = Non
     return keyed_as(codes, rows.mapInPandas(run, "doc_id string, bytes binary"))
 
 
-def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): each text encoded, and decoded from its ids, in one pass."""
+def round_trips(batches: Iterator[pa.RecordBatch], path: str, pattern: str, kept: int | None = None) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of batches of (doc_id, text), a slice of the texts at a time."""
+    coder = encoder(path, pattern, kept)
+    for batch in batches:
+        for some in text_slices(batch, "text"):
+            sizes, ids_sha256, decoded_sha256 = [], [], []
+            for text in some.column("text").to_pylist():
+                ids = coder.encode(text)
+                sizes.append(len(ids))
+                ids_sha256.append(hashlib.sha256(coder.digits(ids)).hexdigest())
+                decoded_sha256.append(hashlib.sha256(coder.decode(ids)).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [some.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids_sha256, pa.string()), pa.array(decoded_sha256, pa.string())],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None, kept: int | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): each text encoded, and decoded from its ids, in one pass.
+
+    `kept` bounds each of a worker's two tables (else PARTS and MATCHES, about 160 MB); it never changes a result.
+    """
     ship_package(docs.sparkSession)
     path, pattern = path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = encoder(path, pattern)
-        for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                ids = coder.encode(text)
-                rows.append((len(ids), hashlib.sha256(coder.digits(ids)).hexdigest(),
-                             hashlib.sha256(coder.decode(ids)).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return round_trips(batches, path, pattern, kept)
 
-    return keyed_as(docs, as_text(docs).mapInPandas(
+    return keyed_as(docs, as_text(docs).mapInArrow(
         run, "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string"))

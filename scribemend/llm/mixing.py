@@ -32,7 +32,9 @@ def uniform(key: Column, seed: str) -> Column:
 
 
 def n_words(text: Column) -> Column:
-    return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))).cast("long")
+    """Words of a text, counted without a list of them: each becomes one character with the blanks behind it."""
+    words = F.ltrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
+    return F.length(F.regexp_replace(words, WORD + r"[\x20\x09-\x0D]*", "x")).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE,

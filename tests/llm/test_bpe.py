@@ -1,7 +1,9 @@
 import hashlib
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -75,6 +77,33 @@ def test_tables_start_anew(monkeypatch):
     assert len(own.parts) <= 3
 
 
+def test_a_worker_of_the_pipeline_holds_little(monkeypatch):
+    """Its tables have a bound of their own, kept over tasks, and a batch is read in slices."""
+    import corpus_pipeline
+
+    passed = {}
+    monkeypatch.setattr(bpe, "round_trip", lambda docs, **more: passed.update(more))
+    corpus_pipeline.bpe_stage.__wrapped__(None, None, "")
+    kept = passed["kept"]
+    assert kept <= 100_000
+    words = iter(range(10**9))
+    batches = [pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(60)]), pa.array([" ".join(f"z{next(words):x}" for _ in range(1000)) for _ in range(60)])], ["doc_id", "text"])
+               for _ in range(2)]
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coder = bpe.encoder(path, public_tokenizers.PATTERN, kept)
+    tracemalloc.start()
+    try:
+        out = [row for batch in bpe.round_trips(iter(batches), path, public_tokenizers.PATTERN, kept) for row in batch.to_pylist()]
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert len(out) == 120 and out[-1]["n_tokens"] == len(KNOWN.encode_ordinary(batches[1].column("text")[59].as_py()))
+    assert 1000 < len(coder.parts) <= kept and len(coder.matches) <= kept
+    assert held < 40_000_000
+    sizes = [batch.num_rows for batch in bpe.round_trips([pa.RecordBatch.from_arrays([pa.array(["1"] * 5), pa.array(["a b " * 100_000] * 5)], ["doc_id", "text"])], path, public_tokenizers.PATTERN, kept)]
+    assert sum(sizes) == 5 and max(sizes) < 5
+
+
 def test_rows(documents):
     rows = [(1, "Hello  world"), (2, ""), (3, None), (None, "x"), (1, "Hello  world"), (2**60 + 1, "é" * 70000)]
     got = sorted(map(tuple, bpe.round_trip(documents(rows)).collect()), key=str)

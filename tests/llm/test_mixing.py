@@ -1,4 +1,5 @@
 import collections
+import re
 
 import pytest
 
@@ -75,6 +76,16 @@ def test_copies_of_documents(documents):
             assert times[r["doc_id"]] in (r["taken"] // r["size"], -(-r["taken"] // r["size"]))
 
 
+def test_words_are_counted_without_a_list(documents):
+    """A list of the words of a text is forty times its size and more, and fills the memory of an executor."""
+    texts = [None, "", " ", "\t\n\x0b\x0c\r ", "a", " a", "a ", "\r\na\x0bb\x0c", "one  two\tthree", "\xa0", "a\xa0b", "a\u2003b c", "\x1c \x1f", "\x00 x", "日本 語 🙂 é", "x" * 5000 + " y" * 3000, "$1 \\ x"]
+    docs = documents(list(enumerate(texts)))
+    sizes = mixing.measured(docs)
+    got = {r["doc_id"]: r["size"] for r in sizes.collect()}
+    assert got == {i: len(re.findall("[^\\x20\\x09-\\x0D]+", t or "")) for i, t in enumerate(texts)}
+    assert "extract_all" not in sizes._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_empty(documents):
     assert mixing.mix(mixing.measured(documents([]))).count() == 0
     assert mixing.mix(mixing.measured(documents([(1, None), (2, " ")]))).agg({"taken": "sum"}).first()[0] == 0
