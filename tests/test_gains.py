@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from scribemend.operators import ngrams as N
 from scribemend.operators.tokens import with_tokens
 from scribemend.session import made_paths
+from scribemend.sources import models as M
 
 ODD = ["a", "b", "c", "d", None, "", "x\u001fy", "\u001e", "\u001e3", "é"]
 
@@ -59,6 +60,23 @@ def test_windows_that_no_gram_equals_stay_with_their_text(spark):
     assert sum(f.stat().st_size for f in held) < 20_000
 
 
+def test_a_model_is_counted_once(spark, tmp_path):
+    """Contexts and totals come from the saved grams: the texts are read by one write."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame([(["a", "b", "a"],), (["b", "a"],)], "tokens array<string>")
+    model = M.train_model(df.mapInArrow(counting, "tokens array<string>"), 2, str(tmp_path / "m"))
+    assert seen.value == 2
+    plain = N.train(df, 2)
+    for name in M.TABLES:
+        assert sorted(map(str, getattr(model, name).collect())) == sorted(map(str, getattr(plain, name).collect()))
+
+
 def test_scoring_sends_no_text_by_its_id(spark):
     """No shuffle but that of the model's gains and the windows that travel: the tokens stay where they are."""
     df = with_tokens(spark.createDataFrame([(1, "a b c")], "id int, text string"))
