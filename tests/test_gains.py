@@ -3,12 +3,14 @@ import random
 from collections import Counter
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from scribemend.operators import gains as G
 from scribemend.operators import ngrams as N
 from scribemend.operators.tokens import with_tokens
-from scribemend.session import made_paths
+from scribemend.session import made_paths, new_table_path
 from scribemend.sources import models as M
 
 ODD = ["a", "b", "c", "d", None, "", "x\u001fy", "\u001e", "\u001e3", "é"]
@@ -60,6 +62,19 @@ def test_windows_that_no_gram_equals_stay_with_their_text(spark):
     assert sum(f.stat().st_size for f in held) < 20_000
 
 
+def test_windows_travel_once_with_their_number(spark):
+    table = N.gram_gains(N.train(spark.createDataFrame([(["a", "b", "a", "b"],)], "tokens array<string>"), 2), 2, 2, 4)
+    path = new_table_path(spark, "gains")
+    table.write.parquet(path)
+    shared, others = G.shared_gains(spark.read.parquet(path), 0)
+    assert others.count() == 4
+    sizes, known, travel = G.text_gains(pa.array([G.JOINT.join("zaababz"), None, "a"]), 2, shared.value)
+    assert sizes.tolist() == [7, 0, 1] and known.tolist() == [0, 0, 0]
+    rows = {(t, g.replace(G.JOINT, ""), o, p) for level in travel for t, g, o, p in zip(*[x.tolist() for x in level], strict=True)}
+    assert rows >= {(0, "a", 1, 3), (0, "b", 0, 2), (2, "a", 1, 0), (0, "ab", 0, 2), (0, "ba", 0, 1)}
+    assert not any("z" in g for _, g, _, _ in rows)
+
+
 def test_a_model_is_counted_once(spark, tmp_path):
     """Contexts and totals come from the saved grams: the texts are read by one write."""
     seen = spark.sparkContext.accumulator(0)
