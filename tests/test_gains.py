@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from scribemend.operators import collocations as C
 from scribemend.operators import gains as G
 from scribemend.operators import ngrams as N
 from scribemend.operators.tokens import with_tokens
@@ -92,6 +93,20 @@ def test_a_model_is_counted_once(spark, tmp_path):
         assert sorted(map(str, getattr(model, name).collect())) == sorted(map(str, getattr(plain, name).collect()))
 
 
+def test_local_scores_equal_brute_force(spark):
+    rng = random.Random(8)
+    said = texts(rng, 30, "abcdef")
+    asked = [[], *texts(rng, 12, "abcdefgh"), ["h"]]
+    model = N.train(spark.createDataFrame([(t,) for t in said], "tokens array<string>"), 2)
+    df = spark.createDataFrame([*enumerate(asked)], "id int, tokens array<string>")
+    got = {(r.id, r.term): r.log_prob for r in C.local_scores(df, spark.createDataFrame([("a",), ("h",)], "term string"), model, 2).collect()}
+    assert got.keys() == {(k, t) for k in range(len(asked)) for t in "ah"}
+    for (k, term), score in got.items():
+        at = asked[k].index(term) if term in asked[k] else None
+        near = asked[k] if at is None else asked[k][max(at - 3, 0):at + 4]
+        assert score == pytest.approx(brute_force(said, near, 2), abs=1e-9)
+
+
 def test_scoring_sends_no_text_by_its_id(spark):
     """No shuffle but that of the model's gains and the windows that travel: the tokens stay where they are."""
     df = with_tokens(spark.createDataFrame([(1, "a b c")], "id int, text string"))
