@@ -42,3 +42,15 @@ def test_edit_distance_of_columns(spark):
     df = spark.createDataFrame(rows, "id int, a string, b string")
     got = {r.id: r.d for r in df.select("id", T.edit_distance(F.col("a"), F.col("b")).alias("d")).collect()}
     assert got == {1: 36, 2: T.bit_distance(a, "x" * 100), 3: None, 4: len(a), 5: 2, 6: 0, 7: None}
+
+
+def test_modes_are_compared_by_exact_rates_of_long_texts(spark):
+    from scribemend.operators import evaluate as E
+
+    right = "der station and que " * 40
+    df = spark.createDataFrame([(1, right, right.replace("and", "adn"), right[:-3])], "id int, correct string, raw string, layer1 string")
+    rated = E.with_error_rates(df, "correct", {"raw": "raw", "layer1": "layer1"})
+    long = rated.select("id", F.explode(F.array(*[F.struct(F.lit(x).alias("mode"), F.col(f"{x}_cer").alias("cer")) for x in ("raw", "layer1")])).alias("x"))
+    row = E.mode_comparison(long.select("id", "x.mode", "x.cer"), ["raw", "layer1"]).first()
+    assert (row.raw, row.layer1) == (80 / len(right), 3 / len(right))
+    assert T.near_distance(right, right[:-3], 3) == 3
